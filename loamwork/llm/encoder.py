@@ -21,8 +21,8 @@ LATIN = "A-Za-z\\xc0-\\xd6\\xd8-\\xf6\\xf8-\\xff"
 BYTE_LEVEL = re.compile(f" ?[{LATIN}]++(?=[\\x00-\\x7f]|\\Z)| ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 WORD_LEVEL = re.compile(f"[{LATIN}]++(?=[\\x00-\\x7f]|\\Z)|[^ \\t\\n\\r]+")
 
-#: Longest piece kept, and how many pieces are kept before the table is emptied: a worker's bounded memory.
-LONGEST, KEPT = 48, 400_000
+#: Longest piece kept, and how many pieces a table holds before it becomes the older of two: a worker's bounded memory.
+LONGEST, KEPT = 48, 500_000
 
 
 class Encoder:
@@ -34,29 +34,35 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        kind = str(self.tokenizer.pre_tokenizer)
-        self.cut = (WORD_LEVEL if kind.startswith("Sequence") else BYTE_LEVEL).findall
-        self.kept, self.known = kept, {}
+        self.words = str(self.tokenizer.pre_tokenizer).startswith("Sequence")
+        self.cut = (WORD_LEVEL if self.words else BYTE_LEVEL).findall
+        self.kept, self.known, self.older = kept, {}, {}
+
+    def _learn(self, new: set[str]) -> None:
+        """Makes all of new known: taken over from the older table, or encoded."""
+        known, older = self.known, self.older
+        if older:
+            for piece in new & older.keys():
+                known[piece] = older[piece]
+            new = new.difference(known)
+        listed = list(new)
+        for a in range(0, len(listed), 50_000):
+            part = listed[a : a + 50_000]
+            for piece, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
+                known[piece] = array("I", e.ids).tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        if self.words:  # this tokenizer lower-cases, which A-Z can be spared from being new pieces
+            texts = [t.encode("utf-8").lower().decode("utf-8") for t in texts]
         pieces = [self.cut(t) for t in texts]
         new = set().union(*pieces).difference(self.known)
-        known = self.known
-        if new:
-            if len(known) + len(new) > self.kept:
-                known = self.known = {}
-                new = set().union(*pieces)
-            listed = list(new)
-            for a in range(0, len(listed), 50_000):
-                part = listed[a : a + 50_000]
-                for piece, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                    known[piece] = array("I", e.ids).tobytes()
-        out = [b"".join(map(known.__getitem__, p)) for p in pieces]
-        if len(known) > self.kept:
-            self.known = {}
-        elif new:
-            for piece in [p for p in new if len(p) > LONGEST]:
-                del known[piece]
+        self._learn(new)
+        out = [b"".join(map(self.known.__getitem__, p)) for p in pieces]
+        for piece in new:
+            if len(piece) > LONGEST:
+                del self.known[piece]
+        if len(self.known) > self.kept:
+            self.known, self.older = {}, self.known
         return out
 
 
