@@ -6,6 +6,7 @@ from importlib import import_module
 
 #: Query name to the module that holds its function ``query`` and, where SQL can express it, ``SQL``.
 MODULES = {
+    "op4_secret_scan": "q4_secret_scan",
     "op9_pieces": "q9_pieces",
     "op3_html_text": "q3_html_text",
     "op6_quality_rules": "q6_quality_rules",
