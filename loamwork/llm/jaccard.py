@@ -120,12 +120,13 @@ def _nodes(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
                 ends = np.cumsum([0, *map(len, keys)]).astype(np.int32)
                 flat = np.concatenate(keys).astype(np.int64) if keys else np.empty(0, np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.arange(uid, uid + len(sets))), part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([x for x, _ in d], pa.int64()), pa.array([y for _, y in d], pa.int64()), pa.array([bitmap(s) for s in sets], pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))],
-                    ["uid", "doc_id", "n", "d1", "d2", "bits", "keys"],
+                    [pa.array(np.arange(uid, uid + len(sets))), part.column("doc_id"), part.column("text_hash"), pa.array([len(s) for s in sets], pa.int64()), pa.array([x for x, _ in d], pa.int64()), pa.array([y for _, y in d], pa.int64()), pa.array([bitmap(s) for s in sets], pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))],
+                    ["uid", "doc_id", "text_hash", "n", "d1", "d2", "bits", "keys"],
                 )
                 uid += len(sets)
 
-    return doc_columns(docs).mapInArrow(run, "uid long, doc_id long, n long, d1 long, d2 long, bits binary, keys array<long>")
+    texts = doc_columns(docs).withColumn("text_hash", F.xxhash64("text"))
+    return texts.mapInArrow(run, "uid long, doc_id long, text_hash long, n long, d1 long, d2 long, bits binary, keys array<long>")
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -249,9 +250,9 @@ def _crossing(members: DataFrame, labels: DataFrame, reps: DataFrame, num: int,
 
 
 def jaccard_groups(docs: DataFrame, width: int = 5, num: int = 8, den: int = 10) -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest doc_id reachable by links), keeper: true in one row of each component."""
+    """doc_id, n_shingles, component_id (smallest doc_id reachable by links), keeper (true in one row of each component), text_hash."""
     nodes = written(_nodes(docs, width, num, den), "nodes")
-    narrow = nodes.select("uid", F.coalesce("doc_id", F.lit(_NO_ID)).alias("doc_id"), "n", "d1", "d2")
+    narrow = nodes.select("uid", F.coalesce("doc_id", F.lit(_NO_ID)).alias("doc_id"), "text_hash", "n", "d1", "d2")
     full = narrow.where("n > 0").groupBy("d1", "d2", "n").agg(F.min(F.struct("doc_id", "uid")).alias("first"))
     classes = written(full.select("d1", "d2", "n", F.col("first.uid").alias("rep"), F.col("first.doc_id").alias("rep_doc")), "classes")
     reps = nodes.join(classes.select(F.col("rep").alias("uid")), "uid", "left_semi")
@@ -274,4 +275,19 @@ def jaccard_groups(docs: DataFrame, width: int = 5, num: int = 8, den: int = 10)
     ids = named.join(firsts, "label").select("d1", "d2", "n", F.col("low.rep_doc").alias("component"), F.col("low.rep").alias("keeper_uid"))
     out = narrow.join(ids, ["d1", "d2", "n"], "left")
     real = lambda c: F.nullif(c, F.lit(_NO_ID))
-    return out.select(real(F.col("doc_id")).alias("doc_id"), F.col("n").alias("n_shingles"), real(F.coalesce("component", "doc_id")).alias("component_id"), (F.coalesce("keeper_uid", "uid") == F.col("uid")).alias("keeper"))
+    return out.select(real(F.col("doc_id")).alias("doc_id"), F.col("n").alias("n_shingles"), real(F.coalesce("component", "doc_id")).alias("component_id"), (F.coalesce("keeper_uid", "uid") == F.col("uid")).alias("keeper"), "text_hash")
+
+
+def one_of_each(docs: DataFrame, width: int = 5, num: int = 8, den: int = 10) -> DataFrame:
+    """The rows of docs that stay: of each group of near copies one with the smallest doc_id, and all others.
+
+    Rows equal in doc_id and text count as one row.
+    """
+    who = [F.col("doc_id").cast("long").alias("_j_id"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("_j_hash")]
+    kept = jaccard_groups(docs, width, num, den).where("keeper").select(F.col("doc_id").alias("_j_kept"), "text_hash").distinct()
+    kept = written(kept, "kept")
+    named = docs.select("*", *who)
+    out = named.join(kept, named["_j_id"].eqNullSafe(F.col("_j_kept")) & (named["_j_hash"] == F.col("text_hash")), "left_semi")
+    if docs.select(*who).groupBy("_j_id", "_j_hash").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").limit(1).count():
+        out = out.dropDuplicates(["_j_id", "_j_hash"])
+    return out.drop("_j_id", "_j_hash")
