@@ -2,14 +2,23 @@
 
 from __future__ import annotations
 
+from importlib import import_module
 
-def FLAGSHIP(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/nation.parquet")
+from loamwork.plans.registry import QUERIES, SQL
+
+MODULES = ("wetness_queries", "series_queries")
+for _m in MODULES:
+    import_module(f"loamwork.plans.{_m}")
 
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
+
+
+def FLAGSHIP(spark, sf_dir):
+    """Per-field wetness classes: daily aggregation, window, adjacent-cycle count, classes."""
+    return QUERIES["wet_classes"](spark, sf_dir)

@@ -3,7 +3,8 @@ import sys
 
 import pytest
 
-sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+tests_dir = os.path.dirname(os.path.abspath(__file__))
+sys.path[:0] = [os.path.dirname(tests_dir), tests_dir]
 
 
 @pytest.fixture(scope="session")
