@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Classes 0 to 6, and the native labels of three public land-cover products.
 CLASSES = ["water", "trees", "grass", "crops", "shrub", "built", "bare"]
@@ -71,7 +72,7 @@ def mahalanobis_filter(df: DataFrame, label: str, vector: str, factor: float = 3
         mean = s[1 : p + 1] / s[0]
         cov = s[p + 1 :].reshape(p, p) / s[0] - np.outer(mean, mean)
         models[name] = (int(s[0]), mean, np.linalg.pinv((cov + cov.T) / 2))
-    out_schema = df.schema.add("_d", "double")
+    out_schema = T.StructType([*df.schema.fields, T.StructField("_d", T.DoubleType())])
 
     def distances(batches):
         import pyarrow as pa

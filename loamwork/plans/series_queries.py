@@ -302,20 +302,20 @@ _AGREE = "(stage = hint OR (stage, hint) IN (('establishment','vegetative'), ('v
 _CONF = f"least(greatest(0.55::DOUBLE * least(1.0::DOUBLE, margin / 80) + 0.25::DOUBLE * (CASE WHEN {_AGREE} THEN 1.0::DOUBLE ELSE 0.45::DOUBLE END) + 0.20::DOUBLE * 0.7::DOUBLE, 0.2::DOUBLE), 0.98::DOUBLE)"
 
 
-@query("stage_confidence", f"WITH {_GDD}, {_STAGES}{_STAGED}{_HINT} SELECT sg.entity_id, sg.obs_date, {_AGREE} AS agrees, round({_CONF}, 4) AS confidence FROM sg JOIN hint USING (entity_id, obs_date)")
+@query("stage_confidence", f"WITH {_GDD}, {_STAGES}{_STAGED}{_HINT} SELECT sg.entity_id, sg.obs_date, {_AGREE} AS agrees, round({_CONF}, 10) AS confidence FROM sg JOIN hint USING (entity_id, obs_date)")
 def stage_confidence(spark, sf_dir):
     staged = phenology.classify_stage(_gdd(spark, sf_dir), F.col("total")).select("entity_id", "obs_date", "stage", "margin")
     hints = daily(spark, sf_dir).select("entity_id", "obs_date", phenology.stage_hint(F.datediff("obs_date", F.lit("2024-01-05")) * 5, F.col("value"), 55.0).alias("hint"))
     both = staged.join(hints, ["entity_id", "obs_date"])
     agrees, confidence = phenology.stage_confidence(F.col("stage"), F.col("hint"), F.col("margin"), F.lit(0.7))
-    return both.select("entity_id", "obs_date", agrees.alias("agrees"), F.round(confidence, 4).alias("confidence"))
+    return both.select("entity_id", "obs_date", agrees.alias("agrees"), F.round(confidence, 10).alias("confidence"))
 
 
 @query(
     "stage_branches",
     f"""WITH {_GDD}, {_STAGES}{_STAGED}{_HINT} SELECT sg.entity_id, sg.obs_date,
       CASE WHEN sg.entity_id % 3 = 0 THEN hint WHEN sg.obs_date < DATE '2024-01-05' THEN 'pre_transplant' ELSE stage END AS stage,
-      CASE WHEN sg.entity_id % 3 = 0 THEN 0.6::DOUBLE WHEN sg.obs_date < DATE '2024-01-05' THEN 0.8::DOUBLE ELSE round({_CONF}, 4) END AS confidence,
+      CASE WHEN sg.entity_id % 3 = 0 THEN 0.6::DOUBLE WHEN sg.obs_date < DATE '2024-01-05' THEN 0.8::DOUBLE ELSE round({_CONF}, 10) END AS confidence,
       CASE WHEN sg.entity_id % 3 = 0 THEN NULL WHEN sg.obs_date < DATE '2024-01-05' THEN 0.0::DOUBLE ELSE round(total, 4) END AS gdd
     FROM sg JOIN hint USING (entity_id, obs_date)""",
 )
@@ -324,4 +324,4 @@ def stage_branches(spark, sf_dir):
     hints = daily(spark, sf_dir).select("entity_id", "obs_date", phenology.stage_hint(F.datediff("obs_date", F.lit("2024-01-05")) * 5, F.col("value"), 55.0).alias("hint"))
     both = staged.join(hints, ["entity_id", "obs_date"])
     stage, confidence, gdd = phenology.stage_branches(no_gdd=F.col("entity_id") % 3 == 0, before=F.col("obs_date") < F.lit("2024-01-05").cast("date"), trusted=F.lit(True))
-    return both.select("entity_id", "obs_date", stage.alias("stage"), F.round(confidence, 4).alias("confidence"), F.round(gdd, 4).alias("gdd"))
+    return both.select("entity_id", "obs_date", stage.alias("stage"), F.round(confidence, 10).alias("confidence"), F.round(gdd, 4).alias("gdd"))
