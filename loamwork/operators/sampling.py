@@ -11,8 +11,8 @@ Z, ERROR, LOSS, UNIT_HA, LEAST_CORES, MOST_CORES, RELIABLE = 1.96, 0.15, 0.20, 0
 
 def cochran(mean: Column, sd: Column, population: Column, z: float = Z, error: float = ERROR) -> Column:
     """Rounded-up sample size with finite correction; null where mean or population is not positive."""
-    n0 = F.pow(z * sd / (error * mean), 2)
-    return F.when((mean > 0) & (population > 0), F.ceil(n0 / (1 + (n0 - 1) / population))).cast("double")
+    n0 = F.pow(F.try_divide(z * sd, error * mean), 2)
+    return F.when((mean > 0) & (population > 0), F.ceil(F.when(n0 == 0, 0.0).otherwise(F.try_divide(n0, 1 + F.try_divide(n0 - 1, population))))).cast("double")
 
 
 def plan(strata: DataFrame) -> DataFrame:

@@ -77,17 +77,17 @@ def join_point_in_polygon(spark, sf_dir):
     return p.join(F.broadcast(zones), inside).select("l_orderkey", "l_linenumber", "l_partkey", "zone")  # a handful of literal zones
 
 
-_HOR = "h AS (SELECT l_orderkey AS profile_id, (l_linenumber - 1) * 15.0::DOUBLE AS upper, (l_linenumber - 1) * 15.0::DOUBLE + l_quantity AS lower, max(l_extendedprice) / 1000 AS soc FROM lineitem WHERE l_orderkey % 5 = 0 GROUP BY ALL)"
+_HOR = "h AS (SELECT l_orderkey AS profile_id, (l_linenumber - 1) * 15.0::DOUBLE AS upper, (l_linenumber - 1) * 15.0::DOUBLE + l_quantity AS lower, ln(max(l_extendedprice)) AS soc FROM lineitem WHERE l_orderkey % 5 = 0 GROUP BY ALL)"
 
 
 def horizons(spark, sf_dir):
     l = table(spark, sf_dir, "lineitem").where("l_orderkey % 5 = 0")
     top = (F.col("l_linenumber") - 1) * F.lit(15.0)
-    return l.groupBy(F.col("l_orderkey").alias("profile_id"), top.alias("upper"), (top + F.col("l_quantity")).alias("lower")).agg((F.max("l_extendedprice") / 1000).alias("soc"))
+    return l.groupBy(F.col("l_orderkey").alias("profile_id"), top.alias("upper"), (top + F.col("l_quantity")).alias("lower")).agg(F.log(F.max("l_extendedprice")).alias("soc"))
 
 
 _GRID = "g(top, bottom) AS (VALUES (0, 5), (5, 15), (15, 30), (30, 60), (60, 100), (100, 200))"
-_SLICES = f"WITH {_HOR}, {_GRID} SELECT profile_id, top::DOUBLE AS top, bottom::DOUBLE AS bottom, round(sum(greatest(0, least(lower, bottom) - greatest(upper, top)) * soc) / sum(greatest(0, least(lower, bottom) - greatest(upper, top))), 10) AS soc FROM h, g WHERE upper < bottom AND top < lower GROUP BY 1, 2, 3"
+_SLICES = f"WITH {_HOR}, {_GRID} SELECT profile_id, top::DOUBLE AS top, bottom::DOUBLE AS bottom, round(sum(greatest(0, least(lower, bottom) - greatest(upper, top)) * soc) / sum(greatest(0, least(lower, bottom) - greatest(upper, top))), 8) AS soc FROM h, g WHERE upper < bottom AND top < lower GROUP BY 1, 2, 3"
 
 
 @query("join_interval_overlap", f"WITH {_HOR}, {_GRID} SELECT profile_id, upper, top::DOUBLE AS top, bottom::DOUBLE AS bottom, least(lower, bottom) - greatest(upper, top) AS overlap FROM h, g WHERE upper < bottom AND top < lower")
@@ -98,7 +98,7 @@ def join_interval_overlap(spark, sf_dir):
 
 @query("soil_slice_means", _SLICES)
 def soil_slice_means(spark, sf_dir):
-    return soil.slice_means(horizons(spark, sf_dir), ["profile_id"], "soc").select("profile_id", "top", "bottom", F.round("soc", 10).alias("soc"))
+    return soil.slice_means(horizons(spark, sf_dir), ["profile_id"], "soc").select("profile_id", "top", "bottom", F.round("soc", 8).alias("soc"))
 
 
 @query("soil_harmonise_curve")
