@@ -194,3 +194,33 @@ def collect_sources(spark: SparkSession, names: list[str], schema: T.StructType,
     if not frames:
         raise RuntimeError(f"no source could be read: {failed}")
     return union_sources(frames)
+
+
+#: Parts of variable names, and the signals they stand for, in order.
+SIGNALS = [("ndvi", "NDVI"), ("evi", "EVI"), ("vh", "VH"), ("vv", "VV"), ("lswi", "LSWI"), ("value", "VALUE")]
+
+
+def signal_of(variable: Column, attribute: Column | None = None) -> Column:
+    """The signal that a variable's name, or else its long name, stands for; VALUE otherwise."""
+    out = F.lit("VALUE")
+    for source in ([attribute] if attribute is not None else []) + [variable]:
+        for part, name in reversed(SIGNALS):
+            out = F.when(F.lower(source).contains(part), name).otherwise(out)
+    return out
+
+
+def wide(observations: DataFrame, signals: list[str], dates: list[str]) -> DataFrame:
+    """SIGNAL_YYYYMMDD columns for given signals and dates, for exchange with tools that want them."""
+    keyed = observations.withColumn("_k", F.concat_ws("_", "signal", F.date_format("obs_date", "yyyyMMdd")))
+    return keyed.groupBy("entity_id").pivot("_k", [f"{s}_{d}" for s in signals for d in dates]).agg(F.first("value"))
+
+
+def periods(start: Column, end: Column, parts: int = 12) -> Column:
+    """Array of (first, last) days of equal periods of floor(days / parts) days, one day at least."""
+    days = F.greatest(F.call_function("div", F.datediff(end, start), F.lit(parts)).cast("int"), F.lit(1))
+    return F.transform(F.sequence(F.lit(0), F.lit(parts - 1)), lambda k: F.struct(F.date_add(start, k * days).alias("first"), F.date_add(start, (k + 1) * days - 1).alias("last")))
+
+
+def stack(series: dict[str, DataFrame], name: str = "entity_id") -> DataFrame:
+    """Series of many entities, one below the other, with the entity's name."""
+    return union_sources([df.withColumn(name, F.lit(k)) for k, df in series.items()])
