@@ -11,6 +11,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loamwork.sources.scratch import path
+
 #: Rows up to which a dimension of ranges is broadcast, after counting it.
 SMALL = 10_000
 
@@ -121,20 +123,22 @@ def keep_first(points: DataFrame, pairs: DataFrame, key: str = "id", rounds: int
     """Points with dropped: in order of id, a point goes if one that stays is near it.
 
     Rounds of joins decide points whose smaller neighbours are all decided; the rounds end with the longest
-    chain of undecided neighbours. State is written to the shared folder between rounds by checkpoint().
+    chain of undecided neighbours. State is written to the shared folder between rounds.
     """
     state = points.select(F.col(key).alias("id")).withColumn("dropped", F.lit(None).cast("boolean"))
     spark = points.sparkSession
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        import tempfile
 
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
-    pairs = pairs.select("id_a", "id_b").checkpoint()
+    def held(df: DataFrame) -> DataFrame:
+        at = path(spark, "keep-first")
+        df.write.parquet(at)
+        return spark.read.schema(df.schema).parquet(at)
+
+    pairs, state = held(pairs.select("id_a", "id_b")), held(state)
     for _ in range(rounds):
         seen = pairs.join(state.select(F.col("id").alias("id_a"), F.col("dropped").alias("da")), "id_a")
         per = seen.groupBy(F.col("id_b").alias("id")).agg(F.max(F.coalesce(~F.col("da"), F.lit(False))).alias("kept_near"), F.max(F.col("da").isNull()).alias("open"))
         decided = F.when(F.col("dropped").isNotNull(), F.col("dropped")).when(F.col("kept_near"), True).when(~F.coalesce("open", F.lit(False)), False)
-        state = state.join(per, "id", "left").select("id", decided.alias("dropped")).checkpoint()
+        state = held(state.join(per, "id", "left").select("id", decided.alias("dropped")))
         if not state.where("dropped is null").limit(1).count():
             return state.withColumnRenamed("id", key)
     raise RuntimeError("keep_first did not settle")
