@@ -29,9 +29,10 @@ def gamma_nought(number: Column, mask: Column) -> Column:
 
 def stretch(df: DataFrame, column: str, low: float = 0.02, high: float = 0.98) -> DataFrame:
     """Adds stretched: column from two quantiles to 0..1, clamped."""
-    q = df.agg(F.percentile(column, F.array(F.lit(low), F.lit(high))).alias("_q"))  # one row
-    a, b = F.col("_q")[0], F.col("_q")[1]
-    return df.join(F.broadcast(q)).withColumn("stretched", F.least(F.greatest(F.try_divide(F.col(column) - a, b - a), F.lit(0.0)), F.lit(1.0))).drop("_q")
+    from loamwork.operators.stats import exact_quantiles
+
+    a, b = (F.lit(x).cast("double") for x in exact_quantiles(df, column, [low, high]))
+    return df.withColumn("stretched", F.least(F.greatest(F.try_divide(F.col(column) - a, b - a), F.lit(0.0)), F.lit(1.0)))
 
 
 def coalition(models: DataFrame, error: str) -> DataFrame:

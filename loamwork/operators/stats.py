@@ -6,6 +6,57 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Rows that one task may hold to take an exact quantile, and parts into which more are cut at a time.
+ONE_TASK, PARTS = 1_000_000, 64
+
+
+def exact_quantiles(df: DataFrame, column: str, probabilities: list[float]) -> list[float | None]:
+    """Exact quantiles with linear interpolation of a whole column, whatever its size.
+
+    Up to ONE_TASK rows the aggregate does it. Beyond, counts between approximate cuts tell which stretch holds the
+    wanted ranks, and only that stretch is looked at further; a few numbers come to the driver each time.
+    """
+    v = df.select(F.col(column).cast("double").alias("v")).where(F.col("v").isNotNull())
+    n = v.count()
+    if n <= ONE_TASK:
+        return list(v.agg(F.percentile("v", F.array(*map(F.lit, probabilities)))).first()[0] or [None] * len(probabilities))
+    out = []
+    for p in probabilities:
+        at = (n - 1) * p
+        low = _of_rank(v, n, int(at))
+        high = low if at == int(at) else _of_rank(v, n, int(at) + 1)
+        out.append(low + (high - low) * (at - int(at)))
+    return out
+
+
+def _of_rank(v: DataFrame, n: int, rank: int) -> float:
+    """The value with ``rank`` smaller ones before it in order."""
+    while n > ONE_TASK:
+        lo, hi, cuts = v.agg(F.min("v"), F.max("v"), F.percentile_approx("v", F.array(*(F.lit(k / PARTS) for k in range(1, PARTS))), 10_000)).first()
+        edges = sorted({c for c in cuts if lo < c <= hi})
+        if lo == hi or not edges:
+            return lo if lo == hi else _split(v, lo, hi, rank)
+        part = F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: e <= F.col("v")))
+        counts = dict(v.groupBy(part.alias("k")).count().collect())
+        for k in range(len(edges) + 1):
+            if rank < counts.get(k, 0):
+                break
+            rank -= counts.get(k, 0)
+        if k > 0:
+            v = v.where(F.col("v") >= edges[k - 1])
+        if k < len(edges):
+            v = v.where(F.col("v") < edges[k])
+        n = counts[k]
+    return v.agg(F.percentile("v", F.lit(rank / max(1, n - 1)))).first()[0]
+
+
+def _split(v: DataFrame, lo: float, hi: float, rank: int) -> float:
+    """Of a stretch whose cuts all equal its smallest value: that value, or go on above it."""
+    at_low = v.where(F.col("v") == lo).count()
+    above = v.where(F.col("v") > lo)
+    return lo if rank < at_low else _of_rank(above, above.count(), rank - at_low)
+
+
 def area_summary(classes: DataFrame, area: Column) -> DataFrame:
     """One row of hectares by class and the share of the first; half-even rounding to 4 and 2 places."""
     total = lambda when: F.coalesce(F.sum(F.when(when, area)), F.lit(0.0))
@@ -33,13 +84,12 @@ def fences(df: DataFrame, keys: list[str], value: str, k: float) -> DataFrame:
 
 
 def inside_all_fences(df: DataFrame, columns: list[str], k: float) -> DataFrame:
-    """Rows that lie inside the fences of every column; one aggregate of quartiles, sent as one row."""
-    q = df.agg(*(F.percentile(c, F.array(F.lit(0.25), F.lit(0.75))).alias(f"_q{i}") for i, c in enumerate(columns)))
+    """Rows that lie inside the fences of every column; the quartiles enter the filter as numbers."""
     ok = F.lit(True)
-    for i, c in enumerate(columns):
-        lo, hi = F.col(f"_q{i}")[0], F.col(f"_q{i}")[1]
-        ok = ok & F.col(c).between(lo - k * (hi - lo), hi + k * (hi - lo))
-    return df.join(F.broadcast(q)).where(ok).drop(*(f"_q{i}" for i in range(len(columns))))
+    for c in columns:
+        lo, hi = exact_quantiles(df, c, [0.25, 0.75])
+        ok = ok & (F.col(c).between(lo - k * (hi - lo), hi + k * (hi - lo)) if lo is not None else F.lit(False))
+    return df.where(ok)
 
 
 def band(df: DataFrame, keys: list[str], value: str, low: float = 0.05, high: float = 0.95) -> DataFrame:
@@ -50,9 +100,11 @@ def band(df: DataFrame, keys: list[str], value: str, low: float = 0.05, high: fl
 
 def quantile_bins(df: DataFrame, keys: list[str], value: str, n: int = 4) -> DataFrame:
     """Adds bin 0..n-1 by right-closed quantile edges, the lowest value included; null where edges repeat."""
-    edges = F.percentile(value, F.array(*(F.lit(i / n) for i in range(n + 1))))
-    q = (df.groupBy(*keys).agg(edges.alias("_e"))) if keys else df.agg(edges.alias("_e"))
-    joined = df.join(q, keys) if keys else df.join(F.broadcast(q))
+    shares = [i / n for i in range(n + 1)]
+    if keys:
+        joined = df.join(df.groupBy(*keys).agg(F.percentile(value, F.array(*map(F.lit, shares))).alias("_e")), keys)
+    else:
+        joined = df.withColumn("_e", F.array(*(F.lit(q).cast("double") for q in exact_quantiles(df, value, shares))))
     whole = F.size(F.array_distinct("_e")) == n + 1
     place = F.size(F.filter(F.slice("_e", 2, n - 1), lambda e: e < F.col(value)))
     return joined.withColumn("bin", F.when(whole & F.col(value).isNotNull(), place)).drop("_e")

@@ -434,3 +434,14 @@ def test_savgol_is_a_quadratic_fit(spark):
     padded = [v[0]] * 3 + v + [v[-1]] * 3
     want = [np.polyval(np.polyfit(range(-3, 4), padded[k : k + 7], 2), 0) for k in range(len(v))]
     assert np.allclose(got, want)
+
+
+def test_exact_quantiles_of_many_rows(spark, monkeypatch):
+    r = random.Random(9)
+    for values in ([r.gauss(0, 1) for _ in range(3000)], [1.0] * 2500 + [2.0] * 3 + [9.0], [float(k % 7) for k in range(2000)], [5.0]):
+        df = spark.createDataFrame([(v,) for v in values] + [(None,)], "v double")
+        p = [0.0, 0.02, 0.25, 0.5, 0.77, 0.999, 1.0]
+        monkeypatch.setattr(stats, "ONE_TASK", 100)
+        assert np.allclose(stats.exact_quantiles(df, "v", p), np.quantile(values, p))
+        monkeypatch.undo()
+    assert stats.exact_quantiles(df.limit(0), "v", [0.5]) == [None]
