@@ -1,7 +1,8 @@
 """Grouped statistics: fences, bands, bins, modes, fractions, metrics, summaries."""
 
-from __future__ import annotations
+import math
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -193,3 +194,44 @@ def clipped_histogram(df: DataFrame, keys: list[str], value: str, low: float, hi
     v = F.least(F.greatest(F.col(value), F.lit(low)), F.lit(high))
     b = F.least(F.floor((v - low) / ((high - low) / bins)), F.lit(bins - 1)).cast("int")
     return df.where(F.col(value).isNotNull()).groupBy(*keys, b.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def _beta_fraction(a: float, b: float, x: float) -> float:
+    """Continued fraction of the incomplete beta function (Lentz)."""
+    tiny, c, d = 1e-300, 1.0, 1 - (a + b) * x / (a + 1)
+    d = 1 / (d if abs(d) > tiny else tiny)
+    h = d
+    for m in range(1, 300):
+        for top in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+            d, c = 1 + top * d, 1 + top / c
+            d = 1 / (d if abs(d) > tiny else tiny)
+            c = c if abs(c) > tiny else tiny
+            h *= d * c
+        if abs(d * c - 1) < 1e-14:
+            break
+    return h
+
+
+def two_sided(t: float | None, freedom: float | None) -> float | None:
+    """Chance of a Student t at least this far from 0."""
+    if t is None or freedom is None or freedom <= 0 or math.isnan(t):
+        return None
+    if math.isinf(t):
+        return 0.0
+    a, b, x = freedom / 2, 0.5, freedom / (freedom + t * t)
+    if x in (0.0, 1.0):
+        return x
+    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x))
+    return front * _beta_fraction(a, b, x) / a if x < (a + 1) / (a + b + 2) else 1 - front * _beta_fraction(b, a, 1 - x) / b
+
+
+@F.pandas_udf("double")
+def p_value(t: pd.Series, freedom: pd.Series) -> pd.Series:
+    return pd.Series([two_sided(None if pd.isna(a) else float(a), None if pd.isna(b) else float(b)) for a, b in zip(t, freedom)], dtype="float64")
+
+
+def correlation_screen(df: DataFrame, target: str, columns: list[str], level: float = 0.05) -> DataFrame:
+    """correlations() with p and significant, significant features first, then by absolute r."""
+    c = correlations(df, target, columns).withColumn("p", p_value("t", F.col("n") - 2))
+    c = c.withColumn("significant", F.coalesce(F.col("p") < level, F.lit(False)))
+    return c.orderBy(F.col("significant").desc(), F.abs("r").desc_nulls_last(), "feature")

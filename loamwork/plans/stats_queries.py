@@ -190,6 +190,12 @@ def agg_correlations(spark, sf_dir):
     return stats.correlations(table(spark, sf_dir, "lineitem"), "l_extendedprice", ["l_quantity", "l_discount", "l_tax"]).select("feature", F.round("r", 8).alias("r"), F.round("t", 4).alias("t"))
 
 
+@query("agg_correlation_screen")
+def agg_correlation_screen(spark, sf_dir):
+    """The same with p-values; DuckDB has no Student t, so tests compare with known values."""
+    return stats.correlation_screen(table(spark, sf_dir, "lineitem"), "l_extendedprice", ["l_quantity", "l_discount", "l_tax"])
+
+
 @query("agg_flag_counts", "WITH f AS (SELECT concat_ws(',', CASE WHEN l_quantity > 45 THEN 'range:quantity' END, CASE WHEN l_discount > 0.08 THEN 'range:discount' END, CASE WHEN l_tax > 0.07 THEN 'range:tax' END) AS qc FROM lineitem) SELECT flag, count(*) AS n FROM (SELECT unnest(string_split(qc, ',')) AS flag FROM f WHERE qc <> '') GROUP BY 1")
 def agg_flag_counts(spark, sf_dir):
     from loamwork.functions.cleaning import joined_flags, range_flags

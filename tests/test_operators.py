@@ -445,3 +445,12 @@ def test_exact_quantiles_of_many_rows(spark, monkeypatch):
         assert np.allclose(stats.exact_quantiles(df, "v", p), np.quantile(values, p))
         monkeypatch.undo()
     assert stats.exact_quantiles(df.limit(0), "v", [0.5]) == [None]
+
+
+def test_p_values(spark):
+    for t, f, p in ((2.0, 10, 0.07338803), (0.0, 5, 1.0), (-3.5, 28, 0.001572), (12.706, 1, 0.05), (1.96, 1e6, 0.049996)):
+        assert abs(stats.two_sided(t, f) - p) < 2e-5
+    assert stats.two_sided(None, 3) is None and stats.two_sided(1.0, 0) is None
+    df = spark.createDataFrame([(float(k), float(k + (k * 7) % 5), float((k * 37) % 11)) for k in range(30)], "y double, a double, b double")
+    got = stats.correlation_screen(df, "y", ["b", "a"]).collect()
+    assert [r.feature for r in got] == ["a", "b"] and got[0].significant and got[0].p < 1e-6 and not got[1].significant
