@@ -5,6 +5,7 @@ import math
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 #: Rows that one task may hold to take an exact quantile, and parts into which more are cut at a time.
@@ -225,7 +226,7 @@ def two_sided(t: float | None, freedom: float | None) -> float | None:
     return front * _beta_fraction(a, b, x) / a if x < (a + 1) / (a + b + 2) else 1 - front * _beta_fraction(b, a, 1 - x) / b
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def p_value(t: pd.Series, freedom: pd.Series) -> pd.Series:
     return pd.Series([two_sided(None if pd.isna(a) else float(a), None if pd.isna(b) else float(b)) for a, b in zip(t, freedom)], dtype="float64")
 
