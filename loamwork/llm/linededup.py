@@ -5,8 +5,8 @@
    is twice-seen. The twice-seen filter has at most MAX_BITS bits (64 MB), and is broadcast.
 2. Only keys that it holds are written out, with their document and first line: the suspected repeats. They are
    grouped by the key's bytes, summed up on the map side first, so a line of every document is one row per task.
-3. Confirmed keys meet the suspects again (a sort-merge join, whose hot keys Spark splits), and each document
-   gets the numbers of its lines to drop.
+3. Confirmed keys meet the suspects again, and each document gets the numbers of its lines to drop. The few keys
+   with a large part of all rows are broadcast, so none of their rows is exchanged; the others meet in a shuffle join.
 A full filter only lets more keys through to the exact step.
 
 A key is a line stripped of [\\x20\\x09-\\x0D] and with A-Z lower-cased. Keys of at least ``shortest`` code points
@@ -25,11 +25,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loamwork.llm.shared import written
+from loamwork.llm.shared import small_batches, written
 
 BLANK = b" \t\n\r\x0b\x0c"
 #: Bits of a filter for each document, their bounds, bits of a page, and hash positions of a key.
 BITS_PER_DOC, MIN_BITS, MAX_BITS, PAGE, POSITIONS = 512, 1 << 20, 1 << 29, 1 << 16, 3
+#: Fixed value: keys with this part of all suspects' rows, so at most as many keys, are broadcast; the rest are joined by a shuffle.
+HOT = 500
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 
 
@@ -144,7 +146,7 @@ def _twice_seen(docs: DataFrame, bits: int, shortest: int) -> bytes:
 
 def dedup_lines(docs: DataFrame, shortest: int = 20, documents: int = 3, bits: int | None = None) -> DataFrame:
     """All rows and columns of docs with repeated lines gone from text, and n_lines, n_dropped (long) at the end."""
-    spark = docs.sparkSession
+    spark = small_batches(docs).sparkSession
     bits = bits or min(MAX_BITS, max(MIN_BITS, 1 << (BITS_PER_DOC * max(1, docs.count()) - 1).bit_length()))
     seen = spark.sparkContext.broadcast(_twice_seen(docs, bits, shortest))
     who = [F.col("doc_id").cast("long").alias("_ld_doc"), F.xxhash64(F.col("text").cast("string")).alias("_ld_hash")]
@@ -167,8 +169,13 @@ def dedup_lines(docs: DataFrame, shortest: int = 20, documents: int = 3, bits: i
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(took), batch.column(1).take(took), pa.array([keys[h] for h in held], pa.binary()), pa.array(np.array(lines, np.int32)[held])], ["doc", "hash", "key", "line"])
 
     suspects = written(docs.select(*who, F.col("text").cast("string")).mapInArrow(suspect, "doc long, hash long, key binary, line int"), "suspects")
+    total = suspects.count()
     confirmed = suspects.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("doc").alias("keeper")).where(F.col("n") >= documents)
-    lost = suspects.join(confirmed, "key").where(~F.col("doc").eqNullSafe(F.col("keeper")))
+    confirmed = written(confirmed, "confirmed")
+    hot = F.col("n") * HOT >= total
+    few = F.broadcast(confirmed.where(hot))  # at most HOT keys can have a HOT-th of the rows each
+    usual = suspects.join(few.select("key"), "key", "left_anti").join(confirmed.where(~hot), "key")
+    lost = suspects.join(few, "key").unionByName(usual).where(~F.col("doc").eqNullSafe(F.col("keeper")))
     drops = lost.groupBy(F.col("doc").alias("_ld_doc2"), F.col("hash").alias("_ld_hash2")).agg(F.collect_set("line").alias("_ld_lines"))
     both = docs.select("*", *who)
     both = both.join(drops, both["_ld_doc"].eqNullSafe(F.col("_ld_doc2")) & both["_ld_hash"].eqNullSafe(F.col("_ld_hash2")), "left")

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loamwork.llm.shared import doc_columns
+from loamwork.llm.shared import doc_columns, small_batches
 
 #: Hashed features (2^FEATURE_BITS), n-gram lengths, bytes taken at a time, rows fitted, threshold.
 FEATURE_BITS, LENGTHS, CHUNK, MOST_ROWS, THRESHOLD = 18, (1, 2, 3, 4), 1 << 18, 8_000, 0.3
@@ -92,14 +92,13 @@ def log_count_ratio(rows: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
 def hinge(rows: list[np.ndarray], ratio: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, float]:
     """Weights on ratio-scaled indicators (rows scaled to length 1) and intercept, by dual coordinate descent."""
     sign = np.where(labels == 1, 1.0, -1.0)
-    values = [ratio[r] for r in rows]
-    norms = np.array([np.sqrt((v * v).sum()) or 1.0 for v in values])
+    norms = np.array([np.sqrt((ratio[r] ** 2).sum()) or 1.0 for r in rows])
     cap = COST * np.where(labels == 1, 1.0, (labels == 1).sum() / max(1, (labels == 0).sum()))
     w, bias, alpha = np.zeros(len(ratio)), 0.0, np.zeros(len(rows))
     rng = np.random.default_rng(7)
     for _ in range(EPOCHS):
         for k in rng.permutation(len(rows)):
-            x = values[k] / norms[k]
+            x = ratio[rows[k]] / norms[k]  # not kept: rows times features would fill the driver
             gradient = sign[k] * (w[rows[k]] @ x + bias) - 1
             new = min(max(alpha[k] - gradient / 2, 0.0), cap[k])  # x and the intercept's 1 have length 1 each
             if new != alpha[k]:
@@ -201,7 +200,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             found = [float(sent.value.scores([of(t)])[0]) for t in batch.column(at).cast(pa.string()).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.float64())], [*batch.schema.names, "_nb_score"])
 
-    return docs.mapInArrow(run, schema)
+    return small_batches(docs).mapInArrow(run, schema)
 
 
 def held_out() -> Column:

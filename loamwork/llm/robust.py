@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loamwork.llm.shared import written
+from loamwork.llm.shared import small_batches, written
 
 #: Smallest deviations of the statistics (same order as in ``vector``), distance bins, steps, group size, groups broadcast.
 FLOOR = np.array([0.25, 0.05, 0.2, 0.15, 0.06, 0.1])
@@ -95,7 +95,7 @@ def statistics_of(docs: DataFrame, least_words: int, most_repeat: int) -> DataFr
                 columns = [pa.array(x, pa.int64()) for x in list(zip(*found))[:5]]
                 yield pa.RecordBatch.from_arrays([*(part.column(n) for n in ("doc_id", "lang", "source")), *columns, pa.array([f[5] for f in found], pa.bool_()), pa.array(vectors, pa.list_(pa.float64()))], ["doc_id", "lang", "source", *COUNTS, "base_failed", "v"])
 
-    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *(F.col(c).cast("string").alias(c) for c in ("text", "lang", "source")))
+    text = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), *(F.col(c).cast("string").alias(c) for c in ("text", "lang", "source")))
     return text.mapInArrow(run, schema)
 
 

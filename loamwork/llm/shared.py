@@ -32,6 +32,19 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of an Arrow batch sent to a worker: whole texts are wide, and both sides hold some batches at a time.
+BATCH_BYTES = 16 << 20
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, with its session's Arrow batches limited to BATCH_BYTES if they were larger."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = str(conf.get(name)).rstrip("b")
+    if not now.isdigit() or int(now) <= 0 or int(now) > BATCH_BYTES:
+        conf.set(name, str(BATCH_BYTES))
+    return df
+
+
 def doc_columns(docs: DataFrame, *names: str) -> DataFrame:
     """doc_id as long and text (null: empty), by position in the frame's own columns whatever others there are."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *names)
+    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *names)
