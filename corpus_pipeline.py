@@ -23,14 +23,21 @@ def _counted(docs: DataFrame) -> DataFrame:
     return docs.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else docs
 
 
+def _own(docs: DataFrame) -> list[str]:
+    """Names for the columns of docs that clash with no other, whatever theirs are."""
+    return [f"_c{k}" for k in range(len(docs.columns))]
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that the classifier rejects."""
-    return classify(docs, table(spark, sf_dir, "labels")).where("predicted = 1").select(*docs.columns)
+    names = _own(docs)
+    found = classify(docs, table(spark, sf_dir, "labels")).toDF(*names, "held_out", "score", "predicted")
+    return found.where("predicted = 1").select(*names).toDF(*docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops lines that three or more documents hold, except in the last of them; every document stays."""
-    names = [f"c{k}" for k in range(len(docs.columns))]
+    names = _own(docs)
     return _counted(dedup_lines(docs).toDF(*names, "n_lines", "n_dropped").select(*names).toDF(*docs.columns))
 
 
