@@ -21,9 +21,9 @@ LATIN = "A-Za-z\\xc0-\\xd6\\xd8-\\xf6\\xf8-\\xff"
 BYTE_LEVEL = re.compile(f" ?[{LATIN}]++(?=[\\x00-\\x7f]|\\Z)| ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 WORD_LEVEL = re.compile(f"[{LATIN}]++(?=[\\x00-\\x7f]|\\Z)|[^ \\t\\n\\r]+")
 
-#: Longest piece kept; pieces that a table holds before it becomes the older of two; bits that remember pieces met once.
+#: Longest piece kept; pieces that a table holds before it becomes the older of two; pieces encoded at a time.
 #: They bound a worker's memory.
-LONGEST, KEPT, ONCE_BITS = 48, 150_000, 1 << 22
+LONGEST, KEPT, PART = 48, 500_000, 8_000
 
 
 class Encoder:
@@ -38,42 +38,30 @@ class Encoder:
         self.words = str(self.tokenizer.pre_tokenizer).startswith("Sequence")
         self.cut = (WORD_LEVEL if self.words else BYTE_LEVEL).findall
         self.kept, self.known, self.older = kept, {}, {}
-        self.once, self.marked = bytearray(ONCE_BITS // 8), 0
 
-    def _learn(self, new: set[str]) -> set[str]:
-        """Makes all of new known: taken over from the older table, or encoded. Returns those to forget after this call.
-
-        Most pieces are met once. So a piece is kept from its second call on; the first leaves a bit.
-        """
-        known, older, once = self.known, self.older, self.once
+    def _learn(self, new: set[str]) -> None:
+        """Makes all of new known: taken over from the older table, or encoded."""
+        known, older = self.known, self.older
         if older:
             for piece in new & older.keys():
                 known[piece] = older[piece]
             new = new.difference(known)
-        listed, forget = list(new), set()
-        for a in range(0, len(listed), 4_000):
-            part = listed[a : a + 4_000]
+        listed = list(new)
+        for a in range(0, len(listed), PART):
+            part = listed[a : a + PART]
             for piece, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
                 known[piece] = array("I", e.ids).tobytes()
-                at = hash(piece) & (ONCE_BITS - 1)
-                if not once[at >> 3] >> (at & 7) & 1:
-                    once[at >> 3] |= 1 << (at & 7)
-                    self.marked += 1
-                    forget.add(piece)
-                elif len(piece) > LONGEST:
-                    forget.add(piece)
-        if self.marked > ONCE_BITS // 4:
-            self.once, self.marked = bytearray(ONCE_BITS // 8), 0
-        return forget
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if self.words:  # this tokenizer lower-cases, which A-Z can be spared from being new pieces
             texts = [t.encode("utf-8").lower().decode("utf-8") for t in texts]
         pieces = [self.cut(t) for t in texts]
-        forget = self._learn(set().union(*pieces).difference(self.known))
+        new = set().union(*pieces).difference(self.known)
+        self._learn(new)
         out = [b"".join(map(self.known.__getitem__, p)) for p in pieces]
-        for piece in forget:
-            del self.known[piece]
+        for piece in new:
+            if len(piece) > LONGEST:
+                del self.known[piece]
         if len(self.known) > self.kept:
             self.known, self.older = {}, self.known
         return out
@@ -85,7 +73,7 @@ def encoder(tokenizer_path: str) -> Encoder:
     return Encoder(tokenizer_path)
 
 
-def text_blocks(batch, most: int = 1_000_000):
+def text_blocks(batch, most: int = 2_000_000):
     """(first row, texts) of slices of a record batch with about ``most`` bytes of text each, one row at least."""
     import numpy as np
     import pyarrow.compute as pc
