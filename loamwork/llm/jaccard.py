@@ -1,18 +1,20 @@
 """Exact n-gram Jaccard join: size-banded tiles, bitmap signatures, then sorted-array intersection.
 
-Tiles. Sets are banded by size. If two sets reach the threshold t, their sizes differ by the factor 1/t at most,
-and their symmetric difference is at most d = (1 - t) / (1 + t) * (|A| + |B|). A band deals hash classes of shingles
-into d + 1 parts (d for the band's largest sets), so two linked sets agree in at least one whole part. A tile is
-(band, part, hash of the part's content): it holds every linked pair, whatever shingles are frequent, and seldom
-other pairs. Sets near a band's upper end also enter the next band.
+Tiles. Sets are banded by size. Shingles have one order for all sets, frequent ones last. If two sets reach the
+threshold t, they share more than n - ceil(t * n) of the n shingles of either, so the first n - ceil(t * n) + 1
+shingles of both, in this order, have one in common. A tile is (band, shingle) for a set's first shingles: it holds
+every linked pair. Sets near a band's upper end also enter the next band. Any order gives whole results; this one
+keeps tiles small, as a set's first shingles are those that hardly any other document has. Frequencies are counted over all documents
+in a table of hashed counters whose size is bounded (MAX_COUNTERS), so they are upper bounds.
 
 Bounds. A set has a bitmap of BITS hashed bits. A bit of A that B lacks stands for a shingle that B lacks, so bit
 counts bound the intersection from above; only pairs that pass it are intersected as sorted arrays.
 
 Work is kept linear. Equal sets are one node, from a digest collapsed on the map side. In a tile, every node is
-first compared with the tile's smallest node alone, and components of these links are formed. Only tiles that
-then still hold two components are compared in full, in blocks of at most BLOCK nodes, inside a task, leaving out
-pairs of one component. No link between components is lost, and copies are never expanded into pairs.
+first compared with the tile's smallest node alone, and components of these links are formed. Tiles of the same nodes
+count once. Only tiles that still hold two components are compared in full, in blocks of at most BLOCK nodes, inside a task, leaving out
+pairs of one component. Turns that compare only each node's most promising pairs join most components first; the last
+turn compares all pairs that are left. So no link between components is lost, and copies are never expanded into pairs.
 
 Tables in the shared folder cut the lineage. Frames are broadcast up to BROADCAST_ROWS narrow rows and joined by a shuffle
 beyond.
@@ -25,6 +27,7 @@ it is the only one; an empty table gives an empty result; other columns are igno
 from __future__ import annotations
 
 import math
+import zlib
 
 import numpy as np
 from pyspark import TaskContext
@@ -32,20 +35,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loamwork.llm.components import components
-from loamwork.llm.shared import doc_columns, written
+from loamwork.llm.shared import doc_columns, give_back, small_batches, written
 from loamwork.llm.shingles import WordHashes, mix, shingle_set
 
 #: Bits of a bitmap, steps of 1/t in a band, nodes of a block, narrow rows broadcast.
 BITS, BAND_STEPS, BLOCK, BROADCAST_ROWS = 1024, 3, 2048, 500_000
+#: Hashed counters for each document, their bounds, counters of a page.
+COUNTERS_PER_DOC, MIN_COUNTERS, MAX_COUNTERS, PAGE = 32, 1 << 16, 1 << 26, 1 << 16
+#: Most promising pairs of a node in a tile that are compared in a limited turn, and limited turns.
+BEST, LIMITED = 2, 6
 _NO_ID = (1 << 63) - 1
-_PART, _BAND = np.uint64(0x9E3779B97F4A7C15), 0xC2B2AE3D27D4EB4F
+_BAND = 0xC2B2AE3D27D4EB4F
 
 
 class Tiles:
-    """Tile keys for the threshold num/den."""
+    """Tile keys for the threshold num/den; levels: of each hashed counter, how frequent its shingles are."""
 
-    def __init__(self, num: int, den: int):
-        self.num, self.den = num, den
+    def __init__(self, num: int, den: int, levels: np.ndarray):
+        self.num, self.den, self.levels = num, den, levels
+        self.shift = np.uint64(65 - len(levels).bit_length())
         self.low = [1]  # smallest size of each band
 
     def band(self, n: int) -> int:
@@ -53,27 +61,64 @@ class Tiles:
             self.low.append(max(self.low[-1] + 1, math.floor(self.low[-1] * (self.den / self.num) ** BAND_STEPS)))
         return int(np.searchsorted(self.low, n, "right")) - 1
 
-    def difference(self, size: int) -> int:
-        """Largest symmetric difference of two linked sets with at most ``size`` shingles each."""
-        return 2 * size * (self.den - self.num) // (self.den + self.num)
-
     def keys(self, shingles: np.ndarray) -> np.ndarray:
         n = len(shingles)
         if self.den * (n - 1) < self.num * n and self.den * n < self.num * (n + 1):  # no other set can reach it
             return np.empty(0, np.uint64)
-        band, found = self.band(n), []
-        bands = [band]
-        self.band(self.low[band + 1])
-        if n * self.den >= self.low[band + 1] * self.num:
-            bands.append(band + 1)
-        content = mix(shingles + np.uint64(77))
-        for b in bands:
-            self.band(self.low[b + 1])
-            parts = self.difference(self.low[b + 1] - 1) + 1
-            sums = np.zeros(parts, np.uint64)
-            np.add.at(sums, (shingles % np.uint64(parts)).astype(np.int64), content)
-            found.append(mix(sums + np.arange(parts, dtype=np.uint64) * _PART + np.uint64((b * _BAND) % (1 << 64))))
-        return np.concatenate(found)
+        first = n - -(-self.num * n // self.den) + 1
+        order = np.lexsort((shingles, self.levels[(shingles >> self.shift).astype(np.int64)]))
+        head, band = shingles[order[:first]], self.band(n)
+        bands = [band, band + 1] if n * self.den >= self.low[band + 1] * self.num else [band]
+        return np.concatenate([mix(head + np.uint64((b + 1) * _BAND % (1 << 64))) for b in bands])
+
+
+def count_levels(docs: DataFrame, width: int, counters: int) -> np.ndarray:
+    """The count of each hashed counter, scaled down where the mean exceeds 64, up to 255: at most MAX_COUNTERS bytes.
+
+    Tasks count all documents' shingles and send compressed pages of counts (a task's count up to 255), which are summed by page.
+    """
+    page = min(PAGE, counters)
+    shift = np.uint64(65 - counters.bit_length())
+
+    def count(batches):
+        import pyarrow as pa
+
+        words, table, some = WordHashes(), np.zeros(counters, np.uint16), False
+        for batch in batches:
+            for a in range(0, batch.num_rows, 500):
+                for text in batch.column(0).slice(a, 500).to_pylist():
+                    s = shingle_set(text, width, words)
+                    some = some or len(s) > 0
+                    np.add.at(table, (s >> shift).astype(np.int64), np.uint16(1))
+                np.minimum(table, 255, out=table)  # 500 texts cannot wrap the rest
+        pages = table.reshape(-1, page)
+        used = np.flatnonzero(pages.any(axis=1)) if some else []
+        for k in range(0, len(used), 64):
+            part = used[k : k + 64]
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array([zlib.compress(pages[p].astype(np.uint8).tobytes(), 1) for p in part], pa.binary())], ["page", "counts"])
+        del table, pages
+        give_back()
+
+    def total(batches):
+        import pyarrow as pa
+
+        at, sums = None, None
+        row = lambda: pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([np.minimum(sums, 0xFFFFFFFF).astype("<u4").tobytes()], pa.binary())], ["page", "counts"])
+        for batch in batches:
+            for p, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if p != at:
+                    if at is not None:
+                        yield row()
+                    at, sums = p, np.zeros(page, np.uint64)
+                sums += np.frombuffer(zlib.decompress(c), np.uint8)
+        if at is not None:
+            yield row()
+
+    parts = small_batches(docs).select(F.col("text").cast("string")).mapInArrow(count, "page int, counts binary")
+    out = np.zeros(counters, np.uint32)
+    for p, c in parts.repartition("page").sortWithinPartitions("page").mapInArrow(total, "page int, counts binary").toLocalIterator():
+        out[p * page : (p + 1) * page] = np.frombuffer(c, "<u4")
+    return np.minimum(255, out / max(1.0, out.mean() / 64)).astype(np.uint8)
 
 
 def bitmap(shingles: np.ndarray) -> bytes:
@@ -88,14 +133,29 @@ def digest(shingles: np.ndarray) -> tuple[int, int]:
     return tuple(int(x.astype(np.int64)) for x in (np.asarray(a), np.asarray(b)))
 
 
-def may_link(bits_a: np.ndarray, bits_b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, num: int, den: int) -> np.ndarray:
-    """Whether the bit counts allow den * |A and B| >= num * |A or B|, for rows of uint64 words."""
+def most_common(bits_a: np.ndarray, bits_b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
+    """Upper bound of |A and B| from bit counts, for rows of uint64 words."""
     only_a = np.bitwise_count(bits_a & ~bits_b).sum(axis=1, dtype=np.int64)
     only_b = np.bitwise_count(bits_b & ~bits_a).sum(axis=1, dtype=np.int64)
-    most = np.minimum(n_a - only_a, n_b - only_b)
+    return np.minimum(n_a - only_a, n_b - only_b)
+
+
+def may_link(bits_a: np.ndarray, bits_b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Whether the bit counts allow den * |A and B| >= num * |A or B|."""
+    most = most_common(bits_a, bits_b, n_a, n_b)
     return den * most >= num * (n_a + n_b - most)
 
 
+def best_of_each(s: np.ndarray, t: np.ndarray, score: np.ndarray, tie: np.ndarray, most: int) -> np.ndarray:
+    """Numbers of the pairs (s, t) that are among the ``most`` with the highest score of s or of t."""
+    node, pair = np.concatenate([s, t]), np.tile(np.arange(len(s)), 2)
+    order = np.lexsort((tie[pair], -score[pair], node))
+    node = node[order]
+    first = np.flatnonzero(np.concatenate(([True], node[1:] != node[:-1])))
+    rank = np.arange(len(node)) - np.repeat(first, np.diff(np.append(first, len(node))))
+    return np.unique(pair[order][rank < most])
+
+
 def linked(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
     """Exact test on sorted distinct arrays."""
     both = np.concatenate([a, b])
@@ -104,13 +164,15 @@ def linked(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
     return den * common >= num * (len(a) + len(b) - common)
 
 
-def _nodes(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
+def _nodes(docs: DataFrame, width: int, num: int, den: int, counters: int | None = None) -> DataFrame:
     """One row for each row of docs: uid, doc_id, n, digest, bitmap, tile keys."""
+    counters = counters or min(MAX_COUNTERS, max(MIN_COUNTERS, 1 << (COUNTERS_PER_DOC * max(1, docs.count()) - 1).bit_length()))
+    levels = docs.sparkSession.sparkContext.broadcast(count_levels(docs, width, counters))
 
     def run(batches):
         import pyarrow as pa
 
-        tiles, words, uid = Tiles(num, den), WordHashes(), TaskContext.get().partitionId() << 33
+        tiles, words, uid = Tiles(num, den, levels.value), WordHashes(), TaskContext.get().partitionId() << 33
         for batch in batches:
             for a in range(0, batch.num_rows, 1000):
                 part = batch.slice(a, 1000)
@@ -124,6 +186,7 @@ def _nodes(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
                     ["uid", "doc_id", "text_hash", "n", "d1", "d2", "bits", "keys"],
                 )
                 uid += len(sets)
+        give_back()
 
     texts = doc_columns(docs).withColumn("text_hash", F.xxhash64("text"))
     return texts.mapInArrow(run, "uid long, doc_id long, text_hash long, n long, d1 long, d2 long, bits binary, keys array<long>")
@@ -187,15 +250,17 @@ def _verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, width: int, nu
     wanted = written(reps.select("uid", "doc_id", "d1", "d2").join(_small(ends), "uid", "left_semi"), "wanted")
     texts = doc_columns(docs).withColumnRenamed("doc_id", "its_id")
     found = texts.join(_small(wanted), F.col("its_id").eqNullSafe(F.col("doc_id"))).select("uid", "d1", "d2", "text")
-    arrays = written(found.mapInArrow(sets, "uid long, shingles binary"), "sets").dropDuplicates(["uid"])
-    arrays = written(arrays, "sets")
+    arrays = written(found.mapInArrow(sets, "uid long, shingles binary"), "sets")  # equal rows of docs only repeat links
     for end in ("a", "b"):
         pairs = pairs.join(arrays.select(F.col("uid").alias(end), F.col("shingles").alias(f"set_{end}")), end)
     return pairs.select("a", "b", "set_a", "set_b").mapInArrow(test, "a long, b long")
 
 
-def _crossing(members: DataFrame, labels: DataFrame, reps: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs of nodes in one tile but in different components, that sizes and bitmaps allow to link."""
+def _crossing(members: DataFrame, labels: DataFrame, reps: DataFrame, num: int, den: int, best: int | None) -> DataFrame:
+    """(a, b, cut): pairs of nodes in one tile but in different components, that sizes and bitmaps allow to link.
+
+    With ``best``, only pairs among that many most promising of one of their nodes in a tile; cut tells of others.
+    """
     named = members.join(labels, members["uid"] == labels["node"], "left").select("key", "uid", F.coalesce("label", "uid").alias("label"))
     named = written(named, "named")
     open_tiles = named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("size")).where("low < high").select("key", "size")
@@ -216,7 +281,7 @@ def _crossing(members: DataFrame, labels: DataFrame, reps: DataFrame, num: int,
             """All pairs inside each run of one (key, x, y): row i with row i + step, for all steps."""
             new = np.concatenate(([True], (c["key"][1:] != c["key"][:-1]) | (c["x"][1:] != c["x"][:-1]) | (c["y"][1:] != c["y"][:-1])))
             group = np.cumsum(new)
-            i, step, found = np.arange(len(group) - 1), 1, []
+            i, step, found, cut = np.arange(len(group) - 1), 1, [], False
             while len(i):
                 j = i + step
                 small = np.minimum(c["n"][i], c["n"][j])
@@ -224,15 +289,27 @@ def _crossing(members: DataFrame, labels: DataFrame, reps: DataFrame, num: int,
                 p, q = i[ok], j[ok]
                 for a in range(0, len(p), 100_000):
                     s, t = p[a : a + 100_000], q[a : a + 100_000]
-                    good = may_link(bits[s], bits[t], c["n"][s], c["n"][t], num, den)
-                    found.append(np.stack([np.minimum(c["uid"][s[good]], c["uid"][t[good]]), np.maximum(c["uid"][s[good]], c["uid"][t[good]])], 1))
+                    common = most_common(bits[s], bits[t], c["n"][s], c["n"][t])
+                    union = c["n"][s] + c["n"][t] - common
+                    good = den * common >= num * union
+                    found.append((s[good], t[good], (common / union)[good]))
+                if best and sum(len(f[0]) for f in found) > 200_000:
+                    found, cut = chosen(c, found, cut)
                 step += 1
                 i = i[(i + step < len(group))]
                 i = i[group[i] == group[i + step]]
-            return np.unique(np.concatenate(found), axis=0) if found else np.empty((0, 2), np.int64)
+            if best and found:
+                found, cut = chosen(c, found, cut)
+            s, t = (np.concatenate([f[k] for f in found]) if found else np.empty(0, np.int64) for k in (0, 1))
+            return np.unique(np.stack([np.minimum(c["uid"][s], c["uid"][t]), np.maximum(c["uid"][s], c["uid"][t])], 1), axis=0), cut
+
+        def chosen(c, found, cut):
+            s, t, score = (np.concatenate([f[k] for f in found]) for k in range(3))
+            keep = best_of_each(s, t, score, mix((c["uid"][s] ^ c["uid"][t]).astype(np.uint64)), best)
+            return [(s[keep], t[keep], score[keep])], cut or len(keep) < len(s)
 
-        def rows_of(found):
-            return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
+        def rows_of(found, cut):
+            return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1]), pa.array(np.full(len(found), cut))], ["a", "b", "cut"])
 
         for batch in batches:
             c, bits = {k: batch.column(k).to_numpy() for k in names}, _words(batch.column("bits").to_pylist())
@@ -241,12 +318,23 @@ def _crossing(members: DataFrame, labels: DataFrame, reps: DataFrame, num: int,
             last = np.flatnonzero((c["key"] != c["key"][-1]) | (c["x"] != c["x"][-1]) | (c["y"] != c["y"][-1])) if len(bits) else []
             cut = int(last[-1]) + 1 if len(last) else 0  # the last run may go on in the next batch
             if cut:
-                yield rows_of(compare({k: v[:cut] for k, v in c.items()}, bits[:cut]))
+                yield rows_of(*compare({k: v[:cut] for k, v in c.items()}, bits[:cut]))
             rest = ({k: v[cut:] for k, v in c.items()}, bits[cut:])
         if rest is not None and len(rest[1]):
-            yield rows_of(compare(*rest))
+            yield rows_of(*compare(*rest))
+
+    return dealt.select(*names, "bits").mapInArrow(pairs, "a long, b long, cut boolean")
 
-    return dealt.select(*names, "bits").mapInArrow(pairs, "a long, b long").distinct()
+
+def _distinct_tiles(members: DataFrame) -> DataFrame:
+    """members with their tile's leader, the smallest node, but for tiles that hold the same nodes as another.
+
+    A tile's nodes are known by their number and 128 bits that do not depend on order.
+    """
+    bits = [F.bit_xor(F.xxhash64(F.lit(seed), F.col("uid"))).alias(f"x{seed}") for seed in (1, 2)]
+    tiles = members.groupBy("key").agg(*bits, F.count(F.lit(1)).alias("size"), F.min("uid").alias("leader"))
+    kept = written(tiles.groupBy("x1", "x2", "size").agg(F.min(F.struct("key", "leader")).alias("t")).select("t.key", "t.leader"), "kept")
+    return written(members.join(kept, "key"), "members")
 
 
 def jaccard_groups(docs: DataFrame, width: int = 5, num: int = 8, den: int = 10) -> DataFrame:
@@ -257,19 +345,28 @@ def jaccard_groups(docs: DataFrame, width: int = 5, num: int = 8, den: int = 10)
     classes = written(full.select("d1", "d2", "n", F.col("first.uid").alias("rep"), F.col("first.doc_id").alias("rep_doc")), "classes")
     reps = nodes.join(classes.select(F.col("rep").alias("uid")), "uid", "left_semi")
     exploded = reps.select("uid", F.explode("keys").alias("key"))
-    shared = written(exploded.groupBy("key").agg(F.min("uid").alias("leader"), F.count(F.lit(1)).alias("size")).where("size > 1").select("key", "leader"), "tiles")
-    members = written(exploded.join(_small(shared), "key"), "members")
+    shared = exploded.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("key")
+    members = _distinct_tiles(written(exploded.join(shared, "key", "left_semi"), "members"))
     rep_rows = nodes.select("uid", "doc_id", "n", "d1", "d2", "bits")
     in_tiles = members.select("uid").distinct()
     rep_rows = written(rep_rows.join(_small(in_tiles), "uid", "left_semi"), "reps")
     star = members.where("uid <> leader").select(F.col("leader").alias("a"), F.col("uid").alias("b")).distinct()
     star = written(_bounded(star, rep_rows, num, den), "star")
     links = written(_verified(star, docs, rep_rows, width, num, den), "links")
-    labels = components(links)
-    crossing = written(_crossing(members.select("key", "uid"), labels, rep_rows, num, den).join(star, ["a", "b"], "left_anti"), "crossing")
-    more = written(_verified(crossing, docs, rep_rows, width, num, den), "links")
-    if more.limit(1).count():
-        labels = components(links.union(more))
+    labels, tested, best = components(links), star, BEST
+    for turn in range(LIMITED + 1):
+        crossing = written(_crossing(members.select("key", "uid"), labels, rep_rows, num, den, best), "crossing")
+        fresh = written(crossing.select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"), "fresh")
+        more = written(_verified(fresh, docs, rep_rows, width, num, den), "links")
+        merged = more.limit(1).count() > 0
+        if merged:
+            links = written(links.union(more), "links")
+            labels = components(links)
+        if not crossing.where("cut").limit(1).count():
+            break  # every pair between components was bounded, and all that passed were compared
+        tested = written(tested.union(fresh), "tested")
+        if not merged or turn == LIMITED - 1:
+            best = None
     named = classes.join(labels, classes["rep"] == labels["node"], "left").select("d1", "d2", "n", "rep_doc", "rep", F.coalesce("label", "rep").alias("label"))
     firsts = named.groupBy("label").agg(F.min(F.struct("rep_doc", "rep")).alias("low"))
     ids = named.join(firsts, "label").select("d1", "d2", "n", F.col("low.rep_doc").alias("component"), F.col("low.rep").alias("keeper_uid"))
@@ -284,10 +381,10 @@ def one_of_each(docs: DataFrame, width: int = 5, num: int = 8, den: int = 10) ->
     Rows equal in doc_id and text count as one row.
     """
     who = [F.col("doc_id").cast("long").alias("_j_id"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("_j_hash")]
-    kept = jaccard_groups(docs, width, num, den).where("keeper").select(F.col("doc_id").alias("_j_kept"), "text_hash").distinct()
+    kept = jaccard_groups(docs, width, num, den).where("keeper").select(F.col("doc_id").alias("_j_kept"), F.col("text_hash").alias("_j_text")).distinct()
     kept = written(kept, "kept")
     named = docs.select("*", *who)
-    out = named.join(kept, named["_j_id"].eqNullSafe(F.col("_j_kept")) & (named["_j_hash"] == F.col("text_hash")), "left_semi")
+    out = named.join(kept, F.col("_j_id").eqNullSafe(F.col("_j_kept")) & (F.col("_j_hash") == F.col("_j_text")), "left_semi")
     if docs.select(*who).groupBy("_j_id", "_j_hash").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").limit(1).count():
         out = out.dropDuplicates(["_j_id", "_j_hash"])
     return out.drop("_j_id", "_j_hash")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from functools import cache
@@ -45,6 +46,13 @@ def small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+def give_back() -> None:
+    """Returns freed memory to the system, where the C library can: workers are used again by other stages."""
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def doc_columns(docs: DataFrame, *names: str) -> DataFrame:
     """doc_id as long and text (null: empty), by position in the frame's own columns whatever others there are."""
     return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *names)

@@ -86,7 +86,7 @@ def test_linked_sets_share_a_tile_and_pass_the_bound():
         b = b[: r.randint(int(0.92 * n), n)]
         s, t = (shingle_set(" ".join(x), 3, words) for x in (a, b))
         if len(s) and len(t) and jaccard.linked(s, t, 90, 100) and s.tobytes() != t.tobytes():
-            tiles = jaccard.Tiles(90, 100)
+            tiles = jaccard.Tiles(90, 100, np.random.default_rng(n).integers(0, 3, 64).astype(np.uint8))
             assert set(tiles.keys(s).tolist()) & set(tiles.keys(t).tolist())
             bits = [np.frombuffer(jaccard.bitmap(x), np.uint64)[None] for x in (s, t)]
             assert jaccard.may_link(*bits, np.array([len(s)]), np.array([len(t)]), 90, 100)[0]

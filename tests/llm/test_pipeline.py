@@ -66,3 +66,17 @@ def test_run(spark, folder):
     for r in out:
         held[r.doc_id] = held.get(r.doc_id, 0) + r.length
         assert held[r.doc_id] <= r.doc_tokens
+
+
+@pytest.mark.parametrize("rows", [[], [(None, None), (1, None), (1, ""), (2, "w " * 60_000), (2, "w " * 60_000), (3, "a\nb"), (None, "a b c d e f g")]])
+def test_edge_rows_and_clashing_columns(spark, folder, rows):
+    names = ["score", "n_lines", "keeper", "key", "text_hash", "uid", "_merge", "held_out"]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} string" for n in names)
+    docs = spark.createDataFrame([(i, t, None, None, None, *names) for i, t in rows], schema)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        before = docs.count()
+        docs = stage(spark, docs, folder)
+        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars", *names] and docs.count() <= before, name
+        assert all(tuple(r)[5:] == tuple(names) for r in docs.collect())
+    packed = corpus_pipeline.packing(spark, docs, folder)
+    assert packed.select("doc_id").distinct().count() == docs.select("doc_id").distinct().count()
