@@ -10,7 +10,7 @@ _FEATURES = ["l_quantity", "l_discount", "l_tax"]
 
 
 def _lines(spark, sf_dir):
-    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", *_FEATURES, "l_extendedprice").where("l_orderkey % 10 = 0")
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", *_FEATURES, "l_extendedprice")
 
 
 _MI = "x AS (SELECT least(floor((l_quantity - 1) / (49 / 16::DOUBLE)), 15) AS q, least(floor((l_linenumber - 1) / (6 / 16::DOUBLE)), 15) AS n, least(floor((l_extendedprice - lo) / (hi - lo) * 16), 15) AS y FROM lineitem, (SELECT min(l_extendedprice) AS lo, max(l_extendedprice) AS hi FROM lineitem))"
