@@ -37,10 +37,10 @@ PATTERNS = [
     ("access_key", re.compile(r"\b((?:AKIA|ASIA)[A-Z0-9]{16})\b")),
     ("platform_token", re.compile(r"\b((?:gh[pousr]_[A-Za-z0-9]{36,}|github_pat_\w{22,}|glpat-[\w-]{20,}|xox[abprs]-[\w-]{10,}|sk_(?:live|test)_\w{16,}|sk-[A-Za-z0-9_-]{20,}|AIza[\w-]{35}|npm_[A-Za-z0-9]{36}|hf_[A-Za-z0-9]{30,}))")),
     ("web_token", re.compile(r"\b(eyJ[\w-]{8,}\.eyJ[\w-]{8,}\.[\w-]{8,})")),
-    ("url_password", re.compile(r"\b[a-z][a-z0-9+.-]{1,15}://[^\s:/@]{1,64}:([^\s:/@]{3,128})@")),
-    ("assigned", re.compile(r"(?i)\b([a-z_][\w.-]{0,40}(?<![\W_]))[\"']?\s{0,3}(?::=|=>|[:=])\s{0,3}[\"']([^\s\"']{8,256})[\"']")),
-    ("assigned", re.compile(r"(?i)\b((?:[a-z]{1,20}[_-]){0,4}(?:api_?key|access_?key|secret(?:_?key)?|token|passw(?:or)?d|pwd|credentials?|auth))\s{0,3}[:=]\s{0,3}([^\s\"',;]{8,256})")),
-    ("opaque", re.compile(r"(?<![\w/+=.@-])([A-Za-z0-9][A-Za-z0-9_+/-]{18,254}[A-Za-z0-9]={0,2})(?![\w/+=@])")),
+    ("url_password", re.compile(r"\b[a-z][a-z0-9+.-]{1,15}://[^\s:/@]{1,64}:([^\s:/@]{3,}+)@")),
+    ("assigned", re.compile(r"(?i)\b([a-z_][\w.-]{0,40}(?<![\W_]))[\"']?\s{0,3}(?::=|=>|[:=])\s{0,3}[\"']([^\s\"']{8,}+)[\"']")),
+    ("assigned", re.compile(r"(?i)\b((?:[a-z]{1,20}[_-]){0,4}(?:api_?key|access_?key|secret(?:_?key)?|token|passw(?:or)?d|pwd|credentials?|auth))\s{0,3}[:=]\s{0,3}([^\s\"',;]{8,}+)")),
+    ("opaque", re.compile(r"(?<![\w/+=.@-])([A-Za-z0-9][A-Za-z0-9_+/-]{18,}[A-Za-z0-9]={0,2})(?![\w/+=@])")),
 ]
 #: Words that go with a secret, and words that go with its absence.
 SECRET_WORDS = frozenset("key keys apikey secret secrets token tokens password passwd pwd pass passphrase credential credentials auth authorization bearer private access login signature salt cert".split())
@@ -82,7 +82,7 @@ def _coverage(text: str) -> float:
 
 def features(secret: str, kind: str, name: str, near: list[str], path: str) -> list[float]:
     """The features of a candidate; near: lower-case words around it."""
-    s = secret[:512]  # a pattern's match is bounded, but for key blocks, whose kind decides
+    s = secret[:512]  # for the features only; a match has no upper bound, and its start tells its kind
     n = max(1, len(s))
     shares = [sum(map(test, s)) / n for test in (str.isdigit, str.isupper, str.islower)]
     counts = np.array([s.count(c) for c in set(s)]) / n

@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 import numpy as np
 
@@ -51,3 +52,20 @@ def test_forest():
     f = grow(x[:400], y[:400])
     assert ((f.scores(x[400:]) >= 0.5) == y[400:]).mean() > 0.9
     assert grow(x, np.ones(600, int)).scores(x).min() == 1.0
+
+
+def test_long_secrets_are_found_and_redacted_whole():
+    r = random.Random(5)
+    for n in (300, 5_000):
+        v = "".join(r.choice("abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789") for _ in range(n))
+        for before, after in (('the token = "', '" and on'), ("the token=", ", next"), ("SECRET_KEY: '", "'"), ("postgres://bob:", "@db.example.net/x"), ("bearer ", " it said")):
+            t = before + v + after
+            ((a, b, _, score),) = secrets.scan(t, "", secrets.model())
+            assert t[a:b] == v and score >= 0.5, (n, before)
+
+
+def test_patterns_stay_linear():
+    for t in ("k='" * 100_000, "a.b-c.d=\"" + "x" * 500_000, "A1-" * 200_000 + "@", "a://b:" * 50_000, "token=" * 50_000):
+        start = time.process_time()
+        secrets.candidates(t)
+        assert time.process_time() - start < 10, t[:10]
