@@ -4,9 +4,9 @@ A page's markup is stripped into blocks: runs of text between block-level tags o
 Elements that never hold the article (scripts, styles, forms, navigation, headers, footers, asides, and elements whose
 class, id or role names a notice, an advert, a menu, a sidebar or comments) leave no blocks. The rest's text lengths,
 links taken off, are summed over sliding windows of WINDOW lines. A surge is where the sum rises to the threshold, a
-dive where it falls back to nothing; the stretch between them with the most text is the main text. Its ends are
-then moved to the ends of the section (article, main or the innermost section that holds the stretch's most text), so
-that short lines at an article's start or end stay with it.
+dive where it falls back to nothing; the stretch between them with the most text is the main text, all of it. What
+else the section around it holds (an article or main rather than a section or div inside, the innermost with all or
+nearly all of the stretch's text) is added, so that short lines at an article's start or end stay with it.
 
 Defined cases: null or empty html has no text, as has a page of boilerplate alone; unclosed and crossing tags are
 taken as browsers take them for the purpose (an end tag closes up to its start, unknown ones are ignored); a page cut
@@ -63,7 +63,7 @@ def _boilerplate(name: str, attributes: str) -> bool:
 class Block:
     __slots__ = ("text", "linked", "sections")
 
-    def __init__(self, text: str, linked: int, sections: tuple[int, ...]):
+    def __init__(self, text: str, linked: int, sections: tuple[tuple[int, str], ...]):
         self.text, self.linked, self.sections = text, linked, sections
 
 
@@ -87,7 +87,7 @@ def blocks(html: str) -> list[Block]:
         if parts:
             text = " ".join(unescape("".join(parts)).split())
             if text:
-                out.append(Block(text, linked, tuple(n for name, _, n in stack if name in SECTIONS)))
+                out.append(Block(text, linked, tuple((n, name) for name, _, n in stack if name in SECTIONS)))
             parts.clear()
         linked = 0
 
@@ -166,17 +166,26 @@ def main_text(html: str | None) -> str:
     first, last = stretch(weights)
     if last <= first:
         first, last = 0, len(found)  # too little text for a surge: all of it
-    shares: dict[int, int] = {}
-    for b, w in zip(found[first:last], weights[first:last]):
+    else:
+        while not weights[first]:
+            first += 1  # the window before a surge may start with lines of links alone
+    inside = section_of(found[first:last], weights[first:last])
+    return "\n".join(b.text for k, b in enumerate(found) if first <= k < last or inside in b.sections)
+
+
+def section_of(lines: list[Block], weights: list[int]) -> tuple[int, str] | None:
+    """The section whose ends a stretch takes: one that holds all its text, or else nearly all; articles first, and body last."""
+    shares: dict[tuple[int, str], int] = {}
+    for b, w in zip(lines, weights):
         for s in b.sections:
             shares[s] = shares.get(s, 0) + w
-    if not shares:
-        return "\n".join(b.text for b in found[first:last])
-    total = sum(weights[first:last])
-    most = max(shares.values())
-    # the innermost section with nearly all of the best one's text: sections are numbered as they open
-    section = max(s for s, w in shares.items() if w >= 0.9 * most or w >= total)
-    return "\n".join(b.text for b in found if section in b.sections)
+    total = sum(weights)
+    for names in (("article", "main"), ("section", "div"), ("body",)):
+        for least in (total, 0.9 * total):
+            # the innermost: sections are numbered as they open
+            if held := [s for s, w in shares.items() if s[1] in names and w >= least]:
+                return max(held)
+    return None
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -32,6 +32,28 @@ def test_cut_off_pages_and_odd_input():
     assert main_text(f"<article><p>{long}</p></article>") == long.strip()
 
 
+LONG = "A paragraph of the article with enough text to count as its body. " * 8
+
+
+@pytest.mark.parametrize("inner", ["div", "section", "div class='text'"])
+@pytest.mark.parametrize("outer", ["article", "main", "div id='content'"])
+def test_lines_around_an_inner_section_stay(outer, inner):
+    middle = f"<{inner}><p>{LONG}</p><p>{LONG}</p></{inner.split()[0]}>"
+    page = f"<body><nav>A menu</nav><{outer}><h1>T</h1><p>lead</p>{middle}<p>end</p></{outer.split()[0]}><footer>foot</footer></body>"
+    assert main_text(page) == "\n".join(["T", "lead", LONG.strip(), LONG.strip(), "end"])
+
+
+def test_short_lines_beyond_the_stretch_stay_with_the_article():
+    short = ["T", "by", "on", "at", "x"]
+    page = "<body><article>" + "".join(f"<p>{x}</p>" for x in short) + f"<div><p>{LONG}</p></div><p><a href=x>y</a></p><p><a href=x>z</a></p><p><a href=x>w</a></p><p>end</p></article></body>"
+    assert main_text(page) == "\n".join([*short, LONG.strip(), "y", "z", "w", "end"])
+
+
+def test_text_of_the_stretch_outside_the_section_stays():
+    page = f"<body><div><p>{LONG}</p><p>{LONG}</p></div><p>The last line.</p></body>"
+    assert main_text(page) == "\n".join([LONG.strip(), LONG.strip(), "The last line."])
+
+
 def test_stretch():
     assert stretch([0, 0, 50, 10, 0, 60, 0, 0, 0, 9, 0, 45, 0], 3, 40) == (0, 6)
     assert stretch([], 3, 40) == stretch([5, 5], 3, 40) == (0, 0)
