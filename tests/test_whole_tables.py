@@ -3,13 +3,13 @@
 import os
 
 import pytest
-from pyspark.sql import functions as F
+from oracle import compare
 
 from loamwork.plans import catalog, model_queries
 from loamwork.plans.base import table
 
 SF = "/root/testdata/sf0.001"
-QUERIES = catalog.queries()
+QUERIES, SQL = catalog.queries(), catalog.oracle_sql()
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
 
 
@@ -23,3 +23,19 @@ def test_models_take_all_lines(spark):
     assert ids(model_queries._lines(spark, SF), "l_orderkey", "l_linenumber") == want
     for name in ("model_ridge", "model_cross_validated"):
         assert ids(QUERIES[name](spark, SF), "l_orderkey", "l_linenumber") == want, name
+
+
+def whole(spark, name, part):
+    """What differs from the query's SQL without the condition that takes a part of the table."""
+    assert SQL[name].count(part) == 1
+    return compare(spark, QUERIES[name], SQL[name].replace(part, ""), SF)
+
+
+@pytest.mark.parametrize("name", ["join_interval_overlap", "soil_slice_means"])
+def test_horizons_are_of_all_profiles(spark, name):
+    assert whole(spark, name, " WHERE l_orderkey % 5 = 0") == []
+
+
+def test_curves_are_of_all_profiles(spark):
+    profiles = QUERIES["soil_harmonise_curve"](spark, SF).select("profile_id").distinct()
+    assert ids(profiles, "profile_id") == ids(table(spark, SF, "lineitem").select("l_orderkey").distinct(), "l_orderkey")
