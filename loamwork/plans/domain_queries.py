@@ -401,7 +401,7 @@ def words_box_union(spark, sf_dir):
 
 @query("words_box_overlap", "WITH b AS (SELECT l_orderkey AS o, l_linenumber AS n, l_partkey AS p, l_linenumber * 10.0::DOUBLE AS x, l_quantity AS y, 20.0::DOUBLE AS w, 15.0::DOUBLE AS h FROM lineitem WHERE l_orderkey % 11 = 0) SELECT a.o, a.n AS n1, a.p AS p1, b.n AS n2, b.p AS p2, round(i / (a.w * a.h + b.w * b.h - i), 6) AS iou FROM (SELECT a, b, greatest(least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x), 0) * greatest(least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y), 0) AS i FROM b a JOIN b ON a.o = b.o AND a.n < b.n)")
 def words_box_overlap(spark, sf_dir):
-    side = lambda k: table(spark, sf_dir, "lineitem").where("l_orderkey % 11 = 0").select(F.col("l_orderkey").alias("o"), F.col("l_linenumber").alias(f"n{k}"), F.col("l_partkey").alias(f"p{k}"), (F.col("l_linenumber") * 10.0).alias(f"x{k}"), F.col("l_quantity").alias(f"y{k}"))
+    side = lambda k: table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o"), F.col("l_linenumber").alias(f"n{k}"), F.col("l_partkey").alias(f"p{k}"), (F.col("l_linenumber") * 10.0).alias(f"x{k}"), F.col("l_quantity").alias(f"y{k}"))
     size = (F.lit(20.0), F.lit(15.0))
     pairs = side(1).join(side(2), "o").where("n1 < n2")
     return pairs.select("o", "n1", "p1", "n2", "p2", F.round(geometry.overlap_ratio((F.col("x1"), F.col("y1"), *size), (F.col("x2"), F.col("y2"), *size)), 6).alias("iou"))
@@ -446,7 +446,7 @@ def json_daily_arrays(spark, sf_dir):
     """Daily arrays in JSON, back to rows."""
     from loamwork.sources.readers import weather_days
 
-    d = table(spark, sf_dir, "events").where("user_id < 20").groupBy("user_id", F.to_date("ts").cast("string").alias("t")).agg(F.min("value").alias("a"), F.max("value").alias("b"))
+    d = table(spark, sf_dir, "events").groupBy("user_id", F.to_date("ts").cast("string").alias("t")).agg(F.min("value").alias("a"), F.max("value").alias("b"))
     arrays = d.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("t", "a", "b"))).alias("r"))
     js = arrays.select("user_id", F.to_json(F.struct(F.struct(F.col("r.t").alias("time"), F.col("r.a").alias("temperature_2m_min"), F.col("r.b").alias("temperature_2m_max")).alias("daily"))).alias("value"))
     return weather_days(js, ["user_id"]).withColumn("tmean", F.round("tmean", 6))
@@ -455,7 +455,7 @@ def json_daily_arrays(spark, sf_dir):
 @query("json_nested_layers", "SELECT event_id, round((user_id + 0.5) / 10, 6) AS sg_clay, round(value / 10, 6) AS sg_sand FROM events WHERE event_id < 500")
 def json_nested_layers(spark, sf_dir):
     """Layers of a nested payload as columns sg_<name> = mean / 10."""
-    e = table(spark, sf_dir, "events").where("event_id < 500")
+    e = table(spark, sf_dir, "events")
     layer = lambda n, v: F.struct(F.lit(n).alias("name"), F.array(F.struct(F.struct(v.cast("double").alias("mean")).alias("values"))).alias("depths"))
     js = e.select("event_id", F.to_json(F.struct(F.array(layer("clay", F.col("user_id") + 0.5), layer("sand", F.col("value"))).alias("layers"))).alias("js"))
     shape = "struct<layers:array<struct<name:string,depths:array<struct<values:struct<mean:double>>>>>>"

@@ -39,3 +39,8 @@ def test_horizons_are_of_all_profiles(spark, name):
 def test_curves_are_of_all_profiles(spark):
     profiles = QUERIES["soil_harmonise_curve"](spark, SF).select("profile_id").distinct()
     assert ids(profiles, "profile_id") == ids(table(spark, SF, "lineitem").select("l_orderkey").distinct(), "l_orderkey")
+
+
+@pytest.mark.parametrize("name,part", [("words_box_overlap", " WHERE l_orderkey % 11 = 0"), ("json_daily_arrays", " WHERE user_id < 20"), ("json_nested_layers", " WHERE event_id < 500")])
+def test_boxes_and_json_of_all_rows(spark, name, part):
+    assert whole(spark, name, part) == []
