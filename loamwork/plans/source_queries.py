@@ -21,7 +21,7 @@ def source_csv(spark, sf_dir):
 def source_tsv_pair(spark, sf_dir):
     """Profiles and layers as two tab-separated tables, joined on the left."""
     a, b = path(spark, "layers"), path(spark, "profiles")
-    table(spark, sf_dir, "lineitem").where("l_orderkey % 50 < 2").select(F.col("l_orderkey").alias("profile"), F.col("l_linenumber").alias("layer"), F.col("l_quantity").alias("depth")).write.option("header", True).option("sep", "\t").csv(a)
+    table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("profile"), F.col("l_linenumber").alias("layer"), F.col("l_quantity").alias("depth")).write.option("header", True).option("sep", "\t").csv(a)
     table(spark, sf_dir, "orders").where("o_orderkey % 2 = 0").select(F.col("o_orderkey").alias("profile"), F.col("o_orderstatus").alias("country")).write.option("header", True).option("sep", "\t").csv(b)
     layers = readers.read_table(spark, a, "profile long, layer int, depth double", "\t")
     return readers.profiles_with_layers(layers, readers.read_table(spark, b, "profile long, country string", "\t"), "profile")
@@ -119,7 +119,7 @@ def source_xml_vector(spark, sf_dir):
 @query("source_periods", "SELECT o_orderkey, i::INTEGER AS k, d + i::INTEGER * greatest((o_orderkey % 400) // 12, 1)::INTEGER AS first FROM (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS d, unnest(range(12)) AS i FROM orders WHERE o_orderkey % 10 = 0)")
 def source_periods(spark, sf_dir):
     d = F.to_date("o_orderdate")
-    o = table(spark, sf_dir, "orders").where("o_orderkey % 10 = 0").select("o_orderkey", F.posexplode(readers.periods(d, F.date_add(d, (F.col("o_orderkey") % 400).cast("int")))).alias("k", "p"))
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.posexplode(readers.periods(d, F.date_add(d, (F.col("o_orderkey") % 400).cast("int")))).alias("k", "p"))
     return o.select("o_orderkey", "k", "p.first")
 
 
@@ -146,7 +146,7 @@ def source_strata(spark, sf_dir):
 @query("sink_both_formats", "SELECT c_custkey, c_mktsegment, c_acctbal FROM customer WHERE c_custkey % 2 = 0")
 def sink_both_formats(spark, sf_dir):
     at = path(spark, "export")
-    sinks.export(table(spark, sf_dir, "customer").where("c_custkey % 2 = 0").select("c_custkey", "c_mktsegment", "c_acctbal"), at)
+    sinks.export(table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", "c_acctbal"), at)
     csv = readers.read_table(spark, f"{at}/csv", "c_custkey long, c_mktsegment string, c_acctbal double")
     return spark.read.parquet(f"{at}/parquet").intersect(csv)
 

@@ -44,3 +44,8 @@ def test_curves_are_of_all_profiles(spark):
 @pytest.mark.parametrize("name,part", [("words_box_overlap", " WHERE l_orderkey % 11 = 0"), ("json_daily_arrays", " WHERE user_id < 20"), ("json_nested_layers", " WHERE event_id < 500")])
 def test_boxes_and_json_of_all_rows(spark, name, part):
     assert whole(spark, name, part) == []
+
+
+@pytest.mark.parametrize("name,part", [("source_tsv_pair", " WHERE l_orderkey % 50 < 2"), ("source_periods", " WHERE o_orderkey % 10 = 0"), ("sink_both_formats", " WHERE c_custkey % 2 = 0")])
+def test_sources_and_sinks_of_all_rows(spark, name, part):
+    assert whole(spark, name, part) == []
