@@ -57,6 +57,20 @@ def test_verdicts_and_cases(spark):
             assert r.kept == (not r.base_failed and i % 9 != 0 if i is not None and i < 5000 else not r.base_failed), (i, r)
 
 
+def test_symbols_of_seven_to_ten_percent_are_rejected_and_one_percent_stays(spark):
+    r, data = random.Random(3), []
+    for k in range(900):
+        w = ["".join(r.choice("abcdefghij") for _ in range(r.randint(4, 8))) for _ in range(80)]
+        share = (0.072 + 0.0003 * (k % 90)) if k % 9 == 0 else 0.01 if k % 9 == 1 else 0
+        n = sum(map(len, w))
+        for j in range(int(np.ceil(n * share / (1 - share)))):
+            w[j % 80] += "#"
+        data.append((k, " ".join(w), "en", "hot"))
+    got = {x.doc_id: x for x in robust.quality_rules(spark.createDataFrame(data, "doc_id long, text string, lang string, source string")).collect()}
+    assert all(0.07 < got[k].n_symbols / got[k].word_chars < 0.11 for k in range(0, 900, 9))
+    assert {k for k, x in got.items() if not x.kept} == set(range(0, 900, 9))
+
+
 def test_empty_table(spark):
     assert robust.quality_rules(spark.createDataFrame([], "doc_id long, text string, lang string, source string")).count() == 0
 
