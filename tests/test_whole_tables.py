@@ -49,3 +49,11 @@ def test_boxes_and_json_of_all_rows(spark, name, part):
 @pytest.mark.parametrize("name,part", [("source_tsv_pair", " WHERE l_orderkey % 50 < 2"), ("source_periods", " WHERE o_orderkey % 10 = 0"), ("sink_both_formats", " WHERE c_custkey % 2 = 0")])
 def test_sources_and_sinks_of_all_rows(spark, name, part):
     assert whole(spark, name, part) == []
+
+
+def test_daily_arrays_are_of_all_users(spark):
+    # the smallest tables have no user beyond 19
+    users = spark.createDataFrame([(1, 3, "2024-01-05 01:00:00", 2.0), (2, 500, "2024-01-05 01:00:00", 4.0)], "event_id long, user_id long, ts string, value double")
+    at = __import__("tempfile").mkdtemp()
+    users.withColumn("ts", users.ts.cast("timestamp")).write.parquet(f"{at}/events.parquet")
+    assert ids(QUERIES["json_daily_arrays"](spark, at), "user_id") == [(3,), (500,)]
