@@ -16,8 +16,10 @@ count once. Only tiles that still hold two components are compared in full, in b
 pairs of one component. Turns that compare only each node's most promising pairs join most components first; the last
 turn compares all pairs that are left. So no link between components is lost, and copies are never expanded into pairs.
 
-Tables in the shared folder cut the lineage. Frames are broadcast up to BROADCAST_ROWS narrow rows and joined by a shuffle
-beyond.
+Tables in the shared folder cut the lineage. Narrow frames are broadcast up to a counted number of rows and joined by a shuffle
+beyond; pairs meet their nodes' bitmaps and sets by a shuffle in which a node with many pairs is dealt over many tasks.
+Sets are 64-bit hashes of shingles, so results are exact up to collisions of these: two different shingles of 10^6 share
+a hash with a chance of 3 in 10^8.
 
 Defined cases: null or wordless texts have no shingles and link with nothing; rows with one doc_id are
 nodes of their own that share the id; a null doc_id is larger than any and stays null as a component's id if
@@ -35,11 +37,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loamwork.llm.components import components
-from loamwork.llm.shared import doc_columns, give_back, small_batches, written
+from loamwork.llm.shared import doc_columns, drop_since, give_back, key_sizes, lookup, mark, small, small_batches, written
 from loamwork.llm.shingles import WordHashes, mix, shingle_set
 
-#: Bits of a bitmap, steps of 1/t in a band, nodes of a block, narrow rows broadcast.
-BITS, BAND_STEPS, BLOCK, BROADCAST_ROWS = 1024, 3, 2048, 500_000
+#: Bits of a bitmap, steps of 1/t in a band, nodes of a block.
+BITS, BAND_STEPS, BLOCK = 1024, 3, 256
 #: Hashed counters for each document, their bounds, counters of a page.
 COUNTERS_PER_DOC, MIN_COUNTERS, MAX_COUNTERS, PAGE = 32, 1 << 16, 1 << 26, 1 << 16
 #: Most promising pairs of a node in a tile that are compared in a limited turn, and limited turns.
@@ -118,7 +120,10 @@ def count_levels(docs: DataFrame, width: int, counters: int) -> np.ndarray:
     out = np.zeros(counters, np.uint32)
     for p, c in parts.repartition("page").sortWithinPartitions("page").mapInArrow(total, "page int, counts binary").toLocalIterator():
         out[p * page : (p + 1) * page] = np.frombuffer(c, "<u4")
-    return np.minimum(255, out / max(1.0, out.mean() / 64)).astype(np.uint8)
+    scale, levels = max(1.0, float(out.mean(dtype=np.float64)) / 64), np.zeros(counters, np.uint8)
+    for a in range(0, counters, page):
+        levels[a : a + page] = np.minimum(255, out[a : a + page] / scale)
+    return levels
 
 
 def bitmap(shingles: np.ndarray) -> bytes:
@@ -192,17 +197,12 @@ def _nodes(docs: DataFrame, width: int, num: int, den: int, counters: int | None
     return texts.mapInArrow(run, "uid long, doc_id long, text_hash long, n long, d1 long, d2 long, bits binary, keys array<long>")
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """df as a broadcast side if its rows are few, else as it is."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
-
-
 def _words(column, rows=slice(None)) -> np.ndarray:
     return np.frombuffer(b"".join(column), np.uint64).reshape(-1, BITS // 64)[rows]
 
 
 def _bounded(pairs: DataFrame, reps: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs (a, b) that sizes and bitmaps allow to link."""
+    """Pairs (a, b) of a written table that sizes and bitmaps allow to link."""
 
     def run(batches):
         import pyarrow as pa
@@ -213,8 +213,9 @@ def _bounded(pairs: DataFrame, reps: DataFrame, num: int, den: int) -> DataFrame
                 keep = may_link(_words(c["bits_a"].to_pylist()), _words(c["bits_b"].to_pylist()), c["n_a"].to_numpy(), c["n_b"].to_numpy(), num, den)
                 yield pa.RecordBatch.from_arrays([c["a"], c["b"]], ["a", "b"]).filter(pa.array(keep))
 
-    for end in ("a", "b"):
-        pairs = pairs.join(reps.select(F.col("uid").alias(end), F.col("n").alias(f"n_{end}"), F.col("bits").alias(f"bits_{end}")), end)
+    sizes = {end: key_sizes(pairs, end) for end in ("a", "b")}
+    for end, other in (("a", "b"), ("b", "a")):
+        pairs = lookup(pairs, reps.select(F.col("uid").alias(end), F.col("n").alias(f"n_{end}"), F.col("bits").alias(f"bits_{end}")), end, other, sizes=sizes[end])
         if end == "b":
             pairs = pairs.where(F.least("n_a", "n_b") * den >= F.greatest("n_a", "n_b") * num)
     return pairs.select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(run, "a long, b long")
@@ -231,7 +232,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, width: int, nu
             uids, d1, d2, found = batch.column("uid").to_pylist(), batch.column("d1").to_pylist(), batch.column("d2").to_pylist(), ([], [])
             for k, text in enumerate(batch.column("text").to_pylist()):
                 s = shingle_set(text, width, words)
-                if digest(s) == (d1[k], d2[k]):  # else another row with this doc_id
+                if digest(s) == (d1[k], d2[k]):  # else another text with this doc_id and hash
                     found[0].append(uids[k])
                     found[1].append(s.tobytes())
                 if len(found[0]) == 500 or k == batch.num_rows - 1:
@@ -247,12 +248,13 @@ def _verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, width: int, nu
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     ends = pairs.select(F.col("a").alias("uid")).union(pairs.select(F.col("b").alias("uid"))).distinct()
-    wanted = written(reps.select("uid", "doc_id", "d1", "d2").join(_small(ends), "uid", "left_semi"), "wanted")
-    texts = doc_columns(docs).withColumnRenamed("doc_id", "its_id")
-    found = texts.join(_small(wanted), F.col("its_id").eqNullSafe(F.col("doc_id"))).select("uid", "d1", "d2", "text")
+    wanted = written(reps.select("uid", "doc_id", "text_hash", "d1", "d2").join(small(ends), "uid", "left_semi"), "wanted")
+    texts = doc_columns(docs).select(F.col("doc_id").alias("its_id"), "text", F.xxhash64("text").alias("its_hash"))
+    found = texts.join(small(wanted), (F.col("its_hash") == F.col("text_hash")) & F.col("its_id").eqNullSafe(F.col("doc_id"))).select("uid", "d1", "d2", "text")
     arrays = written(found.mapInArrow(sets, "uid long, shingles binary"), "sets")  # equal rows of docs only repeat links
-    for end in ("a", "b"):
-        pairs = pairs.join(arrays.select(F.col("uid").alias(end), F.col("shingles").alias(f"set_{end}")), end)
+    sizes = {end: key_sizes(pairs, end) for end in ("a", "b")}
+    for end, other in (("a", "b"), ("b", "a")):
+        pairs = lookup(pairs, arrays.select(F.col("uid").alias(end), F.col("shingles").alias(f"set_{end}")), end, other, sizes=sizes[end])
     return pairs.select("a", "b", "set_a", "set_b").mapInArrow(test, "a long, b long")
 
 
@@ -264,7 +266,7 @@ def _crossing(members: DataFrame, labels: DataFrame, reps: DataFrame, num: int,
     named = members.join(labels, members["uid"] == labels["node"], "left").select("key", "uid", F.coalesce("label", "uid").alias("label"))
     named = written(named, "named")
     open_tiles = named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("size")).where("low < high").select("key", "size")
-    rows = named.join(open_tiles, "key").join(reps.select("uid", "n", "bits"), "uid")
+    rows = lookup(named, open_tiles, "key", "uid").join(reps.select("uid", "n", "bits"), "uid")
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("uid"), blocks).cast("int")
     places = F.transform(F.sequence(F.lit(0), blocks - 1), lambda i: F.struct(F.least(i, own).alias("x"), F.greatest(i, own).alias("y")))
@@ -332,25 +334,26 @@ def _distinct_tiles(members: DataFrame) -> DataFrame:
     A tile's nodes are known by their number and 128 bits that do not depend on order.
     """
     bits = [F.bit_xor(F.xxhash64(F.lit(seed), F.col("uid"))).alias(f"x{seed}") for seed in (1, 2)]
-    tiles = members.groupBy("key").agg(*bits, F.count(F.lit(1)).alias("size"), F.min("uid").alias("leader"))
+    tiles = written(members.groupBy("key").agg(*bits, F.count(F.lit(1)).alias("size"), F.min("uid").alias("leader")), "tiles")
     kept = written(tiles.groupBy("x1", "x2", "size").agg(F.min(F.struct("key", "leader")).alias("t")).select("t.key", "t.leader"), "kept")
-    return written(members.join(kept, "key"), "members")
+    return written(lookup(members, kept, "key", "uid", sizes=tiles.select("key", F.col("size").alias("_n"))), "members")
 
 
 def jaccard_groups(docs: DataFrame, width: int = 5, num: int = 8, den: int = 10) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable by links), keeper (true in one row of each component), text_hash."""
+    spark, first_table = docs.sparkSession, mark()
     nodes = written(_nodes(docs, width, num, den), "nodes")
     narrow = nodes.select("uid", F.coalesce("doc_id", F.lit(_NO_ID)).alias("doc_id"), "text_hash", "n", "d1", "d2")
     full = narrow.where("n > 0").groupBy("d1", "d2", "n").agg(F.min(F.struct("doc_id", "uid")).alias("first"))
     classes = written(full.select("d1", "d2", "n", F.col("first.uid").alias("rep"), F.col("first.doc_id").alias("rep_doc")), "classes")
     reps = nodes.join(classes.select(F.col("rep").alias("uid")), "uid", "left_semi")
     exploded = reps.select("uid", F.explode("keys").alias("key"))
-    shared = exploded.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("key")
-    members = _distinct_tiles(written(exploded.join(shared, "key", "left_semi"), "members"))
-    rep_rows = nodes.select("uid", "doc_id", "n", "d1", "d2", "bits")
+    shared = written(exploded.groupBy("key").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1"), "shared")
+    members = _distinct_tiles(written(lookup(exploded, shared.select("key"), "key", "uid", sizes=shared), "members"))
+    rep_rows = nodes.select("uid", "doc_id", "text_hash", "n", "d1", "d2", "bits")
     in_tiles = members.select("uid").distinct()
-    rep_rows = written(rep_rows.join(_small(in_tiles), "uid", "left_semi"), "reps")
-    star = members.where("uid <> leader").select(F.col("leader").alias("a"), F.col("uid").alias("b")).distinct()
+    rep_rows = written(rep_rows.join(small(in_tiles), "uid", "left_semi"), "reps")
+    star = written(members.where("uid <> leader").select(F.col("leader").alias("a"), F.col("uid").alias("b")).distinct(), "star")
     star = written(_bounded(star, rep_rows, num, den), "star")
     links = written(_verified(star, docs, rep_rows, width, num, den), "links")
     labels, tested, best = components(links), star, BEST
@@ -368,9 +371,12 @@ def jaccard_groups(docs: DataFrame, width: int = 5, num: int = 8, den: int = 10)
         if not merged or turn == LIMITED - 1:
             best = None
     named = classes.join(labels, classes["rep"] == labels["node"], "left").select("d1", "d2", "n", "rep_doc", "rep", F.coalesce("label", "rep").alias("label"))
+    named = written(named, "named")
     firsts = named.groupBy("label").agg(F.min(F.struct("rep_doc", "rep")).alias("low"))
-    ids = named.join(firsts, "label").select("d1", "d2", "n", F.col("low.rep_doc").alias("component"), F.col("low.rep").alias("keeper_uid"))
-    out = narrow.join(ids, ["d1", "d2", "n"], "left")
+    ids = lookup(named, firsts, "label", "rep").select("d1", "d2", "n", F.col("low.rep_doc").alias("component"), F.col("low.rep").alias("keeper_uid"))
+    ids = written(ids, "ids")
+    drop_since(spark, first_table, nodes, ids)
+    out = lookup(narrow, ids, ["d1", "d2", "n"], "uid", "left")
     real = lambda c: F.nullif(c, F.lit(_NO_ID))
     return out.select(real(F.col("doc_id")).alias("doc_id"), F.col("n").alias("n_shingles"), real(F.coalesce("component", "doc_id")).alias("component_id"), (F.coalesce("keeper_uid", "uid") == F.col("uid")).alias("keeper"), "text_hash")
 

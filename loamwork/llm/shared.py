@@ -20,10 +20,19 @@ def _own_folder(application: str) -> str:
     return "file://" + tempfile.mkdtemp(prefix=f"loamwork-{application}-")
 
 
+#: Paths that this process has written, in order; ``drop_since`` deletes them.
+_paths: list[str] = []
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in spark.checkpoint.dir; only where that is unset, in a folder of this session's own."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or _own_folder(spark.sparkContext.applicationId)
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new path in spark.checkpoint.dir; only where that is unset and Spark is local, in a folder of this session's own."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = _own_folder(spark.sparkContext.applicationId)
+    _paths.append(f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}")
+    return _paths[-1]
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -33,6 +42,62 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def mark() -> int:
+    """A place in the list of written tables, for ``drop_since``."""
+    return len(_paths)
+
+
+def drop_since(spark: SparkSession, place: int = 0, *kept: DataFrame) -> None:
+    """Deletes the tables written since mark() gave ``place``, but for those that ``kept`` read.
+
+    Operators return frames that read such tables, so call it when their rows have been saved elsewhere.
+    """
+    needed = {f.split("/")[-2] for df in kept for f in df.inputFiles()}  # the tables' names are unique
+    stay = []
+    for path in _paths[place:]:
+        if path.rsplit("/", 1)[-1] in needed:
+            stay.append(path)
+            continue
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    _paths[place:] = stay
+
+
+#: Narrow rows that are broadcast at most; parts of a frame's rows that one task of a lookup gets; rows of which no key is split.
+BROADCAST_ROWS, PARTS, FEW = 500_000, 500, 10_000
+
+
+def small(df: DataFrame, most: int | None = None) -> DataFrame:
+    """df as a broadcast side if its rows are counted to be few, else as it is."""
+    most = BROADCAST_ROWS if most is None else most
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
+def lookup(left: DataFrame, right: DataFrame, key: str | list[str], spread: str, how: str = "inner", parts: int = PARTS, sizes: DataFrame | None = None) -> DataFrame:
+    """left joined with right, whose key is unique, by a shuffle that splits hot keys.
+
+    A key with more than a ``parts``-th of left's rows is dealt out by the column ``spread`` over tasks that get about a
+    ``parts``-th each, and right's row is copied to them: at most 2 * parts copies over all keys. ``sizes`` has the rows
+    of each key as _n; without it left, which should be a written table then, is counted.
+    """
+    keys = [key] if isinstance(key, str) else key
+    total = left.count() if sizes is None else sizes.agg(F.sum("_n")).first()[0] or 0
+    if total <= FEW:
+        return left.join(right, keys, how)
+    sizes = sizes if sizes is not None else left.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    hot = sizes.where((F.col("_n") * parts > total) & (F.col("_n") > 1)).select(*keys, F.ceil(F.col("_n") * parts / F.lit(total)).cast("int").alias("_salts"))
+    hot = written(hot, "hot")  # parts rows at most
+    salts = F.coalesce("_salts", F.lit(1))
+    dealt = left.join(F.broadcast(hot), keys, "left").withColumn("_salt", F.pmod(F.xxhash64(spread), salts).cast("int")).drop("_salts")
+    copied = right.join(F.broadcast(hot), keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("_salts")
+    return dealt.join(copied, [*keys, "_salt"], how).drop("_salt")
+
+
+def key_sizes(rows: DataFrame, *keys: str) -> DataFrame:
+    """How many rows each key has, for ``lookup``: a written table."""
+    return written(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")), "sizes")
+
+
 #: Bytes of an Arrow batch sent to a worker: whole texts are wide, and both sides hold some batches at a time.
 BATCH_BYTES = 16 << 20
 

@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from loamwork.llm import jaccard
+from loamwork.llm import jaccard, shared
 from loamwork.llm.shingles import WordHashes, shingle_set
 
 
@@ -61,7 +61,8 @@ def corpus(seed):
 @pytest.mark.parametrize("seed,width,num,den,block,few", [(1, 3, 90, 100, 2048, 500_000), (2, 5, 8, 10, 3, 0)])
 def test_against_brute_force(spark, monkeypatch, seed, width, num, den, block, few):
     monkeypatch.setattr(jaccard, "BLOCK", block)
-    monkeypatch.setattr(jaccard, "BROADCAST_ROWS", few)
+    monkeypatch.setattr(shared, "BROADCAST_ROWS", few)
+    monkeypatch.setattr(shared, "FEW", min(few, shared.FEW))
     rows = corpus(seed)
     docs = spark.createDataFrame([(i, t, 1, "k") for i, t in rows], "doc_id long, text string, n int, key string").repartition(3)
     got = jaccard.jaccard_groups(docs, width, num, den).collect()
@@ -71,6 +72,21 @@ def test_against_brute_force(spark, monkeypatch, seed, width, num, den, block, f
     assert len(kept) == len(set(kept)) or None in kept
 
 
+def test_chain_of_edits(spark):
+    """A page with 450 successive edits: only neighbours are alike, and all are one component."""
+    r = random.Random(3)
+    words, texts = [f"w{k}" for k in range(60)], []
+    for k in range(450):
+        texts.append(" ".join(words))
+        words[(7 * k) % 60] = f"v{k}"
+    ids = list(range(450))
+    r.shuffle(ids)
+    docs = spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string")
+    got = jaccard.jaccard_groups(docs, 3, 90, 100).collect()
+    assert {tuple(g)[:3] for g in got} == set(brute(list(zip(ids, texts)), 3, 90, 100))
+    assert {g.component_id for g in got} == {0}
+
+
 def test_empty(spark):
     assert jaccard.jaccard_groups(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
