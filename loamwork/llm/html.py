@@ -1,16 +1,24 @@
 """Main text of web pages by line-block distribution.
 
-A page's markup is stripped into blocks: runs of text between block-level tags or line breaks, in page order.
-Elements that never hold the article (scripts, styles, forms, navigation, headers, footers, asides, and elements whose
-class, id or role names a notice, an advert, a menu, a sidebar or comments) leave no blocks. The rest's text lengths,
-links taken off, are summed over sliding windows of WINDOW lines. A surge is where the sum rises to the threshold, a
-dive where it falls back to nothing; the stretch between them with the most text is the main text, all of it. What
-else the section around it holds (an article or main rather than a section or div inside, the innermost with all or
-nearly all of the stretch's text) is added, so that short lines at an article's start or end stay with it.
-
-Defined cases: null or empty html has no text, as has a page of boilerplate alone; unclosed and crossing tags are
+A page's markup is stripped into lines: runs of text between block-level tags or line breaks, in page order. Elements
+that hold no prose by their nature (scripts, styles, controls, menus, the site's headers and footers, asides) leave no
+lines. The text lengths of the others, links taken off, are summed over sliding windows of WINDOW lines. A surge
+is where the sum rises to the threshold, a dive where it falls back to nothing; the stretch between them with the most
+text is the main text, all of it, and so are further stretches in the same section of the page, after a
+list of links, say.
+
+Marks. A class, id or role may name a notice, an advert, a form or comments. It takes an element's lines away only
+if the rest of the page weighs against it: at least as much text outside as inside, for comments a tenth. So a name on
+a wrapper of the page drops nothing. A header inside an article stays if it has a heading.
+
+Ends. Lines at an end of the stretch that lie outside the section with nearly all its text go if they are mostly links,
+a copyright line, or a short line in a box of their own. An article or main element around nearly all the stretch's text
+gives its other lines too, so that short lines at an article's start or end stay with it.
+
+Defined cases: null or empty html has no text, as has a page of menus and footers alone; unclosed and crossing tags are
 taken as browsers take them for the purpose (an end tag closes up to its start, unknown ones are ignored); a page cut
-off anywhere keeps what came before; pages are rows, so repeated rows and null keys stay; other columns are ignored.
+off anywhere keeps what came before; pages too short for a surge keep all their lines; pages are rows, so repeated rows
+and null keys stay; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,7 +32,8 @@ from pyspark.sql import functions as F
 from loamwork.llm.shared import small_batches
 
 #: Element names by role.
-DROPPED = frozenset("script style noscript template iframe object embed svg math canvas audio video map form button select textarea input label fieldset nav header footer aside menu dialog head title".split())
+DROPPED = frozenset("script style noscript template iframe object embed svg math canvas audio video map button select textarea input label nav footer aside menu dialog head title".split())
+FORMS, HEADINGS, ARTICLES = frozenset(("form", "fieldset")), frozenset("h1 h2 h3 h4 h5 h6".split()), frozenset(("article", "main"))
 RAW = frozenset("script style textarea title noscript iframe template".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset(
@@ -35,42 +44,61 @@ SECTIONS = frozenset("article main section div body".split())
 MARKS = frozenset(
     "ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promoted promotion menu menubar nav navbar navigation breadcrumb breadcrumbs sidebar sidebars aside rail widget widgets header masthead topbar toolbar footer foot copyright colophon legal cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations trending popular pagination pager comment comments commentlist disqus replies respond reactions reviews feedback discussion search searchbox form complementary contentinfo tags taglist".split()
 )
-#: Marks that rule out an article element too.
+#: Marks that rule out an article element too, of readers' comments, of headers, and first words of names that describe something else.
 REMARKS = frozenset("ad ads advert advertisement comment comments promo related replies respond sponsored".split())
-#: Lines of a window, characters that make a surge.
-WINDOW, SURGE = 3, 40
+COMMENTS = frozenset("comment comments commentlist disqus replies respond reactions reviews discussion".split())
+HEADERS = frozenset("header masthead topbar banner".split())
+MODIFIERS = frozenset("has no not with without is tag category cat type format status hide show".split())
+#: Lines of a window, characters that make a surge, share of a stretch's text that its section holds, text outside an element for each character inside that lets a mark drop it, and characters of a small element.
+WINDOW, SURGE, NEARLY = 3, 40, 0.9
+OUTSIDE, LITTLE = {"mark": 0.25, "form": 0.25, "hidden": 0.25, "comments": 0.05, "header": 0.05}, 200
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*[\"']?true|style\s*=\s*[\"'][^\"']*(?:display\s*:\s*none|visibility\s*:\s*hidden)", re.I)
+COPYRIGHT = re.compile(r"©|\(c\)\s*\d{4}|\bcopyright\b|\ball rights reserved\b", re.I)
 _WORD = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
-def _boilerplate(name: str, attributes: str) -> bool:
-    if name in DROPPED:
-        return True
-    if not attributes or name in ("body", "html", "main"):
-        return False
-    if HIDDEN.search(attributes):
-        return True
-    for values in ATTRIBUTE.findall(attributes):
-        marks = MARKS.intersection(_WORD.findall(_CAMEL.sub(" ", "".join(values)).lower()))
+def _mark(name: str, attributes: str, inside_article: bool) -> str | None:
+    """What an element may be dropped as: "always", a key of OUTSIDE, or None."""
+    if name in DROPPED or name == "header" and not inside_article:
+        return "always"
+    if name == "header":
+        return "header"
+    if name in ("body", "html", "main"):
+        return None
+    if attributes:
+        if HIDDEN.search(attributes):
+            return "hidden"
+        words: set[str] = set()
+        for values in ATTRIBUTE.findall(attributes):
+            for token in "".join(values).split():
+                parts = _WORD.findall(_CAMEL.sub(" ", token).lower())
+                if parts and parts[0] not in MODIFIERS:
+                    words.update(parts)
+        marks = MARKS & words
         if marks and (name != "article" or marks & REMARKS):
-            return True
-    return False
+            return "comments" if marks & COMMENTS else "header" if marks <= HEADERS and inside_article else "mark"
+    return "form" if name in FORMS else None
 
 
 class Block:
-    __slots__ = ("text", "linked", "sections")
+    __slots__ = ("text", "linked", "sections", "marked", "heading")
 
-    def __init__(self, text: str, linked: int, sections: tuple[tuple[int, str], ...]):
-        self.text, self.linked, self.sections = text, linked, sections
+    def __init__(self, text: str, linked: int, sections: tuple[tuple[int, str], ...], marked: tuple[int, ...], heading: bool):
+        self.text, self.linked, self.sections, self.marked, self.heading = text, linked, sections, marked, heading
+
+    @property
+    def weight(self) -> int:
+        return max(0, len(self.text) - self.linked)
 
 
 def blocks(html: str) -> list[Block]:
-    """The page's blocks outside boilerplate: text with folded white space, characters in links, open sections."""
+    """The page's lines but for those in marked elements: text with folded white space, characters in links, open sections."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, int]] = []  # name, boilerplate, number
+    stack: list[tuple[str, bool, int]] = []  # name, dropped, number
+    marks: dict[int, str] = {}  # of elements that may go, by number
     parts: list[str] = []
     dropped = linked = anchors = number = 0
     text_start = 0
@@ -87,7 +115,8 @@ def blocks(html: str) -> list[Block]:
         if parts:
             text = " ".join(unescape("".join(parts)).split())
             if text:
-                out.append(Block(text, linked, tuple((n, name) for name, _, n in stack if name in SECTIONS)))
+                sections = tuple((n, name) for name, _, n in stack if name in SECTIONS)
+                out.append(Block(text, linked, sections, tuple(n for _, _, n in stack if n in marks), any(name in HEADINGS for name, _, _ in stack)))
             parts.clear()
         linked = 0
 
@@ -127,10 +156,12 @@ def blocks(html: str) -> list[Block]:
             dropped -= stack.pop()[1]
         if name in VOID or m[3].endswith("/") and name in RAW - {"script"}:
             continue
-        bad = _boilerplate(name, m[3])
+        mark = _mark(name, m[3], any(n in ARTICLES for n, _, _ in stack))
         number += 1
-        stack.append((name, bad, number))
-        dropped += bad
+        if mark and mark != "always":
+            marks[number] = mark
+        stack.append((name, mark == "always", number))
+        dropped += mark == "always"
         anchors += name == "a"
         if name in RAW:  # no tags inside
             end = re.compile(f"</{re.escape(name)}[\\s/>]|\\Z", re.I).search(html, at)
@@ -138,14 +169,29 @@ def blocks(html: str) -> list[Block]:
             at = text_start = end.start()
     add(html[text_start:])
     end_block()
-    return out
+    gone = believed(out, marks)
+    return [b for b in out if gone.isdisjoint(b.marked)] if gone else out
+
+
+def believed(lines: list[Block], marks: dict[int, str]) -> set[int]:
+    """The marked elements whose lines go, as the text outside them weighs enough against the text inside."""
+    inside, headed = dict.fromkeys(marks, 0), set()
+    total = 0
+    for b in lines:
+        weight = b.weight
+        total += weight
+        for n in b.marked:
+            inside[n] += weight
+            if b.heading:
+                headed.add(n)
+    weighed = {n for n, mark in marks.items() if total - inside[n] >= min(OUTSIDE[mark] * inside[n], 1 if inside[n] <= LITTLE else total)}
+    return weighed - {n for n in headed if marks[n] == "header"}
 
 
-def stretch(lengths: list[int], window: int = WINDOW, surge: int = SURGE) -> tuple[int, int]:
-    """First line and line after the last of the stretch, from surge to dive, that holds the most text; (0, 0) if none surges."""
-    n = len(lengths)
+def stretches(lengths: list[int], window: int = WINDOW, surge: int = SURGE) -> list[tuple[int, int]]:
+    """First line and line after the last of each stretch from surge to dive."""
+    n, k, found = len(lengths), 0, []
     sums = [sum(lengths[k : k + window]) for k in range(n)]
-    best, k = (0, 0, 0), 0
     while k < n:
         if sums[k] < surge:
             k += 1
@@ -153,39 +199,54 @@ def stretch(lengths: list[int], window: int = WINDOW, surge: int = SURGE) -> tup
         start = k
         while k < n and sums[k] > 0:
             k += 1
-        total = sum(lengths[start:k])
-        if total > best[0]:
-            best = (total, start, k)
-    return best[1], best[2]
+        while not lengths[start]:
+            start += 1  # the window before a surge may start with lines of links alone
+        found.append((start, k))
+    return found
+
+
+def section_of(lines: list[Block], names: frozenset, share: float) -> tuple[int, str] | None:
+    """The innermost section of these names that holds such a share of the lines' text."""
+    held: dict[tuple[int, str], int] = {}
+    for b in lines:
+        for s in b.sections:
+            if s[1] in names:
+                held[s] = held.get(s, 0) + b.weight
+    least = share * sum(b.weight for b in lines)
+    return max((s for s, w in held.items() if w >= least), default=None)  # numbered as they open
+
+
+def _loose(b: Block, around: tuple) -> bool:
+    """Whether a line at a stretch's end is no part of it; around: the sections of the stretch's own section, outermost first."""
+    if not around or around[-1] in b.sections or b.heading:
+        return False
+    own_box = bool(b.sections) and b.sections[-1] not in around
+    return 2 * b.linked > len(b.text) or bool(COPYRIGHT.search(b.text)) or own_box and len(b.text) < SURGE
 
 
 def main_text(html: str | None) -> str:
-    """The main text; its blocks joined by a line feed."""
+    """The main text; its lines joined by a line feed."""
     found = blocks(html or "")
-    weights = [max(0, len(b.text) - b.linked) for b in found]
-    first, last = stretch(weights)
-    if last <= first:
-        first, last = 0, len(found)  # too little text for a surge: all of it
-    else:
-        while not weights[first]:
-            first += 1  # the window before a surge may start with lines of links alone
-    inside = section_of(found[first:last], weights[first:last])
-    return "\n".join(b.text for k, b in enumerate(found) if first <= k < last or inside in b.sections)
-
-
-def section_of(lines: list[Block], weights: list[int]) -> tuple[int, str] | None:
-    """The section whose ends a stretch takes: one that holds all its text, or else nearly all; articles first, and body last."""
-    shares: dict[tuple[int, str], int] = {}
-    for b, w in zip(lines, weights):
-        for s in b.sections:
-            shares[s] = shares.get(s, 0) + w
-    total = sum(weights)
-    for names in (("article", "main"), ("section", "div"), ("body",)):
-        for least in (total, 0.9 * total):
-            # the innermost: sections are numbered as they open
-            if held := [s for s, w in shares.items() if s[1] in names and w >= least]:
-                return max(held)
-    return None
+    weights = [b.weight for b in found]
+    parts = stretches(weights)
+    if not parts:
+        return "\n".join(b.text for b in found)  # too little text for a surge: all of it
+    first, last = max(parts, key=lambda p: (sum(weights[slice(*p)]), -p[0]))
+    article = section_of(found[first:last], ARTICLES, NEARLY)
+    if article:
+        return "\n".join(b.text for k, b in enumerate(found) if first <= k < last and not (article not in b.sections and _loose(b, (article,))) or article in b.sections)
+    inner = section_of(found[first:last], SECTIONS, NEARLY)
+    around = next((b.sections[: b.sections.index(inner) + 1] for b in found[first:last] if inner in b.sections), ())
+    while last - first > 1 and _loose(found[first], around):
+        first += 1
+    while last - first > 1 and _loose(found[last - 1], around):
+        last -= 1
+    lines = list(range(first, last))
+    if len(around) > 1:  # other stretches' lines in the same section, but not in one inside it
+        for a, z in parts:
+            own = [k for k in range(a, z) if not first <= k < last and found[k].sections == around]
+            lines += own if sum(weights[k] for k in own) >= SURGE else []
+    return "\n".join(found[k].text for k in sorted(lines))
 
 
 def extract(pages: DataFrame) -> DataFrame:

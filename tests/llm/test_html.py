@@ -2,7 +2,8 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from loamwork.llm.html import extract, main_text, stretch
+from loamwork.llm import html as module
+from loamwork.llm.html import extract, main_text, stretches
 
 BODY = "<h1>Title &amp; more</h1><p>First <b>bold\n  and</b> plain text that goes on for a good while.</p><p>Short.</p><p>A second, rather long paragraph of the article&nbsp;itself, with &lt;tags&gt;.<br>After a break.<p>Unclosed one with enough text to count.<ul><li>Point one<li>Point two</ul>"
 TEXT = "Title & more\nFirst bold and plain text that goes on for a good while.\nShort.\nA second, rather long paragraph of the article itself, with <tags>.\nAfter a break.\nUnclosed one with enough text to count.\nPoint one\nPoint two"
@@ -54,9 +55,52 @@ def test_text_of_the_stretch_outside_the_section_stays():
     assert main_text(page) == "\n".join([LONG.strip(), LONG.strip(), "The last line."])
 
 
-def test_stretch():
-    assert stretch([0, 0, 50, 10, 0, 60, 0, 0, 0, 9, 0, 45, 0], 3, 40) == (0, 6)
-    assert stretch([], 3, 40) == stretch([5, 5], 3, 40) == (0, 0)
+def test_stretches():
+    assert stretches([0, 0, 50, 10, 0, 60, 0, 0, 0, 9, 0, 45, 0], 3, 40) == [(2, 6), (9, 12)]
+    assert stretches([], 3, 40) == stretches([5, 5], 3, 40) == []
+
+
+PLAIN = f"<h1>The headline of it</h1><p>{LONG}</p><p>Short.</p><p>{LONG}</p>"
+PLAIN_TEXT = "\n".join(["The headline of it", LONG.strip(), "Short.", LONG.strip()])
+MENU = "".join(f"<div><a href=/{k}>Menu entry number {k}</a></div>" for k in range(8))
+
+
+@pytest.mark.parametrize("page", [
+    f"<body><div class='layout has-sidebar'>{PLAIN}</div><footer>foot</footer></body>",
+    f"<body class='no-sidebar'><div class='no-sidebar'><div>{PLAIN}</div></div></body>",
+    f"<body><form id='aspnetForm' action='x'><input name=v>{PLAIN}</form></body>",
+    f"<body><div class='post tag-related category-ads'>{PLAIN}</div><p>© Some firm 2024</p></body>",
+    f"<body><div class='page-header widget'><div>{PLAIN}</div></div></body>",
+    f"<body><article><header>{PLAIN}</header></article></body>",
+    f"<body><article><header><h1>The headline of it</h1></header>{PLAIN.split('</h1>')[1]}</article></body>",
+    f"<body><article><div class='post-header'><h1>The headline of it</h1></div>{PLAIN.split('</h1>')[1]}</article></body>",
+    f"<body><div>{MENU}</div><div>{PLAIN}</div><div><a href=/i>Imprint and privacy of this site</a></div><div>© 2024 A firm with a long name, all rights reserved</div></body>",
+    f"<body><div><div>{MENU}</div><div>{PLAIN}</div><div>Contact us</div><div>{MENU}</div></div></body>",
+    f"<body><table><tr><td>{MENU}</td><td>{PLAIN}</td></tr></table></body>",
+    f"<body><div>{PLAIN}</div><div class='comments'>{'<p>A reader says something rather long about it, again and again.</p>' * 60}</div></body>",
+])
+def test_names_on_wrappers_and_unmarked_menus(page):
+    assert main_text(page) == PLAIN_TEXT
+
+
+def test_the_method_decides(monkeypatch):
+    menu = MENU.replace("div", "p")
+    page = f"<body>{menu}{PLAIN}{menu}</body>"
+    assert main_text(page) == PLAIN_TEXT
+    monkeypatch.setattr(module, "stretches", lambda lengths: [(0, len(lengths))])
+    assert main_text(page).count("Menu entry") == 16
+
+
+def test_small_marked_elements_go_from_small_pages():
+    for text in ("Be.", "A short page."):
+        assert main_text(f"<body><div class='ad'>An advert with more text than the article, by far.</div><article><h1>{text}</h1></article></body>") == text
+        assert main_text(f"<body><div><h1>{text}</h1></div><div class='cookie-bar'>We use cookies to make this site better.</div></body>") == text
+    assert main_text(f"<body><div class='widget'>{PLAIN}</div><p>Some line</p></body>") == PLAIN_TEXT + "\nSome line"
+
+
+def test_text_after_a_list_of_links_stays():
+    page = f"<body><div id=text><p>{LONG}</p>{'<p><a href=x>A link to somewhere</a></p>' * 5}<p>{LONG[:199]}</p></div><div>{'<p>Another box.</p>' * 9}</div></body>"
+    assert main_text(page) == LONG.strip() + "\n" + LONG[:199].strip()
 
 
 @settings(max_examples=200, deadline=None)
