@@ -21,6 +21,7 @@ import math
 import random
 import re
 import string
+from collections import Counter
 from functools import cache
 
 import numpy as np
@@ -31,15 +32,16 @@ from pyspark.sql import types as T
 from loamwork.llm.forest import Forest, grow
 from loamwork.llm.shared import small_batches
 
-#: Kinds of candidates, the more specific first. The last group of a pattern is the secret.
+#: Kinds of candidates, the more specific first. The last group of a pattern is the secret. No length has
+#: an upper bound but where the format has one.
 PATTERNS = [
-    ("private_key", re.compile(r"(-----BEGIN (?:[A-Z]{2,10} )?PRIVATE KEY-----[A-Za-z0-9+/=\s\\]*(?:-----END (?:[A-Z]{2,10} )?PRIVATE KEY-----)?)")),
+    ("private_key", re.compile(r"(-----BEGIN (?:[A-Z]{2,10} )?PRIVATE KEY-----(?:\s*+[A-Z][\w-]*+: [^\n]*+)*+(?:[A-Za-z0-9+/=\s\\]*+-----END (?:[A-Z]{2,10} )?PRIVATE KEY-----|(?:\s*+[A-Za-z0-9+/=\\]{20,}+)*+))")),
     ("access_key", re.compile(r"\b((?:AKIA|ASIA)[A-Z0-9]{16})\b")),
     ("platform_token", re.compile(r"\b((?:gh[pousr]_[A-Za-z0-9]{36,}|github_pat_\w{22,}|glpat-[\w-]{20,}|xox[abprs]-[\w-]{10,}|sk_(?:live|test)_\w{16,}|sk-[A-Za-z0-9_-]{20,}|AIza[\w-]{35}|npm_[A-Za-z0-9]{36}|hf_[A-Za-z0-9]{30,}))")),
     ("web_token", re.compile(r"\b(eyJ[\w-]{8,}\.eyJ[\w-]{8,}\.[\w-]{8,})")),
-    ("url_password", re.compile(r"\b[a-z][a-z0-9+.-]{1,15}://[^\s:/@]{1,64}:([^\s:/@]{3,}+)@")),
-    ("assigned", re.compile(r"(?i)\b([a-z_][\w.-]{0,40}(?<![\W_]))[\"']?\s{0,3}(?::=|=>|[:=])\s{0,3}[\"']([^\s\"']{8,}+)[\"']")),
-    ("assigned", re.compile(r"(?i)\b((?:[a-z]{1,20}[_-]){0,4}(?:api_?key|access_?key|secret(?:_?key)?|token|passw(?:or)?d|pwd|credentials?|auth))\s{0,3}[:=]\s{0,3}([^\s\"',;]{8,}+)")),
+    ("url_password", re.compile(r"\b[a-z][a-z0-9+.-]{1,15}://[^\s:/@]*+:([^\s:/@]{3,}+)@")),
+    ("assigned", re.compile(r"(?i)(?<!\w)(\w++)(?<!_)[\"']?\s{0,3}(?::=|=>|[:=])\s{0,3}[\"']([^\s\"']{8,}+)[\"']")),
+    ("assigned", re.compile(r"(?i)((?:api_?key|access_?key|secret(?:_?key)?|token|passw(?:or)?d|pwd|credentials?|auth))\s{0,3}[:=]\s{0,3}([^\s\"',;]{8,}+)")),
     ("opaque", re.compile(r"(?<![\w/+=.@-])([A-Za-z0-9][A-Za-z0-9_+/-]{18,}[A-Za-z0-9]={0,2})(?![\w/+=@])")),
 ]
 #: Words that go with a secret, and words that go with its absence.
@@ -49,13 +51,14 @@ INNOCENT_WORDS = frozenset("sha sha1 sha256 md5 hash digest checksum commit revi
 PARTS = frozenset(
     "able about action after again ation back base before between build change class client code color common config content control count create current data date default delete description design detail digital direct document down each edit element enable error event every example express field file final first folder form format from function general get global group hand head height hello help home image import index info input inter item join label language last layout length level line link list load local long main make manager mark master member memory menu message meta method mode model module more name native network node note number object option order over package page panel part path people place plan point post present process product profile program project property public query question read real record report request resource response result return right room root rule sample script search section select server service session setting shared short side sign simple single site size some sort source space special stack start state static status step stop store stream string style system table target task team template test text that their there thing this time title total tree type under unit update upload user value version view visit water website which while width window with word work world write year ing tion ment ness ence der die das und nicht ung lich heit que est les des pour dans avec ción mente ado para con los las".split()
 )
-LONGEST_PART = max(map(len, PARTS))
 #: Documented parameters: findings made for each class, their seed, and the score from which a candidate is a secret.
 EACH, SEED, THRESHOLD = 1500, 20, 0.5
 FEATURES = ("length", "entropy", "digits", "upper", "lower", "symbols", "distinct", "transitions", "switches", "coverage", "longest_run", "hex", "secret_name", "innocent_name", "secret_near", "innocent_near", "assigned", "known_shape", "test_path", "code_path", "uuid", "placeholder")
 _PLACE = re.compile(r"(?i)(x{4,}|\*{3,}|\.{3,}|<[^>]*>|\$\{|\{\{|%\(|your[_-]|example|changeme|placeholder|dummy|redacted|insert|todo|123456|abcdef(?!\d))")
 _UUID = re.compile(r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$")
 _NEAR = re.compile(r"[A-Za-z]+\d*")
+_TEST_PATH = re.compile(r"test|spec|example|sample|mock|fixture|docs?/")
+_CODE_PATH = re.compile(r"\.(py|js|ts|java|go|rb|php|c|cpp|cs|env|ya?ml|json|toml|ini|cfg|conf|sh|tf)$")
 _ALPHABET = {c: k for k, c in enumerate(string.ascii_lowercase + "0")}
 
 
@@ -70,38 +73,37 @@ def _transitions() -> np.ndarray:
     return np.log(count / count.sum(axis=1, keepdims=True))
 
 
+_PARTS = re.compile("|".join(sorted(PARTS, key=lambda w: (-len(w), w))))
+
+
 def _coverage(text: str) -> float:
     """Share of letters that parts of the dictionary cover, the longest first from the left."""
-    low, covered, k = text.lower(), 0, 0
-    while k < len(low):
-        n = next((n for n in range(min(LONGEST_PART, len(low) - k), 2, -1) if low[k : k + n] in PARTS), 0)
-        covered += n
-        k += n or 1
-    return covered / max(1, len(low))
+    return sum(map(len, _PARTS.findall(text.lower()))) / max(1, len(text))
+
+
+_CLASS = {c: k for k, group in enumerate((string.digits, string.ascii_uppercase, string.ascii_lowercase)) for c in group}
 
 
 def features(secret: str, kind: str, name: str, near: list[str], path: str) -> list[float]:
-    """The features of a candidate; near: lower-case words around it."""
-    s = secret[:512]  # for the features only; a match has no upper bound, and its start tells its kind
-    n = max(1, len(s))
-    shares = [sum(map(test, s)) / n for test in (str.isdigit, str.isupper, str.islower)]
-    counts = np.array([s.count(c) for c in set(s)]) / n
-    codes = [_ALPHABET.get("0" if c.isdigit() else c.lower()) for c in s]
-    steps = [_transitions()[a, b] for a, b in zip(codes, codes[1:]) if a is not None and b is not None]
-    classes = ["d" if c.isdigit() else "u" if c.isupper() else "l" if c.islower() else "s" for c in s]
-    run = longest = 1
-    for a, b in zip(s, s[1:]):
-        run = run + 1 if a == b else 1
-        longest = max(longest, run)
+    """The features of a whole candidate; near: lower-case words around it."""
+    n = max(1, len(secret))
+    counts = Counter(secret)
+    shares = [sum(v for c, v in counts.items() if test(c)) / n for test in (str.isdigit, str.isupper, str.islower)]
+    p = np.fromiter(counts.values(), float, len(counts)) / n
+    table = {c: (_ALPHABET.get("0" if c.isdigit() else c.lower(), -1), _CLASS.get(c, 3 if not c.isalnum() else 0 if c.isdigit() else 1 if c.isupper() else 2), ord(c)) for c in counts}
+    codes, classes, chars = np.array([table[c] for c in secret] or [(-1, 3, 0)]).T
+    both = (codes[1:] >= 0) & (codes[:-1] >= 0)
+    steps = _transitions()[codes[:-1][both], codes[1:][both]]
+    ends = np.flatnonzero(np.concatenate((chars[1:] != chars[:-1], [True])))
     own = set(re.split(r"[^a-z0-9]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "_", name).lower()))
     around = set(near)
     low_path = path.lower()
     return [
-        math.log(n), float(-(counts * np.log2(counts)).sum()), *shares, 1 - sum(shares), len(set(s)) / n, float(np.mean(steps)) if steps else 0.0,
-        sum(a != b for a, b in zip(classes, classes[1:])) / n, _coverage(s), longest, float(all(c in string.hexdigits for c in s)),
+        math.log(n), float(-(p * np.log2(p)).sum()), *shares, 1 - sum(shares), len(counts) / n, float(steps.mean()) if len(steps) else 0.0,
+        int((classes[1:] != classes[:-1]).sum()) / n, _coverage(secret), int(np.diff(ends, prepend=-1).max()), float(all(c in string.hexdigits for c in counts)),
         float(bool(own & SECRET_WORDS) or any(w.endswith(("key", "token", "secret", "password")) for w in own)), float(bool(own & INNOCENT_WORDS)), float(bool(around & SECRET_WORDS)), float(bool(around & INNOCENT_WORDS)),
-        float(kind == "assigned"), float(kind in ("private_key", "access_key", "platform_token", "web_token", "url_password")), float(bool(re.search(r"test|spec|example|sample|mock|fixture|docs?/", low_path))), float(bool(re.search(r"\.(py|js|ts|java|go|rb|php|c|cpp|cs|env|ya?ml|json|toml|ini|cfg|conf|sh|tf)$", low_path))),
-        float(bool(_UUID.match(s))), float(bool(_PLACE.search(s))),
+        float(kind == "assigned"), float(kind in ("private_key", "access_key", "platform_token", "web_token", "url_password")), float(bool(_TEST_PATH.search(low_path))), float(bool(_CODE_PATH.search(low_path))),
+        float(bool(_UUID.match(secret))), float(bool(_PLACE.search(secret))),
     ]
 
 
@@ -109,15 +111,18 @@ def candidates(text: str, path: str = "") -> list[tuple[int, int, str, list[floa
     """(start, end, kind, features) of each candidate in order; where two overlap, the more specific kind stays."""
     if not text:
         return []
-    found: list[tuple[int, int, str, str]] = []
+    found: list[tuple[int, int, str, str]] = []  # in order, apart from each other
     for kind, pattern in PATTERNS:
+        g, fresh, k = pattern.groups, [], 0
         for m in pattern.finditer(text):
-            g = pattern.groups
-            if not any(a < m.end(g) and m.start(g) < b for a, b, *_ in found):
-                if kind != "opaque" or _mixed(m[g]):
-                    found.append((m.start(g), m.end(g), kind, m[1] if g > 1 else ""))
+            a, b = m.span(g)
+            while k < len(found) and found[k][1] <= a:
+                k += 1
+            if (k == len(found) or b <= found[k][0]) and (kind != "opaque" or _mixed(m[g])):
+                fresh.append((a, b, kind, m[1] if g > 1 else ""))
+        found = sorted(found + fresh)
     out = []
-    for a, b, kind, name in sorted(found):
+    for a, b, kind, name in found:
         near = [w.lower() for w in _NEAR.findall(text[max(0, a - 60) : a])[-4:] + _NEAR.findall(text[b : b + 40])[:3]]
         out.append((a, b, kind, features(text[a:b], kind, name, near, path)))
     return out
@@ -186,7 +191,7 @@ def scan(text: str | None, path: str | None, forest: Forest) -> list[tuple[int,
     found = candidates(text or "", path or "")
     if not found:
         return []
-    scores = forest.scores(np.array([f for *_, f in found]))
+    scores = np.concatenate([forest.scores(np.array([f for *_, f in found[k : k + 10_000]])) for k in range(0, len(found), 10_000)])
     return [(a, b, kind, float(s)) for (a, b, kind, _), s in zip(found, scores)]
 
 
@@ -223,9 +228,13 @@ def redact(docs: DataFrame, forest: Forest | None = None, threshold: float = THR
             texts = batch.column(at).to_pylist()
             paths = batch.column(where).to_pylist() if where is not None else [""] * len(texts)
             for k, (text, path) in enumerate(zip(texts, paths)):
-                for a, b, _, s in reversed(scan(text, None if path is None else str(path), sent.value)):
+                parts, at_end = [], 0
+                for a, b, _, s in scan(text, None if path is None else str(path), sent.value):
                     if s >= threshold:
-                        texts[k] = texts[k][:a] + mark + texts[k][b:]
+                        parts += [text[at_end:a], mark]
+                        at_end = b
+                if parts:
+                    texts[k] = "".join([*parts, text[at_end:]])
             columns = list(batch.columns)
             columns[at] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
