@@ -1,15 +1,22 @@
 """SentencePiece encoding by an Aho-Corasick automaton and a single-pass Viterbi, and decoding.
 
 The automaton holds all pieces. It reads a text once; at each position its output links give every piece that ends
-there, longest first, and each relaxes the position's best score. The best segmentation is read off backwards.
-Scores are the model's own. A character that is no piece costs UNKNOWN below the lowest score and becomes its
-UTF-8 bytes (models with byte pieces) or the unknown id.
+there, longest first, and each tries to relax the position. The segmentation is read off backwards.
+
+The model is a BPE one: its scores are the order of its merges, so a sum of scores is not what it maximises. A piece
+relaxes a position only if it is compatible with the piece that ends where it starts: merged in the order of the scores,
+the two of them stay as they are. A sequence whose neighbours are compatible is what merging the whole would give, and
+every position has exactly one such piece; so the pass ends with the model's own ids. Whether a pair is compatible follows
+from the merges of either piece, which are replayed side by side once and looked up later.
+
+A character that is no piece becomes its UTF-8 bytes (models with byte pieces) or the unknown id.
 
 No piece goes on after a blank that follows a word, which is checked on loading. So the texts are cut there, and
 equal stretches are segmented once and looked up.
 
 The model's normalisation must be the identity with a blank put in front, which is checked on loading. A literal
-U+2581, the sign that stands for a blank, is written as bytes, so decode(encode(text)) is the text whatever it holds.
+U+2581, the sign that stands for a blank, is written as bytes (the library would take it for a blank), so
+decode(encode(text)) is the text whatever it holds.
 
 Defined cases: null or empty texts have no ids; very long stretches are segmented whole but not kept; rows with
 null or repeated doc_ids are rows like others; an empty table stays empty; other columns are ignored.
@@ -28,8 +35,9 @@ from loamwork.llm.encoder import text_blocks
 from loamwork.llm.shared import doc_columns
 
 BLANK = "▁"
-#: What an unknown character costs below the lowest score, longest stretch kept, stretches kept.
-UNKNOWN, LONGEST, KEPT = 10.0, 64, 400_000
+#: Longest stretch kept, stretches kept, pairs of pieces kept.
+LONGEST, KEPT, PAIRS = 64, 400_000, 300_000
+NEVER = float("-inf")
 CUT = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+").findall
 
 
@@ -41,59 +49,99 @@ class Pieces:
         model = sentencepiece.SentencePieceProcessor(model_file=model_path)
         names = [model.id_to_piece(k) for k in range(model.get_piece_size())]
         special = [model.is_control(k) or model.is_unknown(k) or model.is_unused(k) or model.is_byte(k) for k in range(len(names))]
-        normal = {n: k for k, n in enumerate(names) if not special[k]}
-        scores = {k: model.get_score(k) for k in normal.values()}
-        if any(re.search(f"[^{BLANK}]{BLANK}", n) for n in normal):
+        self.normal = {n: k for k, n in enumerate(names) if not special[k]}
+        self.score = {n: model.get_score(k) for n, k in self.normal.items()}
+        if any(re.search(f"[^{BLANK}]{BLANK}", n) for n in self.normal):
             raise ValueError("a piece goes on over the blank after a word")
         if any(model.normalize(t) != (BLANK + t).replace(" ", BLANK) for t in ("a  b ", " é", "ﬁ\n\tx", "Ａ")):
             raise ValueError("the model's normalisation is not the identity")
-        # the lowest score of a usual piece: some models hold blanks at a prohibitive one
-        self.unknown_score = min(s for s in scores.values() if s > -1e6) - UNKNOWN
         self.unknown_id = model.unk_id()
         self.bytes = [model.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         self.has_bytes = all(model.is_byte(k) for k in self.bytes)
-        self.single = {n for n in normal if len(n) == 1}
         self.automaton = ahocorasick.Automaton()
-        for n, k in normal.items():
-            self.automaton.add_word(n, (len(n), k, scores[k]))
+        for n in self.normal:
+            self.automaton.add_word(n, (len(n), n))
         self.automaton.make_automaton()
         self.out = [b"" if special[k] else n.replace(BLANK, " ").encode() for k, n in enumerate(names)]
         if self.has_bytes:
             for b, k in enumerate(self.bytes):
                 self.out[k] = bytes([b])
         self.known: dict[str, bytes] = {}
+        self.pairs: dict[tuple[str, str], bool] = {}
+        self.merges: dict[str, tuple[list[tuple[float, str, str]], bool]] = {}
+
+    def merged(self, piece: str) -> tuple[list[tuple[float, str, str]], bool]:
+        """A piece's merges from its characters, as (score, first part, last part) before each, and whether they end in one part."""
+        found = self.merges.get(piece)
+        if found is None:
+            parts, steps = list(piece), []
+            while True:
+                best = max(((self.score[x + y], -k) for k, (x, y) in enumerate(zip(parts, parts[1:])) if x + y in self.score), default=None)
+                if best is None:
+                    break
+                steps.append((best[0], parts[0], parts[-1]))
+                k = -best[1]
+                parts[k : k + 2] = [parts[k] + parts[k + 1]]
+            found = self.merges[piece] = (steps, len(parts) == 1)
+        return found
+
+    def compatible(self, left: str, right: str) -> bool:
+        """Whether merging the characters of left + right ends in these two: no merge over the border ever comes first."""
+        known = self.pairs.get((left, right))
+        if known is None:
+            (a, _), (b, whole) = self.merged(left), self.merged(right)
+            i = j = 0
+            known = whole
+            while known:
+                x, y = a[i][2] if i < len(a) else left, b[j][1] if j < len(b) else right
+                ahead = max(a[i][0] if i < len(a) else NEVER, b[j][0] if j < len(b) else NEVER)
+                over = self.score.get(x + y, NEVER)
+                # of equal scores the leftmost merge is first: one in left, then the one over the border
+                if over > ahead or over == ahead > NEVER and not (i < len(a) and a[i][0] == ahead):
+                    known = False
+                elif ahead == NEVER:
+                    break
+                elif i < len(a) and a[i][0] == ahead:
+                    i += 1
+                else:
+                    j += 1
+            if len(self.pairs) >= PAIRS:
+                self.pairs.clear()
+            self.pairs[left, right] = known
+        return known
 
     def segment(self, stretch: str) -> list[int]:
-        """Ids of the segmentation with the highest sum of scores; of equal ones, that with the longest last pieces."""
+        """Ids of the pieces in which merging the stretch ends."""
         n = len(stretch)
-        best = [0.0] + [float("-inf")] * n
-        back: list[tuple[int, int]] = [(0, -1)] * (n + 1)
-        at = 0  # positions up to here are final but for pieces that end at ``at``
+        last: list[str | None] = [None] * (n + 1)
+        at = 0  # positions up to here are final
 
-        def unknown(upto: int) -> None:
+        def single(upto: int) -> None:
             for k in range(at, upto):
-                if stretch[k] not in self.single and best[k] + self.unknown_score > best[k + 1]:
-                    best[k + 1], back[k + 1] = best[k] + self.unknown_score, (k, -1)
+                if last[k + 1] is None:
+                    last[k + 1] = stretch[k]  # no piece ends here: a character alone
 
-        for end, (length, piece, score) in self.automaton.iter(stretch):
+        for end, (length, piece) in self.automaton.iter(stretch):
             if end > at:
-                unknown(end)
+                single(end)
                 at = end
-            value = best[end + 1 - length] + score
-            if value > best[end + 1]:
-                best[end + 1], back[end + 1] = value, (end + 1 - length, piece)
-        unknown(n)
+            if last[end + 1] is None:
+                start = end + 1 - length
+                if self.compatible(last[start], piece) if start else self.merged(piece)[1]:
+                    last[end + 1] = piece
+        single(n)
         ids: list[int] = []
         k = n
         while k:
-            start, piece = back[k]
-            if piece >= 0:
-                ids.append(piece)
+            piece = last[k]
+            name = self.normal.get(piece)
+            if name is not None:
+                ids.append(name)
             elif self.has_bytes:
-                ids.extend(self.bytes[b] for b in reversed(stretch[start:k].encode("utf-8", "surrogatepass")))
+                ids.extend(self.bytes[b] for b in reversed(piece.encode("utf-8", "surrogatepass")))
             elif not ids or ids[-1] != self.unknown_id:
                 ids.append(self.unknown_id)
-            k = start
+            k -= len(piece)
         return ids[::-1]
 
     def encode(self, text: str | None) -> bytes:

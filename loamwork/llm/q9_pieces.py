@@ -1,4 +1,4 @@
-"""op9: all documents encoded by pieces and decoded again. Not expressible in SQL: tests use brute-force Viterbi and round trips."""
+"""op9: all documents encoded by pieces and decoded again. Not expressible in SQL: tests compare ids with the library's, and round trips."""
 
 from loamwork.llm.pieces import digests
 from loamwork.llm.shared import table
