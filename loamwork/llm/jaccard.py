@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loamwork.llm.components import components
-from loamwork.llm.shared import doc_columns, drop_since, give_back, key_sizes, lookup, mark, small, small_batches, written
+from loamwork.llm.shared import doc_columns, drop_since, give_back, key_sizes, lookup, mark, salts_of, small, small_batches, written
 from loamwork.llm.shingles import WordHashes, mix, shingle_set
 
 #: Bits of a bitmap, steps of 1/t in a band, nodes of a block.
@@ -227,14 +227,16 @@ def _verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, width: int, nu
     def sets(batches):
         import pyarrow as pa
 
-        words = WordHashes()
+        words, seen = WordHashes(), set()
         for batch in batches:
             uids, d1, d2, found = batch.column("uid").to_pylist(), batch.column("d1").to_pylist(), batch.column("d2").to_pylist(), ([], [])
             for k, text in enumerate(batch.column("text").to_pylist()):
-                s = shingle_set(text, width, words)
-                if digest(s) == (d1[k], d2[k]):  # else another text with this doc_id and hash
-                    found[0].append(uids[k])
-                    found[1].append(s.tobytes())
+                if uids[k] not in seen:  # rows equal in doc_id and text may be in other tasks, and only repeat links
+                    s = shingle_set(text, width, words)
+                    if digest(s) == (d1[k], d2[k]):  # else another text with this doc_id and hash
+                        seen.add(uids[k])
+                        found[0].append(uids[k])
+                        found[1].append(s.tobytes())
                 if len(found[0]) == 500 or k == batch.num_rows - 1:
                     yield pa.RecordBatch.from_arrays([pa.array(found[0], pa.int64()), pa.array(found[1], pa.binary())], ["uid", "shingles"])
                     found = ([], [])
@@ -242,31 +244,56 @@ def _verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, width: int, nu
     def test(batches):
         import pyarrow as pa
 
+        at, leading = None, None
         for batch in batches:
-            left, right = batch.column("set_a"), batch.column("set_b")
-            keep = [linked(*(np.frombuffer(x[k].as_buffer(), np.uint64) for x in (left, right)), num, den) for k in range(batch.num_rows)]
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    ends = pairs.select(F.col("a").alias("uid")).union(pairs.select(F.col("b").alias("uid"))).distinct()
-    wanted = written(reps.select("uid", "doc_id", "text_hash", "d1", "d2").join(small(ends), "uid", "left_semi"), "wanted")
+            lead, salt, other, shingles = (batch.column(k) for k in ("lead", "salt", "other", "shingles"))
+            keep = []
+            for k, group in enumerate(zip(lead.to_pylist(), salt.to_pylist())):
+                array = np.frombuffer(shingles[k].as_buffer(), np.uint64)
+                if not other[k].is_valid:  # the leading set comes first
+                    at, leading = group, array.copy()
+                    keep.append(False)
+                else:
+                    keep.append(group == at and linked(leading, array, num, den))
+            yield pa.RecordBatch.from_arrays([lead, other], ["lead", "other"]).filter(pa.array(keep, pa.bool_()))
+
+    sizes = key_sizes(pairs.select(F.col("a").alias("uid")).unionAll(pairs.select(F.col("b").alias("uid"))), "uid")
+    wanted = written(reps.select("uid", "doc_id", "text_hash", "d1", "d2").join(small(sizes.select("uid")), "uid", "left_semi"), "wanted")
     texts = doc_columns(docs).select(F.col("doc_id").alias("its_id"), "text", F.xxhash64("text").alias("its_hash"))
     found = texts.join(small(wanted), (F.col("its_hash") == F.col("text_hash")) & F.col("its_id").eqNullSafe(F.col("doc_id"))).select("uid", "d1", "d2", "text")
-    arrays = written(found.mapInArrow(sets, "uid long, shingles binary"), "sets")  # equal rows of docs only repeat links
-    sizes = {end: key_sizes(pairs, end) for end in ("a", "b")}
+    arrays = written(found.mapInArrow(sets, "uid long, shingles binary"), "sets")
+    # the node with more pairs leads; it goes once to each part of its pairs, and the other's set once for each pair
+    total = pairs.count()
+    counted = pairs
     for end, other in (("a", "b"), ("b", "a")):
-        pairs = lookup(pairs, arrays.select(F.col("uid").alias(end), F.col("shingles").alias(f"set_{end}")), end, other, sizes=sizes[end])
-    return pairs.select("a", "b", "set_a", "set_b").mapInArrow(test, "a long, b long")
-
-
-def _crossing(members: DataFrame, labels: DataFrame, reps: DataFrame, num: int, den: int, best: int | None) -> DataFrame:
-    """(a, b, cut): pairs of nodes in one tile but in different components, that sizes and bitmaps allow to link.
+        side = sizes.select(F.col("uid").alias(end), F.col("_n").alias(f"n_{end}"))
+        few = small(side)
+        counted = counted.join(few, end) if few is not side else lookup(counted, side, end, other, sizes=key_sizes(pairs, end))
+    first = F.col("n_a") >= F.col("n_b")
+    led = counted.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("lead"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("other"))
+    led = led.select("lead", "other", F.pmod(F.xxhash64("other"), salts_of(sizes.withColumnRenamed("uid", "lead"), ["lead"], total)).cast("int").alias("salt"))
+    heads = led.select(F.col("lead").alias("uid"), "lead", "salt").distinct().withColumn("other", F.lit(None).cast("long"))
+    rows = written(led.select(F.col("other").alias("uid"), "lead", "salt", "other").unionByName(heads), "led")
+    few = small(rows)
+    moved = arrays.join(few, "uid") if few is not rows else lookup(rows, arrays, "uid", "lead")
+    moved = moved.select("lead", "salt", "other", "shingles").repartition("lead", "salt").sortWithinPartitions("lead", "salt", F.col("other").asc_nulls_first())
+    return moved.mapInArrow(test, "lead long, other long").select(F.least("lead", "other").alias("a"), F.greatest("lead", "other").alias("b"))
+
+
+def _open(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """key, uid, label and size for the members of tiles that hold two components or more; no other tile will hold two again."""
+    named = written(members.join(labels, members["uid"] == labels["node"], "left").select("key", "uid", F.coalesce("label", "uid").alias("label")), "named")
+    tiles = written(named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("_n")), "tiles")
+    side = tiles.where("low < high").select("key", F.col("_n").alias("size"))
+    return written(lookup(named, side, "key", "uid", sizes=tiles.select("key", "_n")), "open")
+
+
+def _crossing(opened: DataFrame, reps: DataFrame, num: int, den: int, best: int | None) -> DataFrame:
+    """(a, b, cut): pairs of nodes in one open tile but in different components, that sizes and bitmaps allow to link.
 
     With ``best``, only pairs among that many most promising of one of their nodes in a tile; cut tells of others.
     """
-    named = members.join(labels, members["uid"] == labels["node"], "left").select("key", "uid", F.coalesce("label", "uid").alias("label"))
-    named = written(named, "named")
-    open_tiles = named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("size")).where("low < high").select("key", "size")
-    rows = lookup(named, open_tiles, "key", "uid").join(reps.select("uid", "n", "bits"), "uid")
+    rows = opened.join(reps.select("uid", "n", "bits"), "uid")
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("uid"), blocks).cast("int")
     places = F.transform(F.sequence(F.lit(0), blocks - 1), lambda i: F.struct(F.least(i, own).alias("x"), F.greatest(i, own).alias("y")))
@@ -346,7 +373,7 @@ def jaccard_groups(docs: DataFrame, width: int = 5, num: int = 8, den: int = 10)
     narrow = nodes.select("uid", F.coalesce("doc_id", F.lit(_NO_ID)).alias("doc_id"), "text_hash", "n", "d1", "d2")
     full = narrow.where("n > 0").groupBy("d1", "d2", "n").agg(F.min(F.struct("doc_id", "uid")).alias("first"))
     classes = written(full.select("d1", "d2", "n", F.col("first.uid").alias("rep"), F.col("first.doc_id").alias("rep_doc")), "classes")
-    reps = nodes.join(classes.select(F.col("rep").alias("uid")), "uid", "left_semi")
+    reps = nodes.join(small(classes.select(F.col("rep").alias("uid"))), "uid", "left_semi")
     exploded = reps.select("uid", F.explode("keys").alias("key"))
     shared = written(exploded.groupBy("key").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1"), "shared")
     members = _distinct_tiles(written(lookup(exploded, shared.select("key"), "key", "uid", sizes=shared), "members"))
@@ -356,9 +383,10 @@ def jaccard_groups(docs: DataFrame, width: int = 5, num: int = 8, den: int = 10)
     star = written(members.where("uid <> leader").select(F.col("leader").alias("a"), F.col("uid").alias("b")).distinct(), "star")
     star = written(_bounded(star, rep_rows, num, den), "star")
     links = written(_verified(star, docs, rep_rows, width, num, den), "links")
-    labels, tested, best = components(links), star, BEST
+    labels, tested, best, opened = components(links), star, BEST, members
     for turn in range(LIMITED + 1):
-        crossing = written(_crossing(members.select("key", "uid"), labels, rep_rows, num, den, best), "crossing")
+        opened = _open(opened.select("key", "uid"), labels)
+        crossing = written(_crossing(opened, rep_rows, num, den, best), "crossing")
         fresh = written(crossing.select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"), "fresh")
         more = written(_verified(fresh, docs, rep_rows, width, num, den), "links")
         merged = more.limit(1).count() > 0

@@ -7,7 +7,7 @@ import tempfile
 import uuid
 from functools import cache
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -73,23 +73,31 @@ def small(df: DataFrame, most: int | None = None) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
-def lookup(left: DataFrame, right: DataFrame, key: str | list[str], spread: str, how: str = "inner", parts: int = PARTS, sizes: DataFrame | None = None) -> DataFrame:
+def salts_of(sizes: DataFrame, keys: list[str], total: int, parts: int = PARTS) -> Column:
+    """Into how many parts each row's key is split: 1, or for keys with more than a ``parts``-th of total rows so many that each part has about that.
+
+    ``sizes`` has the rows of each key as _n. At most ``parts`` keys are hot, and these alone are collected.
+    """
+    hot = sizes.where((F.col("_n") * parts > total) & (F.col("_n") > 1)).select(F.xxhash64(*keys).alias("code"), F.ceil(F.col("_n") * parts / F.lit(max(1, total))).cast("int").alias("salts"))
+    found = {0: 1} | {r.code: r.salts for r in hot.collect()}  # parts rows at most; codes may clash: both sides of a join split by code
+    code = F.xxhash64(*keys)
+    return F.when(code.isin(list(found)), F.element_at(F.create_map(*(F.lit(x) for kv in found.items() for x in kv)), code)).otherwise(1)
+
+
+def lookup(left: DataFrame, right: DataFrame, key: str | list[str], spread: str, how: str = "inner", sizes: DataFrame | None = None) -> DataFrame:
     """left joined with right, whose key is unique, by a shuffle that splits hot keys.
 
-    A key with more than a ``parts``-th of left's rows is dealt out by the column ``spread`` over tasks that get about a
-    ``parts``-th each, and right's row is copied to them: at most 2 * parts copies over all keys. ``sizes`` has the rows
-    of each key as _n; without it left, which should be a written table then, is counted.
+    A hot key's rows of left are dealt out by the column ``spread``, and right's row is copied to each part: at most
+    2 * PARTS copies over all keys. ``sizes`` has the rows of each key as _n; without it left, which should be a written
+    table then, is counted.
     """
     keys = [key] if isinstance(key, str) else key
     total = left.count() if sizes is None else sizes.agg(F.sum("_n")).first()[0] or 0
     if total <= FEW:
         return left.join(right, keys, how)
-    sizes = sizes if sizes is not None else left.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    hot = sizes.where((F.col("_n") * parts > total) & (F.col("_n") > 1)).select(*keys, F.ceil(F.col("_n") * parts / F.lit(total)).cast("int").alias("_salts"))
-    hot = written(hot, "hot")  # parts rows at most
-    salts = F.coalesce("_salts", F.lit(1))
-    dealt = left.join(F.broadcast(hot), keys, "left").withColumn("_salt", F.pmod(F.xxhash64(spread), salts).cast("int")).drop("_salts")
-    copied = right.join(F.broadcast(hot), keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("_salts")
+    salts = salts_of(left.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")) if sizes is None else sizes, keys, total, PARTS)
+    dealt = left.withColumn("_salt", F.pmod(F.xxhash64(spread), salts).cast("int"))
+    copied = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1)))
     return dealt.join(copied, [*keys, "_salt"], how).drop("_salt")
 
 

@@ -27,6 +27,7 @@ def spread(spark, monkeypatch):
     monkeypatch.setattr(module, "LINKS", 20)
     monkeypatch.setattr(shared, "BROADCAST_ROWS", 0)
     monkeypatch.setattr(shared, "FEW", 0)
+    monkeypatch.setattr(shared, "PARTS", 4)
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     yield
     spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
@@ -87,5 +88,5 @@ def test_lookup_splits_hot_keys(spark, spread):
     left = shared.written(spark.createDataFrame([(1 if k % 3 else k, k) for k in range(90)], "k long, v long"), "left")
     right = spark.createDataFrame([(k, f"r{k}") for k in range(80)], "k long, w string")
     for how in ("inner", "left"):
-        got = sorted(map(tuple, shared.lookup(left, right, "k", "v", how, parts=4).select("k", "v", "w").collect()))
+        got = sorted(map(tuple, shared.lookup(left, right, "k", "v", how).select("k", "v", "w").collect()))
         assert got == sorted(map(tuple, left.join(right, "k", how).select("k", "v", "w").collect())), how
