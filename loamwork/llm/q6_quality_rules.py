@@ -1,4 +1,4 @@
-"""op6: base counts of all documents, and the robust outlier verdict. Not expressible in SQL: tests use brute force."""
+"""op6: base counts of all documents, and the robust outlier verdict. Not expressible in SQL: tests compare kept with a plain numpy version."""
 
 from loamwork.llm.robust import quality_rules
 from loamwork.llm.shared import table
