@@ -1,37 +1,42 @@
 """Removing lines that many documents repeat, with two Bloom filters before the exact step.
 
-1. Each task keeps two Bloom filters of its line keys, once-seen and twice-seen, and sends their pages as sorted
-   bit positions (or as bits, where denser). Pages are folded by number: what two tasks' once-seen pages share
-   is twice-seen. The twice-seen filter has at most MAX_BITS bits (64 MB), and is broadcast.
-2. Only keys that it holds are written out, with their document and first line: the suspected repeats. They are
-   grouped by the key's bytes, summed up on the map side first, so a line of every document is one row per task.
-3. Confirmed keys meet the suspects again, and each document gets the numbers of its lines to drop. The few keys
-   with a large part of all rows are broadcast, so none of their rows is exchanged; the others meet in a shuffle join.
-A full filter only lets more keys through to the exact step.
+1. Each line key is sent as a 64-bit hash alone to its part of the hash space; an Arrow batch sends each of its hashes once,
+   with a mark if it held it twice, so a line of every document is few rows. There are as many parts as keep a
+   part's filters at FILTER_KEYS keys, whatever the size of the corpus.
+2. A part has two Bloom filters, for once-seen and twice-seen hashes: a hash that the first one holds already goes
+   into the second, so that no repeat is missed.
+3. Only lines that the twice-seen filters hold are written out, as a 128-bit cryptographic digest with their document and
+   line number. Up to BROADCAST_BYTES, all parts' filters together are broadcast to the documents; beyond, lines'
+   hashes and digests go to their part, where its filter waits for them. No text is moved either way.
+4. These suspects are grouped by digest, summed up on the map side first. Confirmed keys meet the suspects again in a join
+   that splits hot keys, and each document gets the numbers of its lines to drop.
+Filters that are fuller than planned only let more lines through to the exact step.
 
 A key is a line stripped of [\\x20\\x09-\\x0D] and with A-Z lower-cased. Keys of at least ``shortest`` code points
 in at least ``documents`` documents stay in the document with the largest doc_id alone, in all its lines.
 
-Defined cases: a null text is one empty line and becomes empty when rewritten; each row is a document; a null
-doc_id is smaller than any; rows with one doc_id share the right to keep a line; an empty table stays empty;
-other columns, whatever their names, are carried through.
+Defined cases: a document is a doc_id: rows that share one count once, and share the right to keep a line; a null doc_id is
+one too, smaller than any; a null text is one empty line and becomes empty when rewritten; an empty table stays
+empty; other columns, whatever their names, are carried through.
 """
 
 from __future__ import annotations
 
+import hashlib
+import zlib
+
 import numpy as np
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loamwork.llm.shared import small_batches, written
+from loamwork.llm.shared import drop_since, lookup, mark, small_batches, written
 
 BLANK = b" \t\n\r\x0b\x0c"
-#: Bits of a filter for each document, their bounds, bits of a page, and hash positions of a key.
-BITS_PER_DOC, MIN_BITS, MAX_BITS, PAGE, POSITIONS = 512, 1 << 20, 1 << 29, 1 << 16, 3
-#: Fixed value: keys with this part of all suspects' rows, so at most as many keys, are broadcast; the rest are joined by a shuffle.
-HOT = 500
+#: Bits of a filter for each key, most and least keys of a part's filters, hash positions of a key, bytes of filters broadcast.
+BITS_PER_KEY, FILTER_KEYS, LEAST_KEYS, POSITIONS, BROADCAST_BYTES = 16, 1 << 25, 1 << 16, 3, 64 << 20
+_NO_ID = -(1 << 63)
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 
 
@@ -68,117 +73,141 @@ def _holds(array: np.ndarray, places: np.ndarray) -> np.ndarray:
 
 
 class Filters:
-    """The once-seen and twice-seen filters of one task."""
+    """The once-seen and twice-seen filters of one part of the hash space."""
 
     def __init__(self, bits: int):
         self.bits = bits
         self.once, self.twice = np.zeros(bits // 8, np.uint8), np.zeros(bits // 8, np.uint8)
 
-    def add(self, hashes: np.ndarray) -> None:
-        values, counts = np.unique(hashes, return_counts=True)
+    def add(self, hashes: np.ndarray, many: np.ndarray) -> None:
+        """Puts hashes in; many: where one stands for two or more."""
+        values, at, counts = np.unique(hashes, return_inverse=True, return_counts=True)
         places = positions(values, self.bits)
-        _put(self.twice, places[(counts > 1) | _holds(self.once, places)])
+        again = (counts > 1) | _holds(self.once, places)
+        again[at[many]] = True
         _put(self.once, places)
+        _put(self.twice, places[again])
+
+
+class Parts:
+    """How the hash space is divided: parts, and bits of a part's filter."""
 
-    def pages(self):
-        """(page, once, twice) of each page that has bits."""
-        once, twice = (x.reshape(-1, min(PAGE, self.bits) // 8) for x in (self.once, self.twice))
-        for k in np.flatnonzero(once.any(axis=1)):
-            yield int(k), dense_or_sparse(once[k]), dense_or_sparse(twice[k])
+    def __init__(self, keys: int, tasks: int, bits_per_key: int = BITS_PER_KEY):
+        self.parts = max(1, -(-keys // FILTER_KEYS), min(tasks, keys // LEAST_KEYS))
+        self.bits = 1 << max(10, (bits_per_key * -(-keys // self.parts) - 1).bit_length())
 
+    def of(self, hashes: np.ndarray) -> np.ndarray:
+        """The part of each hash, by its upper half; a filter's places come from all of it."""
+        return ((hashes >> np.uint64(32)) * np.uint64(self.parts) >> np.uint64(32)).astype(np.int32)
 
-def dense_or_sparse(page: np.ndarray) -> bytes:
-    """A page as the 16-bit positions of its bits, or as its bits after a mark, whichever is shorter."""
-    places = np.flatnonzero(np.unpackbits(page, bitorder="little")).astype("<u2").tobytes()
-    return b"s" + places if len(places) < len(page) else b"d" + page.tobytes()
 
+def _digest(key: bytes) -> bytes:
+    return hashlib.blake2b(key, digest_size=16).digest()
 
-def as_bits(data: bytes, size: int) -> np.ndarray:
-    if data[:1] == b"d":
-        return np.frombuffer(data, np.uint8, offset=1).copy()
-    page = np.zeros(size, np.uint8)
-    _put(page, np.frombuffer(data, "<u2", offset=1).astype(np.uint64))
-    return page
 
+def _hashes(keys) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, keys), np.uint64)
 
-def _twice_seen(docs: DataFrame, bits: int, shortest: int) -> bytes:
-    """The twice-seen filter over all documents."""
-    size = min(PAGE, bits) // 8
 
-    def build(batches):
+def twice_seen(docs: DataFrame, shortest: int, bits_per_key: int = BITS_PER_KEY) -> tuple[Parts, DataFrame]:
+    """The parts of the hash space, and (part, twice): the twice-seen filter of each part that has keys, compressed."""
+    text = F.col("text").cast("string")
+    lines = F.sum(F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1)
+    keys = docs.agg(F.least(lines, F.floor(F.sum(F.octet_length(text)) / (shortest + 1)) + F.count(text)).alias("keys")).first()[0]
+    parts = Parts(keys or 1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), bits_per_key)
+
+    def hashes(batches):
         import pyarrow as pa
 
-        filters, some = Filters(bits), False
         for batch in batches:
-            hashes = [xxhash.xxh3_64_intdigest(key) for text in batch.column(0).to_pylist() for key in first_lines(text, shortest)]
-            if hashes:
-                some = True
-                filters.add(np.array(hashes, np.uint64))
-        rows = list(filters.pages()) if some else []
-        for a in range(0, len(rows), 256):
-            page, once, twice = zip(*rows[a : a + 256])
-            yield pa.RecordBatch.from_arrays([pa.array(page, pa.int32()), pa.array(once, pa.binary()), pa.array(twice, pa.binary())], ["page", "once", "twice"])
-
-    def fold(batches):
+            values, counts = np.unique(_hashes(key for t in batch.column(0).to_pylist() for key in first_lines(t, shortest)), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(parts.of(values)), pa.array(values.view(np.int64)), pa.array(counts > 1)], ["part", "hash", "many"])
+
+    def fill(batches):
         import pyarrow as pa
 
-        at, once, twice = None, None, None
-        made = lambda: pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([dense_or_sparse(twice)], pa.binary())], ["page", "twice"])
+        at, filters = None, None
+        made = lambda: pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([zlib.compress(filters.twice.tobytes(), 1)], pa.binary())], ["part", "twice"])
         for batch in batches:
-            for page, o, t in zip(*(batch.column(k).to_pylist() for k in range(3))):
-                if page != at:
-                    if at is not None and twice.any():
+            part, values, many = batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64), batch.column(2).to_numpy(zero_copy_only=False)
+            for k in np.unique(part):
+                if k != at:
+                    if at is not None:
                         yield made()
-                    at, once, twice = page, np.zeros(size, np.uint8), np.zeros(size, np.uint8)
-                o, t = as_bits(o, size), as_bits(t, size)
-                twice |= t | (once & o)
-                once |= o
-        if at is not None and twice.any():
+                    at, filters = k, Filters(parts.bits)
+                filters.add(values[part == k], many[part == k])
+        if at is not None:
             yield made()
 
-    pages = docs.select(F.col("text").cast("string")).mapInArrow(build, "page int, once binary, twice binary")
-    folded = pages.repartition("page").sortWithinPartitions("page").mapInArrow(fold, "page int, twice binary")
-    whole = np.zeros(bits // 8, np.uint8)
-    for page, twice in folded.toLocalIterator():  # at most MAX_BITS bits
-        whole[page * size : (page + 1) * size] = as_bits(bytes(twice), size)
-    return whole.tobytes()
+    sent = docs.select(text).mapInArrow(hashes, "part int, hash long, many boolean")
+    return parts, written(sent.repartition(parts.parts, "part").sortWithinPartitions("part").mapInArrow(fill, "part int, twice binary"), "twice")
 
 
-def dedup_lines(docs: DataFrame, shortest: int = 20, documents: int = 3, bits: int | None = None) -> DataFrame:
-    """All rows and columns of docs with repeated lines gone from text, and n_lines, n_dropped (long) at the end."""
-    spark = small_batches(docs).sparkSession
-    bits = bits or min(MAX_BITS, max(MIN_BITS, 1 << (BITS_PER_DOC * max(1, docs.count()) - 1).bit_length()))
-    seen = spark.sparkContext.broadcast(_twice_seen(docs, bits, shortest))
-    who = [F.col("doc_id").cast("long").alias("_ld_doc"), F.xxhash64(F.col("text").cast("string")).alias("_ld_hash")]
+def suspected_lines(docs: DataFrame, parts: Parts, filters: DataFrame, shortest: int) -> DataFrame:
+    """doc, text_hash, key (digest) and line of each row's first lines that the filters hold."""
+    text = F.col("text").cast("string")
+    ids = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("doc"), F.xxhash64(text).alias("text_hash"), text)
+    few = parts.parts * parts.bits <= 8 * BROADCAST_BYTES
+    whole = np.zeros((parts.parts, parts.bits // 8), np.uint8) if few else None
+    if few:
+        for part, twice in filters.toLocalIterator():  # BROADCAST_BYTES at most
+            whole[part] = np.frombuffer(zlib.decompress(twice), np.uint8)
+    sent = docs.sparkSession.sparkContext.broadcast(whole)
+
+    def lines(batches):
+        """Lines with their part; if the filters are here, only those that they hold."""
+        import pyarrow as pa
 
-    def suspect(batches):
+        for batch in batches:
+            row, keys, numbers = [], [], []
+            for k, t in enumerate(batch.column(2).to_pylist()):
+                found = first_lines(t, shortest)
+                row += [k] * len(found)
+                keys += found
+                numbers += found.values()
+            hashes = _hashes(keys)
+            part = parts.of(hashes)
+            there = np.flatnonzero(_holds(sent.value.ravel(), positions(hashes, parts.bits) + (part.astype(np.uint64) * np.uint64(parts.bits))[:, None])) if sent.value is not None else np.arange(len(keys))
+            took = pa.array(np.array(row, np.int64)[there])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(part[there]), pa.array(hashes[there].view(np.int64)), batch.column(0).take(took), batch.column(1).take(took), pa.array([_digest(keys[h]) for h in there], pa.binary()), pa.array(np.array(numbers, np.int32)[there])],
+                ["part", "hash", "doc", "text_hash", "key", "line"],
+            )
+
+    def held(batches):
         import pyarrow as pa
 
-        filter_bits = np.frombuffer(seen.value, np.uint8)
+        at, bits = None, None
         for batch in batches:
-            row, keys, lines, hashes = [], [], [], []
-            for k, text in enumerate(batch.column(2).to_pylist()):
-                for key, line in first_lines(text, shortest).items():
-                    row.append(k)
-                    keys.append(key)
-                    lines.append(line)
-                    hashes.append(xxhash.xxh3_64_intdigest(key))
-            if row:
-                held = np.flatnonzero(_holds(filter_bits, positions(np.array(hashes, np.uint64), bits)))
-                took = pa.array(np.array(row)[held])
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(took), batch.column(1).take(took), pa.array([keys[h] for h in held], pa.binary()), pa.array(np.array(lines, np.int32)[held])], ["doc", "hash", "key", "line"])
-
-    suspects = written(docs.select(*who, F.col("text").cast("string")).mapInArrow(suspect, "doc long, hash long, key binary, line int"), "suspects")
-    total = suspects.count()
-    confirmed = suspects.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("doc").alias("keeper")).where(F.col("n") >= documents)
-    confirmed = written(confirmed, "confirmed")
-    hot = F.col("n") * HOT >= total
-    few = F.broadcast(confirmed.where(hot))  # at most HOT keys can have a HOT-th of the rows each
-    usual = suspects.join(few.select("key"), "key", "left_anti").join(confirmed.where(~hot), "key")
-    lost = suspects.join(few, "key").unionByName(usual).where(~F.col("doc").eqNullSafe(F.col("keeper")))
-    drops = lost.groupBy(F.col("doc").alias("_ld_doc2"), F.col("hash").alias("_ld_hash2")).agg(F.collect_set("line").alias("_ld_lines"))
+            part, twice = batch.column(0).to_numpy(), batch.column(6)
+            keep, hashes = np.zeros(batch.num_rows, bool), batch.column(1).fill_null(0).to_numpy().view(np.uint64)
+            for first in np.flatnonzero(twice.is_valid().to_numpy(zero_copy_only=False)):  # a part's filter comes first
+                keep[:first] |= (part[:first] == at) & _holds(bits, positions(hashes[:first], parts.bits)) if at is not None else False
+                at, bits = part[first], np.frombuffer(zlib.decompress(twice[first].as_py()), np.uint8)
+            keep |= (part == at) & _holds(bits, positions(hashes, parts.bits)) if at is not None else False
+            yield batch.select(["doc", "text_hash", "key", "line"]).filter(pa.array(keep & ~twice.is_valid().to_numpy(zero_copy_only=False)))
+
+    found = ids.mapInArrow(lines, "part int, hash long, doc long, text_hash long, key binary, line int")
+    if few:
+        return found.select("doc", "text_hash", "key", "line")
+    nothing = [F.lit(None).cast(t).alias(c) for c, t in (("hash", "long"), ("doc", "long"), ("text_hash", "long"), ("key", "binary"), ("line", "int"))]
+    both = found.withColumn("twice", F.lit(None).cast("binary")).unionByName(filters.select("part", *nothing, "twice"))
+    return both.repartition(parts.parts, "part").sortWithinPartitions("part", F.col("twice").isNull()).mapInArrow(held, "doc long, text_hash long, key binary, line int")
+
+
+def dedup_lines(docs: DataFrame, shortest: int = 20, documents: int = 3, bits_per_key: int = BITS_PER_KEY) -> DataFrame:
+    """All rows and columns of docs with repeated lines gone from text, and n_lines, n_dropped (long) at the end."""
+    first = mark()
+    spark = small_batches(docs).sparkSession
+    suspects = written(suspected_lines(docs, *twice_seen(docs, shortest, bits_per_key), shortest), "suspects")
+    counted = suspects.groupBy("key").agg(F.count_distinct("doc").alias("n"), F.max("doc").alias("keeper"))
+    confirmed = written(counted.where(F.col("n") >= documents), "confirmed")
+    lost = lookup(suspects, confirmed.select("key", "keeper"), "key", "text_hash").where("doc <> keeper")
+    drops = written(lost.groupBy(F.col("doc").alias("_ld_doc2"), F.col("text_hash").alias("_ld_hash2")).agg(F.collect_set("line").alias("_ld_lines")), "drops")
+    drop_since(spark, first, drops)
+    who = [F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("_ld_doc"), F.xxhash64(F.col("text").cast("string")).alias("_ld_hash")]
     both = docs.select("*", *who)
-    both = both.join(drops, both["_ld_doc"].eqNullSafe(F.col("_ld_doc2")) & both["_ld_hash"].eqNullSafe(F.col("_ld_hash2")), "left")
+    both = both.join(drops, (both["_ld_doc"] == F.col("_ld_doc2")) & (both["_ld_hash"] == F.col("_ld_hash2")), "left")
     schema = T.StructType([f if f.name != "text" else T.StructField("text", T.StringType()) for f in docs.schema.fields] + [T.StructField(c, T.LongType()) for c in ("_ld_n", "_ld_gone")])
 
     def rewrite(batches):

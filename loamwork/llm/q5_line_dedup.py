@@ -13,17 +13,18 @@ def query(spark, sf_dir):
 
 SQL = r"""
 WITH lines AS (
-  SELECT d.doc_id, u.i, u.line,
+  SELECT d.r, d.doc_id, u.i, u.line,
          translate(trim(u.line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
                    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
-  FROM documents d, LATERAL (
+  FROM (SELECT row_number() OVER () AS r, doc_id, text FROM documents) d, LATERAL (
     SELECT unnest(string_split(coalesce(d.text, ''), chr(10))) AS line,
            generate_subscripts(string_split(coalesce(d.text, ''), chr(10)), 1) AS i) u),
 common AS (
-  SELECT k, max(doc_id) AS keeper FROM lines WHERE length(k) >= 20 GROUP BY k HAVING count(DISTINCT doc_id) >= 3),
+  SELECT k, max(doc_id) AS keeper FROM lines WHERE length(k) >= 20 GROUP BY k
+  HAVING count(DISTINCT doc_id) + max(CASE WHEN doc_id IS NULL THEN 1 ELSE 0 END) >= 3),
 judged AS (
-  SELECT l.doc_id, l.i, l.line, (c.k IS NOT NULL AND l.doc_id <> c.keeper) AS gone FROM lines l LEFT JOIN common c ON l.k = c.k)
+  SELECT l.r, l.doc_id, l.i, l.line, (c.k IS NOT NULL AND l.doc_id IS DISTINCT FROM c.keeper) AS gone FROM lines l LEFT JOIN common c ON l.k = c.k)
 SELECT doc_id, count(*) AS n_lines, CAST(sum(CASE WHEN gone THEN 1 ELSE 0 END) AS BIGINT) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256
-FROM judged GROUP BY doc_id
+FROM judged GROUP BY r, doc_id
 """

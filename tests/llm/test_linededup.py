@@ -1,5 +1,6 @@
 from collections import defaultdict
 
+import duckdb
 import numpy as np
 import pytest
 
@@ -14,11 +15,11 @@ ROWS = [
 
 
 def brute(rows):
-    holders = defaultdict(list)
+    holders = defaultdict(set)
     for i, t in rows:
         keys = {k for k in (x.strip(" \t\n\r\x0b\x0c").encode().lower().decode() for x in (t or "").split("\n")) if len(k) >= 20}
         for k in keys:
-            holders[k].append(i)
+            holders[k].add(i)
     out = []
     for i, t in rows:
         lines = (t or "").split("\n")
@@ -29,16 +30,29 @@ def brute(rows):
     return out
 
 
-@pytest.mark.parametrize("bits", [1 << 10, 1 << 20])
-def test_against_brute_force(spark, bits):
+@pytest.mark.parametrize("most,keys,bits", [(64 << 20, 1 << 25, 16), (0, 4, 16), (64 << 20, 4, 1)])
+def test_against_brute_force(spark, monkeypatch, most, keys, bits):
+    """Filters broadcast and filters of many parts that wait for the lines; filters that are much too small."""
+    monkeypatch.setattr(ld, "BROADCAST_BYTES", most)
+    monkeypatch.setattr(ld, "FILTER_KEYS", keys)
     docs = spark.createDataFrame([(i, t, "k", 5, 1) for i, t in ROWS], "doc_id long, text string, key string, n_lines int, page int").repartition(3)
-    out = ld.dedup_lines(docs, bits=bits)
+    out = ld.dedup_lines(docs, bits_per_key=bits)
     assert out.columns == ["doc_id", "text", "key", "n_lines", "page", "n_lines", "n_dropped"]
     got = [(r[0], r[5], r[6], r[1] or "") for r in out.collect()]
     order = lambda r: (-1 if r[0] is None else r[0], r[1:])
     assert sorted(got, key=order) == sorted(brute(ROWS), key=order)
 
 
+def test_sql_with_repeated_and_null_ids(spark, tmp_path):
+    from loamwork.llm import q5_line_dedup as q
+
+    spark.createDataFrame([(i, t) for i, t in ROWS], "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = sorted(con.execute(q.SQL).fetchall(), key=str)
+    assert sorted((tuple(r) for r in q.query(spark, str(tmp_path)).collect()), key=str) == want
+
+
 def test_empty(spark):
     assert ld.dedup_lines(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
@@ -46,17 +60,24 @@ def test_empty(spark):
 def test_filters_never_miss_a_repeat():
     rng = np.random.default_rng(5)
     hashes = rng.integers(0, 2**63, 5000).astype(np.uint64)
-    a, b = ld.Filters(1 << 16), ld.Filters(1 << 16)
-    a.add(hashes[:3000])
-    b.add(hashes[2500:])
-    once, twice = np.zeros(1 << 13, np.uint8), np.zeros(1 << 13, np.uint8)
-    for f in (a, b):
-        for _, o, t in f.pages():
-            o, t = ld.as_bits(o, 1 << 13), ld.as_bits(t, 1 << 13)
-            twice |= t | (once & o)
-            once |= o
-    assert ld._holds(twice, ld.positions(hashes[2500:3000], 1 << 16)).all()
-    a = ld.Filters(1 << 22)
-    a.add(hashes)
-    a.add(hashes[:100])
-    assert ld._holds(a.twice, ld.positions(hashes, 1 << 22)).sum() < 110
+    one = np.zeros(5000, bool)
+    for bits in (1 << 10, 1 << 16, 1 << 22):
+        f = ld.Filters(bits)
+        f.add(hashes[:3000], one[:3000])
+        f.add(hashes[2500:], np.arange(2500) >= 2400)  # the last hundred stand for two each
+        assert ld._holds(f.twice, ld.positions(np.concatenate([hashes[2500:3000], hashes[4900:]]), bits)).all()
+    assert ld._holds(f.twice, ld.positions(hashes, 1 << 22)).sum() < 610
+
+
+def test_suspects_stay_near_the_repeats_in_many_parts(spark, monkeypatch):
+    """With a bound on a part's filters that is far below the corpus, suspects do not grow beyond the true repeats."""
+    monkeypatch.setattr(ld, "FILTER_KEYS", 1000)
+    lines = [f"line number {k} is met once alone" for k in range(20_000)]
+    docs = [(k, "\n".join([*lines[20 * k : 20 * k + 20], f"a line that ten documents share: {k // 10}"])) for k in range(1000)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    for most in (64 << 20, 0):
+        monkeypatch.setattr(ld, "BROADCAST_BYTES", most)
+        parts, filters = ld.twice_seen(df, 20)
+        assert parts.parts >= 20 and parts.bits <= 16 * 2048
+        suspects = ld.suspected_lines(df, parts, filters, 20)
+        assert 1000 <= suspects.count() < 2000
