@@ -72,3 +72,18 @@ def test_dual_coordinate_descent_reaches_the_optimum():
     value = lambda u: 0.5 * u @ u + (cost * np.maximum(0, 1 - y * (x @ u))).sum()
     best = value(v)
     assert all(value(v + 0.01 * rng.normal(size=31)) >= best - 1e-6 for _ in range(300))
+
+
+def test_repeated_rows_and_bytes_are_bounded(spark, monkeypatch):
+    """A labelled doc_id in many rows is one document, and the features sent to the driver stay under the bound."""
+    texts = [(k, f"good words number {k} and others" if k % 2 else f"zzz {k} xxx xxx xxx qqq") for k in range(40)]
+    labels = spark.createDataFrame([(k, k % 2) for k in range(40)], "doc_id long, quality int")
+    once = spark.createDataFrame(texts, "doc_id long, text string")
+    again = once.unionAll(spark.createDataFrame([texts[3]] * 500, "doc_id long, text string"))
+    seen = []
+    monkeypatch.setattr(nbsvm, "fit", lambda rows, labels: seen.append((len(rows), sum(4 * len(r) for r in rows))))
+    for docs in (once, again):
+        nbsvm.train(docs, labels)
+    assert seen[0] == seen[1] and seen[0][0] == 40
+    nbsvm.train(again, labels, most_bytes=4_000)
+    assert 2 <= seen[2][0] < 20 and seen[2][1] <= 4_000
