@@ -1,7 +1,7 @@
 """Joins beyond plain equality: provenance, as-of, ranges, overlaps, distances, spans.
 
-None of them is a nested loop over two large sides: ranges meet over a small dimension or over buckets of the range,
-distances over grid cells, as-of over one sorted pass of both sides' union.
+None of them is a nested loop: ranges meet over cells of their mean length, distances over grid cells, as-of over one
+sorted pass of both sides' union.
 """
 
 from __future__ import annotations
@@ -13,14 +13,10 @@ from pyspark.sql import functions as F
 
 from loamwork.sources.scratch import path
 
-#: Rows up to which a dimension of ranges is broadcast, after counting it.
+#: Rows up to which intervals are broadcast, after counting them.
 SMALL = 10_000
 
 
-def _small(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.limit(SMALL + 1).count() <= SMALL else df
-
-
 def with_provenance(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     """Full outer join on keys with _merge: both, left_only or right_only. Null keys match nothing."""
     l, r = left.withColumn("_l", F.lit(True)), right.withColumn("_r", F.lit(True))
@@ -66,51 +62,85 @@ def as_of(left: DataFrame, right: DataFrame, keys: list[str], on: str, take: lis
     return last.select("_row.*", *(F.col("_last")[c].alias(c) for c in take))
 
 
+class _Cells:
+    """Cells of equal width over a line, for intervals of one side (low, high): as wide as these are on average.
+
+    So all of them together are in two cells each on average, however many there are. What lies beyond their
+    smallest and largest finite bounds is in the two outermost cells.
+    """
+
+    def __init__(self, intervals: DataFrame, low: str, high: str, width: float | None = None):
+        real = lambda c: F.when(F.abs(F.col(c).cast("double")) < float("inf"), F.col(c).cast("double"))
+        start, stop, mean, self.rows = intervals.agg(
+            F.least(F.min(real(low)), F.min(real(high))), F.greatest(F.max(real(low)), F.max(real(high))), F.avg(F.greatest(real(high) - real(low), F.lit(0.0))), F.count(F.lit(1))
+        ).first()  # one row
+        self.width = width or mean or max(1.0, (stop or 0.0) - (start or 0.0))
+        self.start, self.stop = (start or 0.0) - self.width, (stop or 0.0) + self.width
+
+    def of(self, x: Column) -> Column:
+        """The cell of a number; null stays null."""
+        return F.when(x.isNotNull(), F.floor(F.least(F.greatest(x.cast("double"), F.lit(self.start)), F.lit(self.stop)) / self.width))
+
+    def between(self, low: str, high: str) -> Column:
+        """A row for each cell of an interval; none if it is empty or a bound is null."""
+        first, last = self.of(F.col(low)), self.of(F.col(high))
+        return F.explode(F.when(first <= last, F.sequence(first, last)))
+
+    def side(self, df: DataFrame) -> DataFrame:
+        """The intervals' frame, broadcast if it was counted to be small."""
+        return F.broadcast(df) if self.rows <= SMALL else df
+
+
 def range_join(left: DataFrame, ranges: DataFrame, value: str, low: str, high: str) -> DataFrame:
-    """Rows of left with each range [low, high) that holds value; ranges is a small dimension."""
-    return left.join(_small(ranges), (F.col(value) >= F.col(low)) & (F.col(value) < F.col(high)))
+    """Rows of left with each range [low, high) that holds value: an equality join over cells of the ranges' mean length, for any number of ranges."""
+    cells = _Cells(ranges, low, high)
+    joined = left.withColumn("_cell", cells.of(F.col(value))).join(cells.side(ranges.withColumn("_cell", cells.between(low, high))), "_cell")
+    return joined.where((F.col(value) >= F.col(low)) & (F.col(value) < F.col(high))).drop("_cell")
 
 
 def overlap_join(left: DataFrame, right: DataFrame, keys: list[str], l: tuple[str, str], r: tuple[str, str], bucket: float | None = None) -> DataFrame:
-    """Pairs of intervals of one key that overlap, with overlap, their common length.
+    """Pairs of intervals of one key (of all, without keys) that overlap, with overlap, their common length.
 
-    bucket: length of the cells over which two large sides meet; without it the right side is a small dimension.
+    They meet over cells as long as right's intervals on average, or of length ``bucket``: an equality join at every size.
     """
     common = F.least(F.col(l[1]), F.col(r[1])) - F.greatest(F.col(l[0]), F.col(r[0]))
-    if bucket is None:
-        on = (F.col(l[0]) < F.col(r[1])) & (F.col(r[0]) < F.col(l[1]))
-        joined = left.join(_small(right), on if not keys else (on & _equal(left, right, keys)))
-        return joined.withColumn("overlap", common)
-    cells = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / bucket), F.floor(F.col(b) / bucket)))
-    joined = left.withColumn("_cell", cells(*l)).join(right.withColumn("_cell", cells(*r)), [*keys, "_cell"])
-    first = F.floor(F.greatest(F.col(l[0]), F.col(r[0])) / bucket)  # each pair once, in the first cell they share
-    return joined.withColumn("overlap", common).where((F.col("overlap") > 0) & (F.col("_cell") == first)).drop("_cell")
-
-
-def _equal(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
-    on = F.lit(True)
-    for k in keys:
-        on = on & (left[k] == right[k])
-    return on
+    cells = _Cells(right, *r, bucket)
+    joined = left.withColumn("_cell", cells.between(*l)).join(cells.side(right.withColumn("_cell", cells.between(*r))), [*keys, "_cell"])
+    first = cells.of(F.greatest(F.col(l[0]), F.col(r[0])))  # each pair once, in the first cell they share
+    meet = (F.col(l[0]) < F.col(r[1])) & (F.col(r[0]) < F.col(l[1]))
+    return joined.where(meet & (F.col("_cell") == first)).withColumn("overlap", common).drop("_cell")
 
 
 #: Fixed value: metres in a degree of latitude.
 METRES = 111_320.0
 
 
+#: Points of a cell that one task compares with the points around them.
+DENSE = 2_000
+
+
 def near_pairs(points: DataFrame, radius: float, x: str = "x", y: str = "y", key: str = "id") -> DataFrame:
     """(id_a, id_b, distance) of all pairs of points up to radius apart, id_a < id_b, over grid cells of that size.
 
-    Each point enters its own cell, and the cells around it on one side alone, so a pair meets once.
+    Each point enters its own cell on one side, and on the other its own and four of the eight around it, so that two cells
+    meet once. The points of a cell with more than DENSE are dealt over several tasks.
     """
     p = points.select(F.col(key).alias("id"), F.col(x).alias("x"), F.col(y).alias("y"))
-    cell = {"cx": F.floor(F.col("x") / radius), "cy": F.floor(F.col("y") / radius)}
-    a = p.withColumns(cell)
-    around = F.explode(F.array(*(F.struct((F.col("cx") + dx).alias("cx"), (F.col("cy") + dy).alias("cy")) for dx in (-1, 0, 1) for dy in (-1, 0, 1))))
-    b = a.select("id", "x", "y", around.alias("c")).select(F.col("id").alias("id_b"), F.col("x").alias("x_b"), F.col("y").alias("y_b"), "c.cx", "c.cy")
+    a = p.withColumns({"cx": F.floor(F.col("x") / radius), "cy": F.floor(F.col("y") / radius)})
+    around = F.explode(F.array(*(F.struct((F.col("cx") + dx).alias("cx"), (F.col("cy") + dy).alias("cy"), F.lit(dx == dy == 0).alias("own")) for dx, dy in ((0, 0), (1, 0), (-1, 1), (0, 1), (1, 1)))))
+    b = a.select(F.col("id").alias("id_b"), F.col("x").alias("x_b"), F.col("y").alias("y_b"), around.alias("c")).select("id_b", "x_b", "y_b", "c.cx", "c.cy", "c.own")
+    dense = a.groupBy("cx", "cy").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > DENSE).select("cx", "cy", F.ceil(F.col("n") / DENSE).cast("int").alias("parts"))
+    if dense.limit(1).count():
+        parts = F.coalesce("parts", F.lit(1))
+        a = a.join(dense, ["cx", "cy"], "left").withColumn("part", F.pmod(F.xxhash64("id"), parts).cast("int"))
+        b = b.join(dense, ["cx", "cy"], "left").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
+        met = a.drop("parts").join(b, ["cx", "cy", "part"])
+    else:
+        met = a.join(b, ["cx", "cy"])
     d = F.sqrt(F.pow(F.col("x") - F.col("x_b"), 2) + F.pow(F.col("y") - F.col("y_b"), 2))
-    pairs = a.join(b, ["cx", "cy"]).where(F.col("id") < F.col("id_b")).withColumn("distance", d).where(F.col("distance") <= radius)
-    return pairs.select(F.col("id").alias("id_a"), "id_b", "distance")
+    once = F.when(F.col("own"), F.col("id") < F.col("id_b")).otherwise(F.col("id") != F.col("id_b"))
+    pairs = met.where(once).withColumn("distance", d).where(F.col("distance") <= radius)
+    return pairs.select(F.least("id", "id_b").alias("id_a"), F.greatest("id", "id_b").alias("id_b"), "distance")
 
 
 def metric_degrees(points: DataFrame, lon: str = "lon", lat: str = "lat") -> DataFrame:
@@ -119,13 +149,14 @@ def metric_degrees(points: DataFrame, lon: str = "lon", lat: str = "lat") -> Dat
     return points.withColumns({"x": F.col(lon) * METRES * math.cos(math.radians(mean)), "y": F.col(lat) * METRES})
 
 
-def keep_first(points: DataFrame, pairs: DataFrame, key: str = "id", rounds: int = 100) -> DataFrame:
+def keep_first(points: DataFrame, pairs: DataFrame, key: str = "id") -> DataFrame:
     """Points with dropped: in order of id, a point goes if one that stays is near it.
 
-    Rounds of joins decide points whose smaller neighbours are all decided; the rounds end with the longest
-    chain of undecided neighbours. State is written to the shared folder between rounds.
+    Pairs (id_a < id_b) are dealt out by ranges of id_b; a task goes through its points in order and decides each whose
+    smaller neighbours are decided, by itself or in rounds before. So neighbours with ids close to each other, as along
+    a line, are decided in one round, and those with ids far apart have short chains. The smallest undecided point is
+    decided in each round, so the rounds end by themselves. State is written to the shared folder between rounds.
     """
-    state = points.select(F.col(key).alias("id")).withColumn("dropped", F.lit(None).cast("boolean"))
     spark = points.sparkSession
 
     def held(df: DataFrame) -> DataFrame:
@@ -133,15 +164,42 @@ def keep_first(points: DataFrame, pairs: DataFrame, key: str = "id", rounds: int
         df.write.parquet(at)
         return spark.read.schema(df.schema).parquet(at)
 
-    pairs, state = held(pairs.select("id_a", "id_b")), held(state)
-    for _ in range(rounds):
-        seen = pairs.join(state.select(F.col("id").alias("id_a"), F.col("dropped").alias("da")), "id_a")
-        per = seen.groupBy(F.col("id_b").alias("id")).agg(F.max(F.coalesce(~F.col("da"), F.lit(False))).alias("kept_near"), F.max(F.col("da").isNull()).alias("open"))
-        decided = F.when(F.col("dropped").isNotNull(), F.col("dropped")).when(F.col("kept_near"), True).when(~F.coalesce("open", F.lit(False)), False)
-        state = held(state.join(per, "id", "left").select("id", decided.alias("dropped")))
-        if not state.where("dropped is null").limit(1).count():
-            return state.withColumnRenamed("id", key)
-    raise RuntimeError("keep_first did not settle")
+    def decide(batches):
+        import pyarrow as pa
+
+        known: dict = {}  # of this task's points: whether each is dropped
+        now, kept_near, waits = None, False, False
+
+        def made(out: list) -> None:
+            if now is not None and (kept_near or not waits):
+                known[now] = kept_near
+                out.append((now, kept_near))
+
+        for batch in batches:
+            out: list[tuple] = []
+            for b, a, dropped in zip(*(batch.column(k).to_pylist() for k in range(3))):
+                if b != now:
+                    made(out)
+                    now, kept_near, waits = b, False, False
+                dropped = known.get(a) if dropped is None else dropped
+                kept_near |= dropped is False
+                waits |= dropped is None
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], batch.schema.field(0).type), pa.array([x for _, x in out], pa.bool_())], ["id", "dropped"])
+        out = []
+        made(out)
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], batch.schema.field(0).type), pa.array([x for _, x in out], pa.bool_())], ["id", "dropped"])
+
+    kind = dict(points.dtypes)[key]
+    left = held(pairs.select(F.col("id_a").cast(kind), F.col("id_b").cast(kind)))
+    lonely = points.select(F.col(key).alias("id")).distinct().join(left.select(F.col("id_b").alias("id")).distinct(), "id", "left_anti")
+    decided = held(lonely.withColumn("dropped", F.lit(False)))
+    while left.limit(1).count():
+        seen = left.join(decided.select(F.col("id").alias("id_a"), "dropped"), "id_a", "left").select("id_b", "id_a", "dropped")
+        new = held(seen.repartitionByRange("id_b").sortWithinPartitions("id_b", "id_a").mapInArrow(decide, f"id {kind}, dropped boolean"))
+        decided = held(decided.unionByName(new))
+        left = held(left.join(new.select(F.col("id").alias("id_b")), "id_b", "left_anti"))
+    return decided.withColumnRenamed("id", key)
 
 
 def span_overlaps(words: DataFrame, entities: DataFrame, keys: list[str]) -> DataFrame:

@@ -399,7 +399,7 @@ def words_box_union(spark, sf_dir):
     return u.select("l_orderkey", F.col("u.x").alias("x"), F.col("u.y").alias("y"), F.col("u.w").alias("w"), F.col("u.h").alias("h"))
 
 
-@query("words_box_overlap", "WITH b AS (SELECT l_orderkey AS o, l_linenumber AS n, l_partkey AS p, l_linenumber * 10.0::DOUBLE AS x, l_quantity AS y, 20.0::DOUBLE AS w, 15.0::DOUBLE AS h FROM lineitem WHERE l_orderkey % 11 = 0) SELECT a.o, a.n AS n1, a.p AS p1, b.n AS n2, b.p AS p2, round(i / (a.w * a.h + b.w * b.h - i), 6) AS iou FROM (SELECT a, b, greatest(least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x), 0) * greatest(least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y), 0) AS i FROM b a JOIN b ON a.o = b.o AND a.n < b.n)")
+@query("words_box_overlap", "WITH b AS (SELECT l_orderkey AS o, l_linenumber AS n, l_partkey AS p, l_linenumber * 10.0::DOUBLE AS x, l_quantity AS y, 20.0::DOUBLE AS w, 15.0::DOUBLE AS h FROM lineitem) SELECT a.o, a.n AS n1, a.p AS p1, b.n AS n2, b.p AS p2, round(i / (a.w * a.h + b.w * b.h - i), 6) AS iou FROM (SELECT a, b, greatest(least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x), 0) * greatest(least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y), 0) AS i FROM b a JOIN b ON a.o = b.o AND a.n < b.n)")
 def words_box_overlap(spark, sf_dir):
     side = lambda k: table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o"), F.col("l_linenumber").alias(f"n{k}"), F.col("l_partkey").alias(f"p{k}"), (F.col("l_linenumber") * 10.0).alias(f"x{k}"), F.col("l_quantity").alias(f"y{k}"))
     size = (F.lit(20.0), F.lit(15.0))
@@ -441,7 +441,7 @@ def json_fields(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.from_json("props", "k int")["k"].alias("k"))
 
 
-@query("json_daily_arrays", "SELECT user_id, CAST(ts AS DATE) AS day, min(value) AS tmin, max(value) AS tmax, round((min(value) + max(value)) / 2, 6) AS tmean FROM events WHERE user_id < 20 GROUP BY 1, 2")
+@query("json_daily_arrays", "SELECT user_id, CAST(ts AS DATE) AS day, min(value) AS tmin, max(value) AS tmax, round((min(value) + max(value)) / 2, 6) AS tmean FROM events GROUP BY 1, 2")
 def json_daily_arrays(spark, sf_dir):
     """Daily arrays in JSON, back to rows."""
     from loamwork.sources.readers import weather_days
@@ -452,7 +452,7 @@ def json_daily_arrays(spark, sf_dir):
     return weather_days(js, ["user_id"]).withColumn("tmean", F.round("tmean", 6))
 
 
-@query("json_nested_layers", "SELECT event_id, round((user_id + 0.5) / 10, 6) AS sg_clay, round(value / 10, 6) AS sg_sand FROM events WHERE event_id < 500")
+@query("json_nested_layers", "SELECT event_id, round((user_id + 0.5) / 10, 6) AS sg_clay, round(value / 10, 6) AS sg_sand FROM events")
 def json_nested_layers(spark, sf_dir):
     """Layers of a nested payload as columns sg_<name> = mean / 10."""
     e = table(spark, sf_dir, "events")

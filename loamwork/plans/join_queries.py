@@ -77,7 +77,7 @@ def join_point_in_polygon(spark, sf_dir):
     return p.join(F.broadcast(zones), inside).select("l_orderkey", "l_linenumber", "l_partkey", "zone")  # a handful of literal zones
 
 
-_HOR = "h AS (SELECT l_orderkey AS profile_id, (l_linenumber - 1) * 15.0::DOUBLE AS upper, (l_linenumber - 1) * 15.0::DOUBLE + l_quantity AS lower, ln(max(l_extendedprice)) AS soc FROM lineitem WHERE l_orderkey % 5 = 0 GROUP BY ALL)"
+_HOR = "h AS (SELECT l_orderkey AS profile_id, (l_linenumber - 1) * 15.0::DOUBLE AS upper, (l_linenumber - 1) * 15.0::DOUBLE + l_quantity AS lower, ln(max(l_extendedprice)) AS soc FROM lineitem GROUP BY ALL)"
 
 
 def horizons(spark, sf_dir):
@@ -109,15 +109,15 @@ def soil_harmonise_curve(spark, sf_dir):
 
 @query(
     "join_interval_overlap_buckets",
-    """WITH a AS (SELECT l_suppkey AS k, l_orderkey AS a_id, l_linenumber AS a_no, l_extendedprice AS lo, l_extendedprice + 300 AS hi FROM lineitem WHERE l_linenumber = 1), b AS (SELECT l_suppkey AS k, l_orderkey AS b_id, l_linenumber AS b_no, l_extendedprice AS lo2, l_extendedprice + 200 AS hi2 FROM lineitem WHERE l_linenumber = 2)
-    SELECT a.k, a_id, b_id, round(least(hi, hi2) - greatest(lo, lo2), 4) AS overlap FROM a JOIN b ON a.k = b.k AND lo < hi2 AND lo2 < hi""",
+    """WITH a AS (SELECT l_suppkey AS k, l_orderkey AS a_id, l_linenumber AS a_no, l_extendedprice AS lo, l_extendedprice + 300 AS hi FROM lineitem), b AS (SELECT l_suppkey AS k, l_orderkey AS b_id, l_linenumber AS b_no, l_extendedprice AS lo2, l_extendedprice + 200 AS hi2 FROM lineitem)
+    SELECT a.k, a_id, a_no, b_id, b_no, round(least(hi, hi2) - greatest(lo, lo2), 4) AS overlap FROM a JOIN b ON a.k = b.k AND lo < hi2 AND lo2 < hi""",
 )
 def join_interval_overlap_buckets(spark, sf_dir):
     """Two large sides of intervals, over cells."""
     l = table(spark, sf_dir, "lineitem")
-    a = l.where("l_linenumber = 1").select(F.col("l_suppkey").alias("k"), F.col("l_orderkey").alias("a_id"), F.col("l_extendedprice").alias("lo"), (F.col("l_extendedprice") + 300).alias("hi"))
-    b = l.where("l_linenumber = 2").select(F.col("l_suppkey").alias("k"), F.col("l_orderkey").alias("b_id"), F.col("l_extendedprice").alias("lo2"), (F.col("l_extendedprice") + 200).alias("hi2"))
-    return joins.overlap_join(a, b, ["k"], ("lo", "hi"), ("lo2", "hi2"), bucket=500.0).select("k", "a_id", "b_id", F.round("overlap", 4).alias("overlap"))
+    a = l.select(F.col("l_suppkey").alias("k"), F.col("l_orderkey").alias("a_id"), F.col("l_linenumber").alias("a_no"), F.col("l_extendedprice").alias("lo"), (F.col("l_extendedprice") + 300).alias("hi"))
+    b = l.select(F.col("l_suppkey").alias("k"), F.col("l_orderkey").alias("b_id"), F.col("l_linenumber").alias("b_no"), F.col("l_extendedprice").alias("lo2"), (F.col("l_extendedprice") + 200).alias("hi2"))
+    return joins.overlap_join(a, b, ["k"], ("lo", "hi"), ("lo2", "hi2"), bucket=500.0).select("k", "a_id", "a_no", "b_id", "b_no", F.round("overlap", 4).alias("overlap"))
 
 
 _PTS = "p AS (SELECT c_custkey AS id, c_acctbal AS x, (c_custkey * 37 % 1000)::DOUBLE AS y FROM customer)"

@@ -17,7 +17,7 @@ def source_csv(spark, sf_dir):
     return readers.read_table(spark, at, "n_nationkey int, n_name string, n_regionkey int")
 
 
-@query("source_tsv_pair", "SELECT l_orderkey AS profile, l_linenumber AS layer, l_quantity AS depth, o_orderstatus AS country FROM lineitem LEFT JOIN (SELECT * FROM orders WHERE o_orderkey % 2 = 0) ON l_orderkey = o_orderkey WHERE l_orderkey % 50 < 2")
+@query("source_tsv_pair", "SELECT l_orderkey AS profile, l_linenumber AS layer, l_quantity AS depth, o_orderstatus AS country FROM lineitem LEFT JOIN (SELECT * FROM orders WHERE o_orderkey % 2 = 0) ON l_orderkey = o_orderkey")
 def source_tsv_pair(spark, sf_dir):
     """Profiles and layers as two tab-separated tables, joined on the left."""
     a, b = path(spark, "layers"), path(spark, "profiles")
@@ -116,7 +116,7 @@ def source_xml_vector(spark, sf_dir):
     return v.select("event_id", F.col("v")[0].alias("first"), F.col("v")[1].alias("second"), F.size("v").alias("n"))
 
 
-@query("source_periods", "SELECT o_orderkey, i::INTEGER AS k, d + i::INTEGER * greatest((o_orderkey % 400) // 12, 1)::INTEGER AS first FROM (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS d, unnest(range(12)) AS i FROM orders WHERE o_orderkey % 10 = 0)")
+@query("source_periods", "SELECT o_orderkey, i::INTEGER AS k, d + i::INTEGER * greatest((o_orderkey % 400) // 12, 1)::INTEGER AS first FROM (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS d, unnest(range(12)) AS i FROM orders)")
 def source_periods(spark, sf_dir):
     d = F.to_date("o_orderdate")
     o = table(spark, sf_dir, "orders").select("o_orderkey", F.posexplode(readers.periods(d, F.date_add(d, (F.col("o_orderkey") % 400).cast("int")))).alias("k", "p"))
@@ -129,10 +129,10 @@ def source_wide_columns(spark, sf_dir):
     return readers.wide(o, ["NDVI"], ["20240105", "20240106"])
 
 
-@query("source_stacked", "SELECT r_name AS entity_id, n_nationkey FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_regionkey < 3")
+@query("source_stacked", "SELECT r_name AS entity_id, n_nationkey FROM nation JOIN region ON n_regionkey = r_regionkey")
 def source_stacked(spark, sf_dir):
     n = table(spark, sf_dir, "nation")
-    names = {r.r_name: r.r_regionkey for r in table(spark, sf_dir, "region").where("r_regionkey < 3").collect()}  # three literal names
+    names = {r.r_name: r.r_regionkey for r in table(spark, sf_dir, "region").collect()}  # the literal names of five regions
     return readers.stack({name: n.where(F.col("n_regionkey") == k).select("n_nationkey") for name, k in names.items()})
 
 
@@ -143,7 +143,7 @@ def source_strata(spark, sf_dir):
     return p.groupBy(F.col("c").cast("string").alias("cluster")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("sink_both_formats", "SELECT c_custkey, c_mktsegment, c_acctbal FROM customer WHERE c_custkey % 2 = 0")
+@query("sink_both_formats", "SELECT c_custkey, c_mktsegment, c_acctbal FROM customer")
 def sink_both_formats(spark, sf_dir):
     at = path(spark, "export")
     sinks.export(table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", "c_acctbal"), at)

@@ -351,12 +351,12 @@ def set_duplicates(spark, sf_dir):
     return duplicates(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey"), ["l_orderkey", "l_linenumber"])
 
 
-@query("set_source_agreement", "WITH c AS (SELECT l_partkey, count(DISTINCT l_suppkey % 3) AS s, count(DISTINCT l_returnflag) AS c FROM lineitem WHERE l_linenumber = 7 GROUP BY 1) SELECT l.l_partkey, l.l_suppkey, l.l_returnflag, l.l_orderkey FROM lineitem l JOIN c USING (l_partkey) WHERE l_linenumber = 7 AND (s = 1 OR c = 1)")
+@query("set_source_agreement", "WITH c AS (SELECT l_orderkey, count(DISTINCT l_suppkey % 3) AS s, count(DISTINCT l_returnflag) AS c FROM lineitem GROUP BY 1) SELECT l.l_orderkey, l.l_linenumber, l.l_suppkey, l.l_returnflag FROM lineitem l JOIN c USING (l_orderkey) WHERE s = 1 OR c = 1")
 def set_source_agreement(spark, sf_dir):
     from loamwork.operators.landcover import agreeing
 
-    l = table(spark, sf_dir, "lineitem").where("l_linenumber = 7").withColumn("src", F.col("l_suppkey") % 3)
-    return agreeing(l, ["l_partkey"], "src", "l_returnflag").select("l_partkey", "l_suppkey", "l_returnflag", "l_orderkey")
+    l = table(spark, sf_dir, "lineitem").withColumn("src", F.col("l_suppkey") % 3)
+    return agreeing(l, ["l_orderkey"], "src", "l_returnflag").select("l_orderkey", "l_linenumber", "l_suppkey", "l_returnflag")
 
 
 @query("project_missing_report", "SELECT 'a' AS \"column\", round(avg(CASE WHEN l_quantity > 40 THEN 100.0::DOUBLE ELSE 0 END), 6) AS pct FROM lineitem UNION ALL SELECT 'b', round(avg(CASE WHEN l_tax < 0.02 THEN 100.0::DOUBLE ELSE 0 END), 6) FROM lineitem UNION ALL SELECT 'l_orderkey', 0.0::DOUBLE")
