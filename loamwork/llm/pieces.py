@@ -59,15 +59,17 @@ class Pieces:
         self.bytes = [model.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         self.has_bytes = all(model.is_byte(k) for k in self.bytes)
         self.automaton = ahocorasick.Automaton()
+        self.after: dict[str, dict[str, bool]] = {n: {} for n in self.normal}  # whether a piece is compatible with one before it
+        self.held = 0
         for n in self.normal:
-            self.automaton.add_word(n, (len(n), n))
+            self.automaton.add_word(n, (len(n), n, self.after[n]))
         self.automaton.make_automaton()
         self.out = [b"" if special[k] else n.replace(BLANK, " ").encode() for k, n in enumerate(names)]
         if self.has_bytes:
             for b, k in enumerate(self.bytes):
                 self.out[k] = bytes([b])
         self.known: dict[str, bytes] = {}
-        self.pairs: dict[tuple[str, str], bool] = {}
+        self.older: dict[str, bytes] = {}  # what was known before the table was full
         self.merges: dict[str, tuple[list[tuple[float, str, str]], bool]] = {}
 
     def merged(self, piece: str) -> tuple[list[tuple[float, str, str]], bool]:
@@ -87,53 +89,49 @@ class Pieces:
 
     def compatible(self, left: str, right: str) -> bool:
         """Whether merging the characters of left + right ends in these two: no merge over the border ever comes first."""
-        known = self.pairs.get((left, right))
-        if known is None:
-            (a, _), (b, whole) = self.merged(left), self.merged(right)
-            i = j = 0
-            known = whole
-            while known:
-                x, y = a[i][2] if i < len(a) else left, b[j][1] if j < len(b) else right
-                ahead = max(a[i][0] if i < len(a) else NEVER, b[j][0] if j < len(b) else NEVER)
-                over = self.score.get(x + y, NEVER)
-                # of equal scores the leftmost merge is first: one in left, then the one over the border
-                if over > ahead or over == ahead > NEVER and not (i < len(a) and a[i][0] == ahead):
-                    known = False
-                elif ahead == NEVER:
-                    break
-                elif i < len(a) and a[i][0] == ahead:
-                    i += 1
-                else:
-                    j += 1
-            if len(self.pairs) >= PAIRS:
-                self.pairs.clear()
-            self.pairs[left, right] = known
-        return known
+        (a, _), (b, whole) = self.merged(left), self.merged(right)
+        i = j = 0
+        while whole:
+            x, y = a[i][2] if i < len(a) else left, b[j][1] if j < len(b) else right
+            ahead = max(a[i][0] if i < len(a) else NEVER, b[j][0] if j < len(b) else NEVER)
+            over = self.score.get(x + y, NEVER)
+            # of equal scores the leftmost merge is first: one in left, then the one over the border
+            if over > ahead or over == ahead > NEVER and not (i < len(a) and a[i][0] == ahead):
+                return False
+            if ahead == NEVER:
+                return True
+            if i < len(a) and a[i][0] == ahead:
+                i += 1
+            else:
+                j += 1
+        return False
+
+    def _learn(self, left: str, right: str) -> bool:
+        if self.held >= PAIRS:
+            for known in self.after.values():
+                known.clear()
+            self.held = 0
+        self.held += 1
+        found = self.after[right][left] = self.compatible(left, right) if left else self.merged(right)[1]
+        return found
 
     def segment(self, stretch: str) -> list[int]:
         """Ids of the pieces in which merging the stretch ends."""
         n = len(stretch)
-        last: list[str | None] = [None] * (n + 1)
-        at = 0  # positions up to here are final
-
-        def single(upto: int) -> None:
-            for k in range(at, upto):
-                if last[k + 1] is None:
-                    last[k + 1] = stretch[k]  # no piece ends here: a character alone
-
-        for end, (length, piece) in self.automaton.iter(stretch):
-            if end > at:
-                single(end)
-                at = end
-            if last[end + 1] is None:
-                start = end + 1 - length
-                if self.compatible(last[start], piece) if start else self.merged(piece)[1]:
-                    last[end + 1] = piece
-        single(n)
+        # the piece that ends at each position; "" where none does, so that a character stands alone
+        last = [""] * (n + 1)
+        for end, (length, piece, known) in self.automaton.iter(stretch):
+            end += 1
+            if not last[end]:
+                start = end - length
+                before = (last[start] or stretch[start - 1]) if start else ""
+                fits = known.get(before)
+                if fits or fits is None and self._learn(before, piece):
+                    last[end] = piece
         ids: list[int] = []
         k = n
         while k:
-            piece = last[k]
+            piece = last[k] or stretch[k - 1]
             name = self.normal.get(piece)
             if name is not None:
                 ids.append(name)
@@ -153,17 +151,24 @@ class Pieces:
         for k, part in enumerate(text.split(BLANK)):
             if k:
                 parts.append(literal)
-            for stretch in CUT((part if k else " " + part).replace(" ", BLANK)):
-                ids = self.known.get(stretch)
-                if ids is None:
-                    ids = array("I", self.segment(stretch)).tobytes()
-                    if len(stretch) <= LONGEST:
-                        if len(self.known) >= KEPT:
-                            self.known.clear()
-                        self.known[stretch] = ids
-                parts.append(ids)
+            stretches = CUT((part if k else " " + part).replace(" ", BLANK))
+            found = list(map(self.known.get, stretches))
+            if None in found:
+                found = [self._ids(x) if y is None else y for x, y in zip(stretches, found)]
+            parts += found
         return b"".join(parts)
 
+    def _ids(self, stretch: str) -> bytes:
+        ids = self.known.get(stretch) or self.older.get(stretch)
+        if ids is None:
+            ids = array("I", self.segment(stretch)).tobytes()
+            if len(stretch) > LONGEST:
+                return ids
+        if len(self.known) >= KEPT:
+            self.known, self.older = {}, self.known
+        self.known[stretch] = ids
+        return ids
+
     def decode(self, ids: bytes) -> str:
         data = b"".join(map(self.out.__getitem__, memoryview(ids).cast("I").tolist()))
         return (data[1:] if data[:1] == b" " else data).decode("utf-8", "surrogatepass" if self.has_bytes else "replace")
