@@ -1,6 +1,8 @@
 """Text expressions: identifiers, check digits, labels, dates in names, time zones."""
 
 import re
+from bisect import bisect_right
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import Column
@@ -74,30 +76,52 @@ def entity_counts(text: Column) -> dict[str, Column]:
     return {name: F.size(F.regexp_extract_all(text, F.lit(pattern), F.lit(1))).cast("long") for name, pattern, _, _ in ENTITIES}
 
 
+class Rule(NamedTuple):
+    """How one kind of identifier is read: in the text as it is or with misread letters repaired, and which earlier ones hide it."""
+
+    label: str
+    pattern: re.Pattern
+    score: float
+    validated: bool
+    checked: bool = False
+    repaired: bool = False
+    hidden_by: tuple[str, ...] = ()
+
+
+def _rules() -> list[Rule]:
+    plain = [Rule(label, re.compile(pattern), score, sure, label == "AADHAAR", hidden_by=("VID",) if label == "AADHAAR" else ()) for label, pattern, score, sure in ENTITIES]
+    number = next(r for r in plain if r.checked)
+    return [*plain, number._replace(score=MISREAD, repaired=True, hidden_by=("VID", "AADHAAR"))]
+
+
+RULES = _rules()
+REPAIR = str.maketrans(*MISREADINGS)
+
+
 def find_entities(text: str) -> list[tuple[str, str, int, int, float, bool]]:
-    """(label, text, start, stop, score, validated) of all identifiers.
+    """(label, text, start, stop, score, validated) of all identifiers, by RULES in order.
 
-    A twelve-digit number inside a sixteen-digit one is skipped, as is one that starts with 0 or 1. Numbers hidden by
-    misread letters are found too where nothing was found yet.
+    A checked number that starts with 0 or 1 is none, and one that fails its check digit scores FAILED. Spans of one label
+    do not overlap and come in order, so a hiding one is found by bisection.
     """
-    found: list[tuple[str, str, int, int, float, bool]] = []
-    for label, pattern, score, sure in ENTITIES:
-        for m in re.finditer(pattern, text):
-            if label == "AADHAAR":
+    readings = (text, text.translate(REPAIR))
+    spans: dict[str, list[tuple[int, int]]] = {}
+    found = []
+    for rule in RULES:
+        hiding = [spans.get(label, []) for label in rule.hidden_by]
+        mine = []
+        for m in rule.pattern.finditer(readings[rule.repaired]):
+            start, stop = m.span(1)
+            score, good = rule.score, rule.validated
+            if rule.checked:
                 number = re.sub(r"\D", "", m[1])
-                inside = any(e[0] == "VID" and e[2] <= m.start(1) and m.end(1) <= e[3] for e in found)
-                if inside or number[0] in "01":
+                if number[0] in "01" or any(k and h[k - 1][1] >= stop for h in hiding for k in [bisect_right(h, (start, len(text)))]):
                     continue
                 good = verhoeff(number)
-                found.append((label, m[1], m.start(1), m.end(1), score if good else FAILED, good))
-            else:
-                found.append((label, m[1], m.start(1), m.end(1), score, sure))
-    numbers = [e for e in found if e[0] in ("AADHAAR", "VID")]
-    for m in re.finditer(ENTITIES[2][1], text.translate(str.maketrans(*MISREADINGS))):
-        number = re.sub(r"\D", "", m[1])
-        if number[0] not in "01" and not any(e[2] <= m.start(1) and m.end(1) <= e[3] for e in numbers):
-            good = verhoeff(number)
-            found.append(("AADHAAR", text[m.start(1) : m.end(1)], m.start(1), m.end(1), MISREAD if good else FAILED, good))
+                score = rule.score if good else FAILED
+            mine.append((start, stop))
+            found.append((rule.label, text[start:stop], start, stop, score, good))
+        spans[rule.label] = sorted(spans.get(rule.label, []) + mine)
     return found
 
 
@@ -170,13 +194,27 @@ def options(text: Column) -> Column:
     return F.str_to_map(text, F.lit(","), F.lit("="))
 
 
-def resolve_header(header: str, known: list[str], least: float = 0.8) -> tuple[str, str]:
-    """(name, method) of a table header among a few known ones: equal without blanks and case, similar, or as a title."""
+def resolve_header(header: str, known: dict[str, str] | list[str], least: float = 0.8) -> tuple[str, str]:
+    """(name, method) of a table header among a few known ones: exact without blanks and case, fuzzy from a similarity of ``least`` on, else fallback, a title.
+
+    known: names, or full names to the short ones that are returned.
+    """
     from difflib import SequenceMatcher
 
-    bare = lambda s: re.sub(r"\s+", "", s).lower()
-    for k in known:
-        if bare(k) == bare(header):
-            return k, "exact"
-    ratio, best = max(((SequenceMatcher(None, bare(header), bare(k)).ratio(), k) for k in known), default=(0.0, ""))
-    return (best, "fuzzy") if ratio >= least else (re.sub(r"\s+", " ", header.strip()).title(), "title")
+    bare = lambda s: re.sub(r"\s+", "", s).upper()
+    names = {bare(k): v for k, v in (known if isinstance(known, dict) else {k: k for k in known}).items()}
+    if bare(header) in names:
+        return names[bare(header)], "exact"
+    ratio, best = max(((SequenceMatcher(None, k, bare(header)).ratio(), k) for k in names), default=(0.0, ""))
+    return (names[best], "fuzzy") if names and ratio >= least else (re.sub(r"\s+", " ", header.strip()).title(), "fallback")
+
+
+def resolve_headers(header: Column, known: dict[str, str] | list[str], least: float = 0.8) -> Column:
+    """resolve_header of each row as struct(name, method), by an Arrow UDF that resolves a batch's equal headers once; null for null."""
+
+    @F.pandas_udf("name string, method string")
+    def resolved(headers: pd.Series) -> pd.DataFrame:
+        each = {h: resolve_header(h, known, least) for h in headers.dropna().unique()}
+        return pd.DataFrame([each.get(h, (None, None)) for h in headers], columns=["name", "method"])
+
+    return F.when(header.isNotNull(), resolved(header))

@@ -115,22 +115,97 @@ def label_values(words: DataFrame, page: list[str], labels: dict[str, str], stop
     return out
 
 
-#: The form of a word of a name, and words that no name holds.
-NAME_WORD = "^(?:\\p{Lu}[\\p{Lu}\\-'’]+|\\p{Lu}\\p{Ll}[\\p{Ll}\\-'’]*|\\p{Lu}|[ऀ-ॿ]+)$"
-NOT_NAMES = "government|india|aadhaar|republic|election|voter|commission|authority|identification|unique|address|colony|office|road|male|female|dob|pan|permanent|account|number|signature|department|ministry|income|tax|nationality|expiry|issue|birth"
+#: The form of a word of a name, and parts of words that no name's line holds.
+NAME_WORD = "^(?:[A-Z][A-Z\\-'’]+|[A-Z][a-z][a-z\\-'’]*|[A-Z]|[ऀ-ॿ]+)$"
+NOT_NAMES = "government|india|aadhaar|republic|election|voter|commission|authority|identification|unique|address|colony|office|road|भारत|सरकार|आधार|पहचान|आयोग|आयकर|विभाग|प्राधिकरण|male|female|पुरुष|महिला|dob|pan|permanent|account|number|signature|department|ministry|income|tax|nationality|expiry|issue|birth"
+_DEVANAGARI, _TRAILING = "[ऀ-ॿ]", "[,.;:!?]+$"
+
+
+def _bare(word: Column) -> Column:
+    return F.regexp_replace(word, _TRAILING, "")
 
 
 def name_tokens(text: Column) -> Column:
     """Words that can be a name's: of its form, no two-letter abbreviation, no consonants alone."""
-    words = F.transform(F.split(F.trim(text), "\\s+"), lambda w: F.regexp_replace(w, "[,.;:!?]+$", ""))
+    words = F.transform(F.split(F.trim(text), "\\s+"), _bare)
     return F.filter(words, lambda w: w.rlike(NAME_WORD) & ~w.rlike("^[A-Za-z]{2}$") & ~(w.rlike("^[A-Za-z]{3,}$") & ~w.rlike("(?i)[aeiou]")))
 
 
+def _scripts(tokens: Column) -> tuple[Column, Column, Column]:
+    """Of name tokens: whether both scripts occur, the Latin ones, and those shown (the Latin ones alone where both occur)."""
+    latin = F.filter(tokens, lambda w: w.rlike("^[A-Za-z]"))
+    both = (F.size(latin) > 0) & F.exists(tokens, lambda w: w.rlike(f"^{_DEVANAGARI}+$"))
+    return both, latin, F.when(both, latin).otherwise(tokens)
+
+
 def is_name(text: Column) -> Column:
-    """Whether a line is a person's name by itself: two to five name words, up to eight words, no digits first, no form words."""
-    raw = F.split(F.trim(text), "\\s+")
-    n = F.size(name_tokens(text))
-    return ~F.lower(text).rlike(NOT_NAMES) & ~F.exists(raw, lambda w: w.rlike("^[,.;:!?]*[0-9]")) & (F.size(raw) <= 8) & n.between(2, 5)
+    """Whether a line is a person's name by itself: two to five name words, up to eight words, no digits first, no form words.
+
+    On a line of two scripts the Latin words must be a name by themselves.
+    """
+    raw, tokens = F.split(F.trim(text), "\\s+"), name_tokens(text)
+    both, latin, _ = _scripts(tokens)
+    plain = ~F.lower(text).rlike(NOT_NAMES) & ~F.exists(raw, lambda w: w.rlike("^[,.;:!?]*\\p{Nd}"))
+    return plain & (F.size(raw) <= 8) & F.size(tokens).between(2, 5) & (~both | (F.size(latin) >= 2))
+
+
+def name_shown(text: Column) -> Column:
+    """The name of a line without its noise; null where the line is none."""
+    return F.when(is_name(text), F.array_join(_scripts(name_tokens(text))[2], " "))
+
+
+#: Words of the labels before a name and a parent's name, the one that is a label on a line of its own, those that
+#: are labels before a colon in the same segment, letters read as digits, and words of label phrases that are no values.
+FIELD_LABELS = {"NAME": "name नाम surname उपनाम given दिया".split(), "PARENT": [*"father fathers s/o d/o w/o c/o पिता husband mother guardian".split(), "care of"]}
+ALONE, BEFORE_COLON = {"to": "NAME"}, {"so": "PARENT", "do": "PARENT", "wo": "PARENT", "co": "PARENT"}
+READ_AS_DIGITS = ("5018", "soib")
+LABEL_PHRASE = "(?i)^(name[\\(s\\)]*|names|given|surname|उपनाम|दिया|नाम|का|की|के|है|गया|type|code|nationality|sex|date|place|expiry|issue|birth|of|/|namets\\)?)$"
+
+
+def _label_of(form: Column, more: dict[str, str]) -> Column:
+    """The label that a normalised word stands for; null if none."""
+    known = {word: label for label, words in FIELD_LABELS.items() for word in words} | more
+    return F.element_at(F.create_map(*(F.lit(x) for pair in known.items() for x in pair)), form)
+
+
+def resolve_label(word: Column) -> Column:
+    """struct(label, value) of a word or of a segment of several: a label, as read or with digits for letters, or one before a colon with its value."""
+    form = lambda x: F.regexp_replace(F.lower(x), "[^a-zA-Z0-9ऀ-ॿ/]", "")
+    repaired = lambda x: F.translate(x, *READ_AS_DIGITS)
+    direct = F.coalesce(_label_of(form(word), {}), _label_of(repaired(form(word)), {}))
+    at = F.instr(word, ":")
+    before, after = F.trim(F.substring(word, F.lit(1), at - 1)), F.trim(F.substring(word, at + 1, F.length(word)))
+    slashless = F.replace(form(before), F.lit("/"), F.lit(""))
+    prefix = F.coalesce(*(_label_of(x, BEFORE_COLON) for x in (form(before), slashless, repaired(form(before)), repaired(slashless))))
+    value = F.array_join(F.filter(F.transform(F.split(after, "\\s+"), _bare), lambda w: w.rlike(NAME_WORD)), " ")
+    inside = direct.isNull() & (at > 0) & (before != "") & (after != "") & ~before.rlike(_DEVANAGARI)
+    return F.struct(F.coalesce(direct, F.when(inside, prefix)).alias("label"), F.when(inside & prefix.isNotNull() & (value != ""), value).alias("value"))
+
+
+def field_values(words: DataFrame, page: list[str]) -> DataFrame:
+    """(page, label, value) of words(page, line, pos, text): values of the fields of FIELD_LABELS, several of one label joined by blanks.
+
+    A line's first label counts. Its value stands in its own segment, or in the words after it that have a name's form, or
+    else on the next line, unless that begins with a label. A line that gives a value so is no label's line itself: of lines
+    that would each take the next one, in a row, every other does, which their places in the row tell.
+    """
+    seen = words.select(*page, "line", F.struct("pos", "text", resolve_label(F.col("text")).alias("r")).alias("w"))
+    lines = seen.groupBy(*page, "line").agg(F.array_sort(F.collect_list("w"), lambda a, b: F.when(a["pos"] < b["pos"], -1).when(a["pos"] > b["pos"], 1).otherwise(0)).alias("ws"))
+    only = F.when(F.size("ws") == 1, F.element_at(F.create_map(*(F.lit(x) for pair in ALONE.items() for x in pair)), F.regexp_replace(F.lower(F.get("ws", F.lit(0))["text"]), "[^a-zA-Z0-9ऀ-ॿ/]", "")))
+    first = F.get(F.filter("ws", lambda w: w["r"]["label"].isNotNull()), F.lit(0))
+    shaped = lambda ws, phrase: F.array_join(F.transform(F.filter(ws, lambda w: _bare(F.trim(w["text"])).rlike(NAME_WORD) & (F.lit(True) if not phrase else ~F.trim(w["text"]).rlike(LABEL_PHRASE))), lambda w: _bare(F.trim(w["text"]))), " ")
+    after = F.filter("ws", lambda w: w["pos"] > F.coalesce(first["pos"], F.get("ws", F.lit(0))["pos"]))
+    lines = lines.select(*page, "line", F.coalesce(first["r"]["label"], only).alias("label"), first["r"]["value"].alias("inside"), shaped(after, True).alias("same"), F.get("ws", F.lit(0))["r"]["label"].isNotNull().alias("begins"), shaped(F.col("ws"), False).alias("all"))
+    order = Window.partitionBy(*page).orderBy("line")
+    follows = F.lead("line").over(order) == F.col("line") + 1
+    lines = lines.withColumns({"next": F.when(follows & ~F.lead("begins").over(order), F.lead("all").over(order)), "n": F.row_number().over(order)})
+    lines = lines.withColumn("takes", F.col("label").isNotNull() & F.col("inside").isNull() & (F.col("same") == "") & F.col("next").isNotNull())
+    before = F.max(F.when(~F.col("takes"), F.col("n"))).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    lines = lines.withColumn("taken", (F.col("n") - 1 - F.coalesce(before, F.lit(0))) % 2 == 1)
+    value = F.coalesce("inside", F.when(F.col("same") != "", F.col("same")), "next")
+    found = lines.where(F.col("label").isNotNull() & ~F.col("taken")).withColumn("value", value).where("value is not null and value <> ''")
+    grouped = found.groupBy(*page, "label").agg(F.array_sort(F.collect_list(F.struct("line", "value"))).alias("v"))
+    return grouped.select(*page, "label", F.array_join(F.transform("v", lambda x: x["value"]), " ").alias("value"))
 
 
 def redaction(words: DataFrame, kept: DataFrame, page: list[str], least_conf: float = 0.45, kind: str | None = None) -> DataFrame:

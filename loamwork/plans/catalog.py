@@ -6,7 +6,7 @@ from importlib import import_module
 
 from loamwork.plans.registry import QUERIES, SQL
 
-MODULES = ("wetness_queries", "series_queries", "stats_queries", "join_queries", "domain_queries", "model_queries", "source_queries")
+MODULES = ("wetness_queries", "series_queries", "stats_queries", "join_queries", "domain_queries", "model_queries", "source_queries", "field_queries")
 for _m in MODULES:
     import_module(f"loamwork.plans.{_m}")
 

@@ -182,7 +182,14 @@ def test_headers():
     known = ["Dry Zone", "Humid Coast", "State"]
     assert text.resolve_header(" dryzone", known) == ("Dry Zone", "exact")
     assert text.resolve_header("Humid Coasst", known) == ("Humid Coast", "fuzzy")
-    assert text.resolve_header("something  else", known) == ("Something Else", "title")
+    assert text.resolve_header("something  else", known) == ("Something Else", "fallback")
+    assert text.resolve_header("DRY  ZONE", {"Dry Zone": "Dry", "Humid Coast": "Humid"}) == ("Dry", "exact") and text.resolve_header("x", []) == ("X", "fallback")
+
+
+def test_header_columns(spark):
+    df = spark.createDataFrame([(" dryzone",), ("Humid Coasst",), ("something  else",), (None,), ("",)], "h string")
+    got = [r[0] and tuple(r[0]) for r in df.select(text.resolve_headers(F.col("h"), ["Dry Zone", "Humid Coast"])).collect()]
+    assert got == [("Dry Zone", "exact"), ("Humid Coast", "fuzzy"), ("Something Else", "fallback"), None, ("", "fallback")]
 
 
 def test_votes_truth_table(spark):
@@ -201,11 +208,43 @@ def test_votes_truth_table(spark):
 
 
 def test_names(spark):
-    good, bad = ["HM RAHUL SHARMA", "Sanket Bagali", "A Kumar Rao"], ["Government Of", "Rahul 12 March", "RAHUL", "TRTT PQRS", "address line one", "A B C D E F G H I J"]
+    good, bad = ["HM RAHUL SHARMA", "Sanket Bagali", "A Kumar Rao", "काम Ravi Kumar", "रवि कुमार"], ["भारत सरकार", "काम Ravi", "Rahul ४ञ Kumar", "पुरुष RAVI KUMAR", "Government Of", "Rahul 12 March", "RAHUL", "TRTT PQRS", "address line one", "A B C D E F G H I J"]
     df = spark.createDataFrame([(x,) for x in good + bad], "t string")
     assert [r[0] for r in df.select(documents.is_name(F.col("t"))).collect()] == [True] * len(good) + [False] * len(bad)
 
 
+def test_names_shown(spark):
+    df = spark.createDataFrame([("HM RAHUL SHARMA,",), ("काम Ravi Kumar",), ("रवि कुमार",), ("Ravi",)], "t string")
+    assert [r[0] for r in df.select(documents.name_shown(F.col("t"))).collect()] == ["RAHUL SHARMA", "Ravi Kumar", "रवि कुमार", None]
+
+
+def test_labels(spark):
+    cases = {
+        "Name:": ("NAME", None), "5/O:": ("PARENT", None), "5o: Sidramappa Tadalaai": ("PARENT", "Sidramappa Tadalaai"), "S/O Ramappa": (None, None), "D/0: Ramappa, x1": ("PARENT", "Ramappa"), "नाम:": ("NAME", None),
+        "नाम: रवि": (None, None), "Name: 12 34": ("NAME", None), "To": (None, None), "so": (None, None), "Surname": ("NAME", None), "": (None, None), "care of": (None, None), "C/o: ": ("PARENT", None),
+    }
+    df = spark.createDataFrame([(k,) for k in cases], "w string")
+    assert {r[0]: tuple(r[1]) for r in df.select("w", documents.resolve_label(F.col("w"))).collect()} == cases
+
+
+def test_field_values(spark):
+    pages = {
+        "inline": (["Name: Ravi KUMAR,", "S/O Ramappa x1 Rao"], {"NAME": "Ravi KUMAR", "PARENT": "Ramappa Rao"}),
+        "next line": (["Surname", "SPECIMEN", "Given name", "ANNA MARIA"], {"NAME": "SPECIMEN ANNA MARIA"}),
+        "label in a value": (["Name", "APPLICANT NAME", "Father", "SOME MAN"], {"NAME": "APPLICANT NAME", "PARENT": "SOME MAN"}),
+        "in a row": (["Name", "Surname x", "Name", "Ravi"], {"NAME": "Ravi"}),
+        "to alone": (["To", "Lingaraj Neshvi", "To whom"], {"NAME": "Lingaraj Neshvi"}),
+        "nothing": (["GOVERNMENT OF INDIA", "12 34", "name"], {}),
+        "two scripts": (["नाम", "रवि कुमार"], {"NAME": "रवि कुमार"}),
+    }
+    words = [(p, k, j, w) for p, (lines, _) in pages.items() for k, line in enumerate(lines) for j, w in enumerate(line.split(" "))]
+    words += [("segments", 0, 0, "5o: Sidramappa Tadalaai"), ("segments", 0, 1, "Name"), ("gap", 0, 0, "Name"), ("gap", 2, 0, "Ravi")]
+    got = {}
+    for p, label, value in rows(documents.field_values(spark.createDataFrame(words, "page string, line int, pos int, text string"), ["page"])):
+        got.setdefault(p, {})[label] = value
+    assert got == {p: want for p, (_, want) in pages.items() if want} | {"segments": {"PARENT": "Sidramappa Tadalaai"}}
+
+
 def test_lines_labels_and_audit(spark):
     w = [("p", k, t, x, y, 30, 10, 0.9) for k, (t, x, y) in enumerate([("Name:", 0, 0), ("Anna", 40, 1), ("Rao", 80, 2), ("Address", 0, 20), ("Main", 0, 40), ("Road", 40, 41), ("DOB", 0, 60), ("01/02/1990", 50, 60)])]
     words = spark.createDataFrame(w, "page string, idx int, text string, x int, y int, w int, h int, conf double")
