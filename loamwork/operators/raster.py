@@ -7,15 +7,48 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def focal_median(pixels: DataFrame, radius: int = 1) -> DataFrame:
-    """pixels with focal: median of the known values in a square window; null where the pixel itself is unknown.
+def _by_tile(pixels: DataFrame, pad: int, tile: int, name: str, kernel) -> DataFrame:
+    """pixels with a column ``name``: kernel(grid, null where unknown) of each tile of bounded size with its margin.
 
-    Each pixel is sent to the windows it lies in (nine for radius 1), one exchange by pixel.
+    Pixels in a tile's margin are sent to it too, so a scene of any size spreads over tasks. Unknown pixels stay null.
     """
-    steps = range(-radius, radius + 1)
-    near = F.explode(F.array(*(F.struct((F.col("row") + a).alias("row"), (F.col("col") + b).alias("col")) for a in steps for b in steps)))
-    sent = pixels.where(F.col("value").isNotNull()).select("scene", F.col("value").alias("v"), near.alias("p")).select("scene", "v", "p.*")
-    return pixels.join(sent.groupBy("scene", "row", "col").agg(F.percentile("v", F.lit(0.5)).alias("focal")), ["scene", "row", "col"], "left").withColumn("focal", F.when(F.col("value").isNotNull(), F.col("focal")))
+    step = lambda c: F.array_distinct(F.array(F.floor((F.col(c) - pad) / tile), F.floor(F.col(c) / tile), F.floor((F.col(c) + pad) / tile)))
+    dealt = pixels.withColumn("tr", F.explode(step("row"))).withColumn("tc", F.explode(step("col")))
+
+    def run(table):
+        import pyarrow as pa
+
+        r, c, v = (table.column(n).to_numpy(zero_copy_only=False) for n in ("row", "col", "value"))
+        tr, tc = table.column("tr")[0].as_py(), table.column("tc")[0].as_py()
+        grid = np.full((r.max() - r.min() + 1, c.max() - c.min() + 1), np.nan)
+        grid[r - r.min(), c - c.min()] = v.astype(float)
+        out = np.where(np.isnan(grid), np.nan, kernel(grid))
+        mine = (r // tile == tr) & (c // tile == tc)
+        found = out[r[mine] - r.min(), c[mine] - c.min()]
+        t = table.filter(pa.array(mine)).select(["scene", "row", "col", "value"])
+        return t.append_column(name, pa.array(found, pa.float64(), from_pandas=True))
+
+    kinds = dict(pixels.dtypes)
+    return dealt.select("scene", F.col("row").cast("long"), F.col("col").cast("long"), F.col("value").cast("double"), "tr", "tc").groupBy("scene", "tr", "tc").applyInArrow(run, f"scene {kinds['scene']}, row long, col long, value double, {name} double")
+
+
+def window_median(grid: np.ndarray, radius: int) -> np.ndarray:
+    """Median of the known values around each place; a few rows at a time, for bounded memory."""
+    size = 2 * radius + 1
+    windows = np.lib.stride_tricks.sliding_window_view(np.pad(grid, radius, constant_values=np.nan), (size, size))
+    out = np.full(grid.shape, np.nan)
+    for k in range(0, len(grid), 32):
+        x = np.sort(windows[k : k + 32].reshape(*windows[k : k + 32].shape[:2], -1), axis=2)  # unknown ones last
+        n = (~np.isnan(x)).sum(axis=2)
+        lo, hi = np.maximum(n - 1, 0) // 2, n // 2
+        pick = lambda at: np.take_along_axis(x, np.minimum(at, x.shape[2] - 1)[:, :, None], axis=2)[:, :, 0]
+        out[k : k + 32] = np.where(n > 0, (pick(lo) + pick(hi)) / 2, np.nan)
+    return out
+
+
+def focal_median(pixels: DataFrame, radius: int = 1, tile: int = 256) -> DataFrame:
+    """pixels(scene, row, col, value) with focal: median of the known values in a square window; null where the pixel itself is unknown."""
+    return _by_tile(pixels, radius, tile, "focal", lambda grid: window_median(grid, radius))
 
 
 def lee(image: np.ndarray, size: int = 7, looks: float = 4.0) -> np.ndarray:
@@ -29,36 +62,15 @@ def lee(image: np.ndarray, size: int = 7, looks: float = 4.0) -> np.ndarray:
 
 
 def speckle_filter(pixels: DataFrame, size: int = 7, looks: float = 4.0, tile: int = 256) -> DataFrame:
-    """pixels with filtered, in tiles of bounded size with a margin, so a scene of any size spreads over tasks.
-
-    Pixels in a tile's margin are sent to it too. Tiles at a scene's edge mirror their own border; unknown pixels
-    take the tile's mean for their neighbours and stay null themselves.
-    """
-    pad = size // 2
-    step = lambda c: F.array_distinct(F.array(F.floor((F.col(c) - pad) / tile), F.floor(F.col(c) / tile), F.floor((F.col(c) + pad) / tile)))
-    dealt = pixels.withColumn("tr", F.explode(step("row"))).withColumn("tc", F.explode(step("col")))
-
-    def run(table):
-        import pyarrow as pa
+    """pixels with filtered. Tiles at a scene's edge mirror their own border; unknown pixels take the tile's mean for their neighbours."""
 
-        r, c, v = (table.column(n).to_numpy(zero_copy_only=False) for n in ("row", "col", "value"))
-        tr, tc = table.column("tr")[0].as_py(), table.column("tc")[0].as_py()
-        v = v.astype(float)
-        grid = np.full((r.max() - r.min() + 1, c.max() - c.min() + 1), np.nan)
-        grid[r - r.min(), c - c.min()] = v
+    def kernel(grid):
         known = ~np.isnan(grid)
-        if not known.any() or min(grid.shape) <= pad:
-            out = grid
-        else:
-            out = lee(np.where(known, grid, grid[known].mean()), size, looks)
-            out[~known] = np.nan
-        mine = (r // tile == tr) & (c // tile == tc)
-        found = out[r[mine] - r.min(), c[mine] - c.min()]
-        t = table.filter(pa.array(mine)).select(["scene", "row", "col", "value"])
-        return t.append_column("filtered", pa.array(found, pa.float64(), from_pandas=True))
+        if not known.any() or min(grid.shape) <= size // 2:
+            return grid
+        return lee(np.where(known, grid, grid[known].mean()), size, looks)
 
-    kinds = dict(pixels.dtypes)
-    return dealt.select("scene", F.col("row").cast("long"), F.col("col").cast("long"), F.col("value").cast("double"), "tr", "tc").groupBy("scene", "tr", "tc").applyInArrow(run, f"scene {kinds['scene']}, row long, col long, value double, filtered double")
+    return _by_tile(pixels, size // 2, tile, "filtered", kernel)
 
 
 def sharpness(pixels: DataFrame) -> DataFrame:

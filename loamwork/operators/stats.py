@@ -10,6 +10,8 @@ from pyspark.sql import types as T
 
 #: Rows that one task may hold to take an exact quantile, and parts into which more are cut at a time.
 ONE_TASK, PARTS = 1_000_000, 64
+#: Large groups that are broadcast, after counting them, and the part of a group that is ordered for a quantile.
+HOT_GROUPS, ROUND = 10_000, 1_000
 
 
 def exact_quantiles(df: DataFrame, column: str, probabilities: list[float]) -> list[float | None]:
@@ -71,18 +73,68 @@ def area_summary(classes: DataFrame, area: Column) -> DataFrame:
     )
 
 
+def _same(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
+    """Equal keys, null to null; right's keys have a leading underscore."""
+    on = F.lit(True)
+    for k in keys:
+        on = on & left[k].eqNullSafe(right[f"_{k}"])
+    return on
+
+
+def group_quantiles(df: DataFrame, keys: list[str], value: str, shares: list[float]) -> DataFrame:
+    """keys and _q: exact quantiles of each group's known values as an array (linear interpolation), null without any.
+
+    Groups up to ONE_TASK rows go through Spark's aggregate, which holds a group's distinct values in one task. Of larger ones
+    a sketch tells, for each share, bounds around its rank with about 1 / ROUND of the rows between; these alone are
+    ordered, and the rows below are counted. So no task holds a large group, whatever its distribution.
+    """
+    v = df.select(*keys, F.col(value).cast("double").alias("_v"))
+    plain = lambda rows: rows.groupBy(*keys).agg(F.percentile("_v", F.array(*map(F.lit, shares))).alias("_q"))
+    hot = v.groupBy(*keys).agg(F.count("_v").alias("_n")).where(F.col("_n") > ONE_TASK).select(*(F.col(k).alias(f"_{k}") for k in keys), "_n")
+    few = hot.limit(HOT_GROUPS + 1).count()
+    if not few:
+        return plain(v)
+    side = F.broadcast(hot) if few <= HOT_GROUPS else hot
+    rest = plain(v.join(side, _same(v, hot, keys), "left_anti"))
+    inside = v.join(side, _same(v, hot, keys)).where(F.col("_v").isNotNull()).drop(*(f"_{k}" for k in keys))
+    around = lambda d: F.array(*(F.lit(min(1.0, max(0.0, q + d))) for q in shares))
+    bounds = inside.groupBy(*keys).agg(F.percentile_approx("_v", around(-1 / ROUND), 10 * ROUND).alias("_lo"), F.percentile_approx("_v", around(1 / ROUND), 10 * ROUND).alias("_hi"))
+    bounds = bounds.select(*(F.col(k).alias(f"_{k}") for k in keys), "_lo", "_hi")
+    seen = inside.join(F.broadcast(bounds) if few <= HOT_GROUPS else bounds, _same(inside, bounds, keys)).drop(*(f"_{k}" for k in keys))
+    # a share's sketch may give the smallest or largest value only nearly: all rows are below no bound or above none then
+    low = lambda i: F.lit(float("-inf")) if shares[i] <= 1 / ROUND else F.col("_lo")[i]
+    high = lambda i: F.lit(float("inf")) if shares[i] >= 1 - 1 / ROUND else F.col("_hi")[i]
+    below = seen.groupBy(*keys).agg(F.first("_n").alias("_n"), F.array(*(F.count_if(F.col("_v") < low(i)) for i in range(len(shares)))).alias("_below")).select(*(F.col(k).alias(f"_{k}") for k in keys), "_n", "_below")
+    where = F.array_compact(F.array(*(F.when((F.col("_v") >= low(i)) & (F.col("_v") <= high(i)), F.lit(i)) for i in range(len(shares)))))
+    counted = seen.select(*keys, "_v", F.explode(where).alias("_i")).groupBy(*keys, "_i", "_v").agg(F.count(F.lit(1)).alias("_c"))
+    upto = F.sum("_c").over(Window.partitionBy(*keys, "_i").orderBy("_v"))
+    ranked = counted.withColumn("_upto", upto)
+    ranked = ranked.join(F.broadcast(below) if few <= HOT_GROUPS else below, _same(ranked, below, keys))
+    rank = (F.col("_n") - 1) * F.get(F.array(*map(F.lit, shares)), F.col("_i"))
+    stop = F.col("_below")[F.col("_i")] + F.col("_upto")
+    at = lambda r: F.max(F.when((stop - F.col("_c") <= r) & (r < stop), F.col("_v")))
+    found = ranked.groupBy(*keys, "_i").agg(at(F.floor(rank)).alias("_a"), at(F.ceil(rank)).alias("_b"), F.first(rank - F.floor(rank)).alias("_f"))
+    found = found.select(*keys, "_i", (F.col("_a") + (F.col("_b") - F.col("_a")) * F.col("_f")).alias("_x"))
+    return rest.unionByName(found.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", "_x"))), lambda s: s["_x"]).alias("_q")))
+
+
+def _with_quantiles(df: DataFrame, keys: list[str], value: str, shares: list[float]) -> DataFrame:
+    """df with _q of its group; rows with a null key are in no group."""
+    return df.join(group_quantiles(df, keys, value, shares), keys)
+
+
 def zonal(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """mean, median, p10, p90 (linear interpolation) and n of the non-null values."""
-    p = F.percentile(value, F.array(F.lit(0.5), F.lit(0.1), F.lit(0.9)))
-    return df.groupBy(*keys).agg(F.avg(value).alias("mean"), p.alias("_p"), F.count(value).alias("n")).select(*keys, "mean", F.col("_p")[0].alias("median"), F.col("_p")[1].alias("p10"), F.col("_p")[2].alias("p90"), "n")
+    q = group_quantiles(df, keys, value, [0.5, 0.1, 0.9]).select(*(F.col(k).alias(f"_{k}") for k in keys), "_q")
+    sums = df.groupBy(*keys).agg(F.avg(value).alias("mean"), F.count(value).alias("n"))
+    return sums.join(q, _same(sums, q, keys)).select(*keys, "mean", F.col("_q")[0].alias("median"), F.col("_q")[1].alias("p10"), F.col("_q")[2].alias("p90"), "n")
 
 
 def fences(df: DataFrame, keys: list[str], value: str, k: float) -> DataFrame:
     """Adds outside: whether value lies beyond k interquartile ranges of its group's quartiles; never where the range is 0."""
-    q = df.groupBy(*keys).agg(F.percentile(value, F.array(F.lit(0.25), F.lit(0.75))).alias("_q"))
     spread = F.col("_q")[1] - F.col("_q")[0]
     out = (spread > 0) & ((F.col(value) < F.col("_q")[0] - k * spread) | (F.col(value) > F.col("_q")[1] + k * spread))
-    return df.join(q, keys).withColumn("outside", F.coalesce(out, F.lit(False))).drop("_q")
+    return _with_quantiles(df, keys, value, [0.25, 0.75]).withColumn("outside", F.coalesce(out, F.lit(False))).drop("_q")
 
 
 def inside_all_fences(df: DataFrame, columns: list[str], k: float) -> DataFrame:
@@ -96,15 +148,14 @@ def inside_all_fences(df: DataFrame, columns: list[str], k: float) -> DataFrame:
 
 def band(df: DataFrame, keys: list[str], value: str, low: float = 0.05, high: float = 0.95) -> DataFrame:
     """Rows between two quantiles of their group, both inclusive."""
-    q = df.groupBy(*keys).agg(F.percentile(value, F.array(F.lit(low), F.lit(high))).alias("_q"))
-    return df.join(q, keys).where(F.col(value).between(F.col("_q")[0], F.col("_q")[1])).drop("_q")
+    return _with_quantiles(df, keys, value, [low, high]).where(F.col(value).between(F.col("_q")[0], F.col("_q")[1])).drop("_q")
 
 
 def quantile_bins(df: DataFrame, keys: list[str], value: str, n: int = 4) -> DataFrame:
     """Adds bin 0..n-1 by right-closed quantile edges, the lowest value included; null where edges repeat."""
     shares = [i / n for i in range(n + 1)]
     if keys:
-        joined = df.join(df.groupBy(*keys).agg(F.percentile(value, F.array(*map(F.lit, shares))).alias("_e")), keys)
+        joined = _with_quantiles(df, keys, value, shares).withColumnRenamed("_q", "_e")
     else:
         joined = df.withColumn("_e", F.array(*(F.lit(q).cast("double") for q in exact_quantiles(df, value, shares))))
     whole = F.size(F.array_distinct("_e")) == n + 1

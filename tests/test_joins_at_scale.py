@@ -1,10 +1,11 @@
-"""Joins of ranges and distances: no nested loops, dense cells, long chains, against brute force."""
+"""Joins of ranges and distances, quantiles of large groups, kernels in tiles: no nested loops, dense cells, long chains, against brute force."""
 
 import random
 
+import numpy as np
 import pytest
 
-from loamwork.operators import joins
+from loamwork.operators import joins, raster, stats
 
 INF = float("inf")
 
@@ -80,3 +81,35 @@ def test_keep_first_of_a_crowd(spark):
     got = {q.id: q.dropped for q in joins.keep_first(points, spark.createDataFrame(pairs, "id_a int, id_b int")).collect()}
     assert got == greedy(range(200), pairs)
     assert joins.keep_first(points.limit(0), spark.createDataFrame([], "id_a int, id_b int")).count() == 0
+
+
+@pytest.mark.parametrize("hot,rounds", [(10_000, 1_000), (0, 20), (10_000, 20)])
+def test_quantiles_of_large_groups(spark, monkeypatch, hot, rounds):
+    r = random.Random(6)
+    values = {"skewed": [r.paretovariate(0.5) for _ in range(3000)], "ties": [float(r.randrange(4)) for _ in range(2500)], "one": [5.0] * 1500, None: [r.gauss(0, 1) for _ in range(1200)], "small": [3.0, 1.0, 2.0], "none": []}
+    rows = [(k, x) for k, xs in values.items() for x in [*xs, None]]
+    r.shuffle(rows)
+    df = spark.createDataFrame(rows, "k string, v double").repartition(5)
+    monkeypatch.setattr(stats, "ONE_TASK", 1_000)
+    monkeypatch.setattr(stats, "HOT_GROUPS", hot)
+    monkeypatch.setattr(stats, "ROUND", rounds)
+    shares = [0.0, 0.1, 0.25, 0.5, 0.9, 1.0]
+    got = {q.k: q._q for q in stats.group_quantiles(df, ["k"], "v", shares).collect()}
+    assert set(got) == set(values) and got["none"] is None
+    for k, xs in values.items():
+        if xs:
+            assert got[k] == pytest.approx(np.quantile(xs, shares).tolist(), rel=1e-12)
+    zones = {z.k: z for z in stats.zonal(df, ["k"], "v").collect()}
+    assert zones["none"].n == 0 and zones["none"].median is None and zones[None].n == 1200 and zones["ties"].median == np.median(values["ties"])
+
+
+@pytest.mark.parametrize("radius,tile", [(1, 256), (2, 5), (3, 4)])
+def test_focal_median_in_tiles(spark, radius, tile):
+    r = random.Random(radius)
+    grid = {(a, b): None if r.random() < 0.2 else float(r.randrange(50)) for a in range(13) for b in range(9) if r.random() < 0.9}
+    pixels = spark.createDataFrame([("s", a, b, v) for (a, b), v in grid.items()], "scene string, row int, col int, value double")
+    got = {(p.row, p.col): p.focal for p in raster.focal_median(pixels, radius, tile).collect()}
+    for (a, b), v in grid.items():
+        near = [x for (c, d), x in grid.items() if abs(a - c) <= radius and abs(b - d) <= radius and x is not None]
+        assert got[a, b] == (None if v is None else float(np.median(near)))
+    assert len(got) == len(grid)
