@@ -287,3 +287,33 @@ def correlation_screen(df: DataFrame, target: str, columns: list[str], level: fl
     c = correlations(df, target, columns).withColumn("p", p_value("t", F.col("n") - 2))
     c = c.withColumn("significant", F.coalesce(F.col("p") < level, F.lit(False)))
     return c.orderBy(F.col("significant").desc(), F.abs("r").desc_nulls_last(), "feature")
+
+
+def normality(df: DataFrame, value: str) -> DataFrame:
+    """One row: n, skewness and excess kurtosis of the known values, the statistic of Jarque and Bera, and its p-value."""
+    m = df.agg(F.count(value).alias("n"), F.skewness(value).alias("skewness"), F.kurtosis(value).alias("kurtosis"))
+    m = m.withColumn("statistic", F.col("n") / 6 * (F.pow("skewness", 2) + F.pow("kurtosis", 2) / 4))
+    return m.withColumn("p", F.exp(-F.col("statistic") / 2))
+
+
+def lowess(df: DataFrame, x: str, y: str, at: list[float], share: float = 0.3) -> DataFrame:
+    """(at, trend): at each place a line fitted to the nearest share of the rows, with tricube weights (no robustness turns).
+
+    Rows are reduced to the distance of the last of these neighbours, and then to six sums, for each place.
+    """
+    points = df.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).where("x is not null and y is not null")
+    n = points.count()
+    if not n:
+        return df.sparkSession.createDataFrame([(float(a), None) for a in at], "at double, trend double")
+    places = F.explode(F.array(*(F.lit(float(a)) for a in at)))
+    near = points.withColumn("at", places).withColumn("d", F.abs(F.col("x") - F.col("at")))
+    k = max(2, min(n, int(share * n + 1e-10)))
+    width = group_quantiles(near, ["at"], "d", [(k - 1) / max(1, n - 1)]).select(F.col("at").alias("_at"), F.col("_q")[0].alias("h"))
+    both = near.join(F.broadcast(width), F.col("at") == F.col("_at"))  # a row for each place
+    w = F.when(F.col("h") > 0, F.pow(1 - F.pow(F.least(F.col("d") / F.col("h"), F.lit(1.0)), 3), 3)).otherwise((F.col("d") == 0).cast("double"))
+    u = F.col("x") - F.col("at")
+    sums = both.groupBy("at").agg(*(F.sum(v).alias(n) for n, v in {"w": w, "u": w * u, "uu": w * u * u, "v": w * F.col("y"), "uv": w * u * F.col("y")}.items()))
+    spread = F.col("w") * F.col("uu") - F.col("u") * F.col("u")
+    line = (F.col("uu") * F.col("v") - F.col("u") * F.col("uv")) / spread
+    flat = F.col("v") / F.col("w")
+    return sums.select("at", F.when(F.col("w") > 0, F.when(spread > 1e-12 * F.col("w") * F.col("uu"), line).otherwise(flat)).alias("trend"))

@@ -46,7 +46,22 @@ def model_cross_validated(spark, sf_dir):
 
 @query("model_lasso_selection")
 def model_lasso_selection(spark, sf_dir):
-    return spark.createDataFrame([(c,) for c in models.lasso_selection(_lines(spark, sf_dir), _FEATURES, "l_extendedprice", 50.0)], "feature string")
+    return spark.createDataFrame([(c,) for c in models.lasso_selection(_lines(spark, sf_dir), _FEATURES, "l_extendedprice")], "feature string")
+
+
+@query("model_bayesian_ridge")
+def model_bayesian_ridge(spark, sf_dir):
+    """Predictions of the weights with the most evidence; checked against a plain numpy version in tests."""
+    lines = _lines(spark, sf_dir)
+    prediction, *_ = models.bayesian_ridge(lines, _FEATURES, "l_extendedprice")
+    return lines.select("l_orderkey", "l_linenumber", F.round(prediction, 4).alias("prediction"))
+
+
+@query("model_land_cover_boosted")
+def model_land_cover_boosted(spark, sf_dir):
+    """Classes by boosted trees, one against the rest; checked for accuracy in tests."""
+    e = table(spark, sf_dir, "embeddings").withColumn("label", F.col("label").cast("double"))
+    return models.boost_cover(e.where("vec_id % 4 <> 0"), e, "embedding", "label", rounds=2, depth=3).select("vec_id", "class_id", "confidence")
 
 
 @query("model_land_cover")

@@ -390,3 +390,25 @@ def math_coalition_weights(spark, sf_dir):
 
     e = stats.errors(table(spark, sf_dir, "lineitem").withColumn("guess", F.col("l_quantity") * 2000), "l_extendedprice", "guess", ["l_returnflag"])
     return coalition(e.select("l_returnflag", F.round("rmse", 3).alias("rmse")), "rmse").select("l_returnflag", F.round("weight", 6).alias("weight"))
+
+
+@query(
+    "agg_normality",
+    """WITH m AS (SELECT avg(o_totalprice) AS mu FROM orders), c AS (SELECT count(o_totalprice) AS n, avg(pow(o_totalprice - mu, 2)) AS m2, avg(pow(o_totalprice - mu, 3)) AS m3, avg(pow(o_totalprice - mu, 4)) AS m4 FROM orders, m),
+    s AS (SELECT n, m3 / pow(m2, 1.5::DOUBLE) AS skewness, m4 / pow(m2, 2) - 3 AS kurtosis FROM c) SELECT n, round(skewness, 6) AS skewness, round(kurtosis, 6) AS kurtosis, round(n / 6.0::DOUBLE * (pow(skewness, 2) + pow(kurtosis, 2) / 4), 2) AS statistic, round(exp(-n / 12.0::DOUBLE * (pow(skewness, 2) + pow(kurtosis, 2) / 4)), 6) AS p FROM s""",
+)
+def agg_normality(spark, sf_dir):
+    r = lambda c, k: F.round(c, k).alias(c)
+    return stats.normality(table(spark, sf_dir, "orders"), "o_totalprice").select("n", r("skewness", 6), r("kurtosis", 6), r("statistic", 2), r("p", 6))
+
+
+@query(
+    "agg_lowess",
+    """WITH p AS (SELECT l_quantity::DOUBLE AS x, l_extendedprice AS y FROM lineitem), g(a) AS (VALUES (1.0::DOUBLE), (10.5), (25.0), (40.25), (50.0)), n AS (SELECT count(*) AS n FROM p),
+    d AS (SELECT a, x, y, abs(x - a) AS d FROM p, g), r AS (SELECT a, d, row_number() OVER (PARTITION BY a ORDER BY d) AS r FROM d), h AS (SELECT a, max(d) AS h FROM r, n WHERE r <= floor(0.3::DOUBLE * n + 1e-10) GROUP BY 1),
+    w AS (SELECT a, x - a AS u, y, pow(1 - pow(least(d / h, 1.0::DOUBLE), 3), 3) AS w FROM d JOIN h USING (a)), s AS (SELECT a, sum(w) AS w, sum(w * u) AS u, sum(w * u * u) AS uu, sum(w * y) AS v, sum(w * u * y) AS uv FROM w GROUP BY 1)
+    SELECT a AS at, round((uu * v - u * uv) / (w * uu - u * u), 4) AS trend FROM s""",
+)
+def agg_lowess(spark, sf_dir):
+    """The local trend of price over quantity at five places."""
+    return stats.lowess(table(spark, sf_dir, "lineitem"), "l_quantity", "l_extendedprice", [1.0, 10.5, 25.0, 40.25, 50.0], 0.3).select("at", F.round("trend", 4).alias("trend"))
