@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loamwork.llm.shared import drop_since, lookup, mark, small, written
+from loamwork.llm.shared import drop_since, lookup, mark, small, tidy, written
 
 #: Links of one forest, so a task's memory is bounded.
 LINKS = 2_000_000
@@ -77,7 +77,7 @@ def components(edges: DataFrame) -> DataFrame:
     links = edges.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a <> b")
     maps: list[DataFrame] = []
     while True:
-        forest = written(links.repartition("a", "b").mapInArrow(_forests, "a long, b long"), "forest")
+        forest = written(links.repartition("a", "b").mapInArrow(tidy(_forests), "a long, b long"), "forest")
         near = forest.select(F.col("a").alias("node"), F.col("b").alias("near")).unionAll(forest.select("b", "a"))
         parents = written(near.groupBy("node").agg(F.min("near").alias("near")).select("node", F.least("node", "near").alias("label")), "parents")
         while True:  # until all parents are roots

@@ -29,7 +29,7 @@ from html import unescape
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loamwork.llm.shared import small_batches
+from loamwork.llm.shared import small_batches, tidy
 
 #: Element names by role.
 DROPPED = frozenset("script style noscript template iframe object embed svg math canvas audio video map button select textarea input label nav footer aside menu dialog head title".split())
@@ -262,4 +262,4 @@ def extract(pages: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     kinds = dict(pages.dtypes)
-    return small_batches(pages).select("page_id", "url", F.col("html").cast("string")).mapInArrow(run, f"page_id {kinds['page_id']}, url {kinds['url']}, text string, n_chars long")
+    return small_batches(pages).select("page_id", "url", F.col("html").cast("string")).mapInArrow(tidy(run), f"page_id {kinds['page_id']}, url {kinds['url']}, text string, n_chars long")

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loamwork.llm.components import components
-from loamwork.llm.shared import doc_columns, drop_since, give_back, key_sizes, lookup, mark, salts_of, small, small_batches, written
+from loamwork.llm.shared import doc_columns, drop_since, key_sizes, lookup, mark, salts_of, small, small_batches, tidy, written
 from loamwork.llm.shingles import WordHashes, mix, shingle_set
 
 #: Bits of a bitmap, steps of 1/t in a band, nodes of a block.
@@ -99,7 +99,6 @@ def count_levels(docs: DataFrame, width: int, counters: int) -> np.ndarray:
             part = used[k : k + 64]
             yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array([zlib.compress(pages[p].astype(np.uint8).tobytes(), 1) for p in part], pa.binary())], ["page", "counts"])
         del table, pages
-        give_back()
 
     def total(batches):
         import pyarrow as pa
@@ -116,9 +115,9 @@ def count_levels(docs: DataFrame, width: int, counters: int) -> np.ndarray:
         if at is not None:
             yield row()
 
-    parts = small_batches(docs).select(F.col("text").cast("string")).mapInArrow(count, "page int, counts binary")
+    parts = small_batches(docs).select(F.col("text").cast("string")).mapInArrow(tidy(count), "page int, counts binary")
     out = np.zeros(counters, np.uint32)
-    for p, c in parts.repartition("page").sortWithinPartitions("page").mapInArrow(total, "page int, counts binary").toLocalIterator():
+    for p, c in parts.repartition("page").sortWithinPartitions("page").mapInArrow(tidy(total), "page int, counts binary").toLocalIterator():
         out[p * page : (p + 1) * page] = np.frombuffer(c, "<u4")
     scale, levels = max(1.0, float(out.mean(dtype=np.float64)) / 64), np.zeros(counters, np.uint8)
     for a in range(0, counters, page):
@@ -191,10 +190,9 @@ def _nodes(docs: DataFrame, width: int, num: int, den: int, counters: int | None
                     ["uid", "doc_id", "text_hash", "n", "d1", "d2", "bits", "keys"],
                 )
                 uid += len(sets)
-        give_back()
 
     texts = doc_columns(docs).withColumn("text_hash", F.xxhash64("text"))
-    return texts.mapInArrow(run, "uid long, doc_id long, text_hash long, n long, d1 long, d2 long, bits binary, keys array<long>")
+    return texts.mapInArrow(tidy(run), "uid long, doc_id long, text_hash long, n long, d1 long, d2 long, bits binary, keys array<long>")
 
 
 def _words(column, rows=slice(None)) -> np.ndarray:
@@ -218,7 +216,7 @@ def _bounded(pairs: DataFrame, reps: DataFrame, num: int, den: int) -> DataFrame
         pairs = lookup(pairs, reps.select(F.col("uid").alias(end), F.col("n").alias(f"n_{end}"), F.col("bits").alias(f"bits_{end}")), end, other, sizes=sizes[end])
         if end == "b":
             pairs = pairs.where(F.least("n_a", "n_b") * den >= F.greatest("n_a", "n_b") * num)
-    return pairs.select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(run, "a long, b long")
+    return pairs.select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(tidy(run), "a long, b long")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, width: int, num: int, den: int) -> DataFrame:
@@ -261,7 +259,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, width: int, nu
     wanted = written(reps.select("uid", "doc_id", "text_hash", "d1", "d2").join(small(sizes.select("uid")), "uid", "left_semi"), "wanted")
     texts = doc_columns(docs).select(F.col("doc_id").alias("its_id"), "text", F.xxhash64("text").alias("its_hash"))
     found = texts.join(small(wanted), (F.col("its_hash") == F.col("text_hash")) & F.col("its_id").eqNullSafe(F.col("doc_id"))).select("uid", "d1", "d2", "text")
-    arrays = written(found.mapInArrow(sets, "uid long, shingles binary"), "sets")
+    arrays = written(found.mapInArrow(tidy(sets), "uid long, shingles binary"), "sets")
     # the node with more pairs leads; it goes once to each part of its pairs, and the other's set once for each pair
     total = pairs.count()
     counted = pairs
@@ -277,7 +275,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, width: int, nu
     few = small(rows)
     moved = arrays.join(few, "uid") if few is not rows else lookup(rows, arrays, "uid", "lead")
     moved = moved.select("lead", "salt", "other", "shingles").repartition("lead", "salt").sortWithinPartitions("lead", "salt", F.col("other").asc_nulls_first())
-    return moved.mapInArrow(test, "lead long, other long").select(F.least("lead", "other").alias("a"), F.greatest("lead", "other").alias("b"))
+    return moved.mapInArrow(tidy(test), "lead long, other long").select(F.least("lead", "other").alias("a"), F.greatest("lead", "other").alias("b"))
 
 
 def _open(members: DataFrame, labels: DataFrame) -> DataFrame:
@@ -352,7 +350,7 @@ def _crossing(opened: DataFrame, reps: DataFrame, num: int, den: int, best: int
         if rest is not None and len(rest[1]):
             yield rows_of(*compare(*rest))
 
-    return dealt.select(*names, "bits").mapInArrow(pairs, "a long, b long, cut boolean")
+    return dealt.select(*names, "bits").mapInArrow(tidy(pairs), "a long, b long, cut boolean")
 
 
 def _distinct_tiles(members: DataFrame) -> DataFrame:

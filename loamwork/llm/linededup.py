@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loamwork.llm.shared import drop_since, lookup, mark, small_batches, written
+from loamwork.llm.shared import drop_since, lookup, mark, small_batches, tidy, written
 
 BLANK = b" \t\n\r\x0b\x0c"
 #: Bits of a filter for each key, most and least keys of a part's filters, hash positions of a key, bytes of filters broadcast.
@@ -139,8 +139,8 @@ def twice_seen(docs: DataFrame, shortest: int, bits_per_key: int = BITS_PER_KEY)
         if at is not None:
             yield made()
 
-    sent = docs.select(text).mapInArrow(hashes, "part int, hash long, many boolean")
-    return parts, written(sent.repartition(parts.parts, "part").sortWithinPartitions("part").mapInArrow(fill, "part int, twice binary"), "twice")
+    sent = docs.select(text).mapInArrow(tidy(hashes), "part int, hash long, many boolean")
+    return parts, written(sent.repartition(parts.parts, "part").sortWithinPartitions("part").mapInArrow(tidy(fill), "part int, twice binary"), "twice")
 
 
 def suspected_lines(docs: DataFrame, parts: Parts, filters: DataFrame, shortest: int) -> DataFrame:
@@ -187,12 +187,12 @@ def suspected_lines(docs: DataFrame, parts: Parts, filters: DataFrame, shortest:
             keep |= (part == at) & _holds(bits, positions(hashes, parts.bits)) if at is not None else False
             yield batch.select(["doc", "text_hash", "key", "line"]).filter(pa.array(keep & ~twice.is_valid().to_numpy(zero_copy_only=False)))
 
-    found = ids.mapInArrow(lines, "part int, hash long, doc long, text_hash long, key binary, line int")
+    found = ids.mapInArrow(tidy(lines), "part int, hash long, doc long, text_hash long, key binary, line int")
     if few:
         return found.select("doc", "text_hash", "key", "line")
     nothing = [F.lit(None).cast(t).alias(c) for c, t in (("hash", "long"), ("doc", "long"), ("text_hash", "long"), ("key", "binary"), ("line", "int"))]
     both = found.withColumn("twice", F.lit(None).cast("binary")).unionByName(filters.select("part", *nothing, "twice"))
-    return both.repartition(parts.parts, "part").sortWithinPartitions("part", F.col("twice").isNull()).mapInArrow(held, "doc long, text_hash long, key binary, line int")
+    return both.repartition(parts.parts, "part").sortWithinPartitions("part", F.col("twice").isNull()).mapInArrow(tidy(held), "doc long, text_hash long, key binary, line int")
 
 
 def dedup_lines(docs: DataFrame, shortest: int = 20, documents: int = 3, bits_per_key: int = BITS_PER_KEY) -> DataFrame:
@@ -229,5 +229,5 @@ def dedup_lines(docs: DataFrame, shortest: int = 20, documents: int = 3, bits_pe
             columns = [batch.column(f.name) if f.name != "text" else pa.array(texts, pa.string()) for f in schema.fields[:-2]]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(n, pa.int64()), pa.array(gone, pa.int64())], [f.name for f in schema.fields])
 
-    out = both.drop("_ld_doc", "_ld_hash", "_ld_doc2", "_ld_hash2").withColumn("text", F.col("text").cast("string")).mapInArrow(rewrite, schema)
+    out = both.drop("_ld_doc", "_ld_hash", "_ld_doc2", "_ld_hash2").withColumn("text", F.col("text").cast("string")).mapInArrow(tidy(rewrite), schema)
     return out.select(*[F.col(f"`{c}`") for c in docs.columns], F.col("_ld_n").alias("n_lines"), F.col("_ld_gone").alias("n_dropped"))

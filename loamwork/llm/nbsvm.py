@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loamwork.llm.shared import doc_columns, small_batches
+from loamwork.llm.shared import doc_columns, small_batches, tidy
 
 #: Hashed features (2^FEATURE_BITS), n-gram lengths, bytes taken at a time, rows fitted, threshold.
 FEATURE_BITS, LENGTHS, CHUNK, MOST_ROWS, THRESHOLD = 18, (1, 2, 3, 4), 1 << 18, 8_000, 0.3
@@ -196,7 +196,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MOST_ROWS, most_bytes:
             rows = [of(t).tolist() for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rows, pa.list_(pa.int32()))], ["doc_id", "label", "features"])
 
-    found = texts.mapInArrow(features, "doc_id long, label int, features array<int>").toArrow()  # MOST_BYTES at most
+    found = texts.mapInArrow(tidy(features), "doc_id long, label int, features array<int>").toArrow()  # MOST_BYTES at most
     order = np.argsort(found.column("doc_id").to_numpy(), kind="stable")
     lists = found.column("features").combine_chunks()
     ends, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
@@ -217,7 +217,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             found = [float(sent.value.scores([of(t)])[0]) for t in batch.column(at).cast(pa.string()).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.float64())], [*batch.schema.names, "_nb_score"])
 
-    return small_batches(docs).mapInArrow(run, schema)
+    return small_batches(docs).mapInArrow(tidy(run), schema)
 
 
 def held_out() -> Column:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 
 from loamwork.llm.bitfile import crc
 from loamwork.llm.encoder import encoder, text_blocks
-from loamwork.llm.shared import doc_columns
+from loamwork.llm.shared import doc_columns, tidy
 
 SHARD_TOKENS = 4_000_000
 #: Exact triples tried for each largest length, and steps of the fit.
@@ -163,4 +163,4 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int, window: int, shard_t
             yield from flush()
         encoder(tokenizer_path).rest()
 
-    return doc_columns(docs).mapInArrow(run, SCHEMA)
+    return doc_columns(docs).mapInArrow(tidy(run), SCHEMA)

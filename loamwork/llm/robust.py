@@ -30,7 +30,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loamwork.llm.shared import drop_since, lookup, mark, small, small_batches, written
+from loamwork.llm.shared import drop_since, lookup, mark, small, small_batches, tidy, written
 
 #: Smallest deviations of the statistics (same order as in ``vector``), and parts of 1 that they are rounded to.
 FLOOR, QUANTUM = np.array([0.25, 0.04, 0.2, 0.15, 0.06, 0.1]), 2048
@@ -109,7 +109,7 @@ def statistics_of(docs: DataFrame, least_words: int, most_repeat: int) -> DataFr
                 yield pa.RecordBatch.from_arrays([*(part.column(n) for n in ("doc_id", "lang", "source")), *columns, pa.array([f[5] for f in found], pa.bool_()), pa.array(vectors, pa.list_(pa.int64()))], ["doc_id", "lang", "source", *COUNTS, "base_failed", "v"])
 
     text = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), *(F.col(c).cast("string").alias(c) for c in ("text", "lang", "source")))
-    return text.mapInArrow(run, schema)
+    return text.mapInArrow(tidy(run), schema)
 
 
 def squared_distance(v: np.ndarray, mean: np.ndarray, inverse: np.ndarray) -> np.ndarray:
@@ -278,10 +278,10 @@ def _pass(levels: DataFrame, state: DataFrame) -> DataFrame:
     tried = state.groupBy("name").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("candidate", "mean", "inverse"))).alias("c"))
     each = lambda f: F.flatten(F.array(*(F.coalesce(F.get("c", F.lit(k)), F.get("c", F.lit(0)))[f] for k in range(CANDIDATES))))
     tried = tried.select("name", "n", each("mean").alias("means"), each("inverse").alias("inverses"))
-    partial = _with(levels, tried).select("name", "v", "means", "inverses").mapInArrow(sums, "name string, candidate int, bin long, sums array<long>")
+    partial = _with(levels, tried).select("name", "v", "means", "inverses").mapInArrow(tidy(sums), "name string, candidate int, bin long, sums array<long>")
     total = F.array(*(F.sum(F.col("sums")[k]) for k in range(WIDTH)))  # whole numbers, so exact in any order; 10^11 rows fit
     cells = partial.groupBy("name", "candidate", "bin").agg(total.alias("sums"))
-    return cells.groupBy("name", "candidate").agg(F.collect_list(F.struct("bin", "sums")).alias("parts")).mapInArrow(estimates, FOUND)  # BINS parts at most
+    return cells.groupBy("name", "candidate").agg(F.collect_list(F.struct("bin", "sums")).alias("parts")).mapInArrow(tidy(estimates), FOUND)  # BINS parts at most
 
 
 def estimates(rows: DataFrame, fits: DataFrame) -> DataFrame:
@@ -364,7 +364,7 @@ def verdicts(stats: DataFrame, cutoff: float) -> DataFrame:
     columns = ["doc_id", *COUNTS, "base_failed", "v", "judge", "mean", "inverse", "median"]
     judged = _with(passed, known).select(columns).unionByName(stats.where("v is null").select(*columns[:8], *nothing).select(columns))
     schema = "doc_id long, " + ", ".join(f"{c} long" for c in COUNTS) + ", base_failed boolean, judge string, distance double, kept boolean"
-    return judged.mapInArrow(judge, schema)
+    return judged.mapInArrow(tidy(judge), schema)
 
 
 def quality_rules(docs: DataFrame, least_words: int = 50, most_repeat: int = 50, tail: float = 1e-6) -> DataFrame:

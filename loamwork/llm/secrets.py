@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loamwork.llm.forest import Forest, grow
-from loamwork.llm.shared import small_batches
+from loamwork.llm.shared import small_batches, tidy
 
 #: Kinds of candidates, the more specific first. The last group of a pattern is the secret. No length has
 #: an upper bound but where the format has one.
@@ -212,7 +212,7 @@ def findings(docs: DataFrame, forest: Forest | None = None, threshold: float = T
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["doc_id", "start", "stop", "kind", "score", "is_secret", "secret_sha256"])
 
     rows = small_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string"), (F.col("source").cast("string") if "source" in docs.columns else F.lit("")))
-    return rows.mapInArrow(run, "doc_id long, start long, stop long, kind string, score double, is_secret boolean, secret_sha256 string")
+    return rows.mapInArrow(tidy(run), "doc_id long, start long, stop long, kind string, score double, is_secret boolean, secret_sha256 string")
 
 
 def redact(docs: DataFrame, forest: Forest | None = None, threshold: float = THRESHOLD, mark: str = "[secret]") -> DataFrame:
@@ -239,4 +239,4 @@ def redact(docs: DataFrame, forest: Forest | None = None, threshold: float = THR
             columns[at] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
 
-    return small_batches(docs).withColumn("text", F.col("text").cast("string")).mapInArrow(run, schema)
+    return small_batches(docs).withColumn("text", F.col("text").cast("string")).mapInArrow(tidy(run), schema)

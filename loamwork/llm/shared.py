@@ -121,11 +121,26 @@ def small_batches(df: DataFrame) -> DataFrame:
 
 def give_back() -> None:
     """Returns freed memory to the system, where the C library can: workers are used again by other stages."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim:
         trim(0)
 
 
+def tidy(function):
+    """A function over Arrow batches that gives freed memory back when its task ends."""
+
+    def run(batches):
+        try:
+            yield from function(batches)
+        finally:
+            give_back()
+
+    return run
+
+
 def doc_columns(docs: DataFrame, *names: str) -> DataFrame:
     """doc_id as long and text (null: empty), by position in the frame's own columns whatever others there are."""
     return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *names)

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from loamwork.llm import bitfile
 from loamwork.llm.encoder import encoder, text_blocks
-from loamwork.llm.shared import doc_columns, scratch, written
+from loamwork.llm.shared import doc_columns, scratch, tidy, written
 
 DOCS_PER_FILE = 50_000
 
@@ -53,7 +53,7 @@ def write_corpus(docs: DataFrame, tokenizer_path: str, end_id: int, vocabulary:
             yield pa.RecordBatch.from_pydict({"part": [task.partitionId()], "path": [f"{folder}/{name}"], "docs": [len(out.docs)], "ids": [out.n_ids]})
 
     ordered = doc_columns(docs).repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    manifest = written(ordered.mapInArrow(write, "part long, path string, docs long, ids long"), "manifest")
+    manifest = written(ordered.mapInArrow(tidy(write), "part long, path string, docs long, ids long"), "manifest")
     return [(r.path, r.docs, r.ids) for r in sorted(manifest.collect(), key=lambda r: r.part)]
 
 
@@ -82,4 +82,4 @@ def read_corpus(spark: SparkSession, files: list[tuple[str, int, int]]) -> DataF
                         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     listed = spark.createDataFrame(rows, "path string, base long").repartition(max(1, len(rows)))
-    return listed.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return listed.mapInArrow(tidy(read), "doc_id long, start long, n_tokens long, ids_crc32 long")
