@@ -15,7 +15,7 @@ from loamwork.llm.linededup import dedup_lines
 from loamwork.llm.nbsvm import classify
 from loamwork.llm.q10_packing import pack_documents
 from loamwork.llm.secrets import redact
-from loamwork.llm.shared import table, written
+from loamwork.llm.shared import drop_since, mark, table, written
 
 
 def _counted(docs: DataFrame) -> DataFrame:
@@ -63,7 +63,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage; a stage's scratch tables, and its input, go when its rows have been written."""
     docs = table(spark, sf_dir, "documents")
+    place = mark()
     for name, stage in STAGES:
         docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        drop_since(spark, place, docs)
     return docs
