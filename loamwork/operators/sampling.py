@@ -50,8 +50,12 @@ def stratified(df: DataFrame, label: str, key: str, n: int, seed: int) -> DataFr
 
 
 def split(key: Column, shares: list[float], seed: int = 0) -> Column:
-    """Number of the part (0, 1, ...) that a row's group key falls into: rows of one group stay together."""
-    place = F.pmod(F.xxhash64(F.lit(seed), key), F.lit(1_000_000)) / 1e6
+    """Number of the part (0, 1, ...) that a row's group key falls into: rows of one group stay together.
+
+    The place comes from the MD5 of seed and key as text, so that any engine finds the same parts.
+    """
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), key.cast("string")).cast("binary"))
+    place = F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") / float(1 << 32)
     part, upto = F.lit(len(shares) - 1), 1.0
     for k in range(len(shares) - 1, 0, -1):
         upto -= shares[k]

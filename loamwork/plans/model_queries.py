@@ -104,7 +104,13 @@ def words_lines(spark, sf_dir):
     return l.groupBy("page").agg((F.max("line") + 1).cast("long").alias("n_lines"))
 
 
-@query("words_redaction")
+@query(
+    "words_redaction",
+    """WITH w AS (SELECT conv_id AS page, regexp_replace(unnest(string_split(text, ' ')), '[,.;:!?]+$', '') AS x FROM conversations),
+    k AS (SELECT page, len(list_filter(list_transform(string_split_regex(trim(x), '\\s+'), lambda v: regexp_replace(v, '[,.;:!?]+$', '')), lambda v: regexp_matches(v, '^([A-Z][A-Z\\-''’]+|[A-Z][a-z][a-z\\-''’]*|[A-Z]|[ऀ-ॿ]+)$') AND NOT regexp_matches(v, '^[A-Za-z]{2}$')
+      AND NOT (regexp_matches(v, '^[A-Za-z]{3,}$') AND NOT regexp_matches(v, '[AEIOUaeiou]')))) > 0 AS kept FROM (SELECT page, x FROM w))
+    SELECT page, CASE WHEN bool_or(kept) THEN count(*) FILTER (WHERE NOT kept) ELSE count(*) END AS n_redacted, count(*) AS n FROM k GROUP BY 1""",
+)
 def words_redaction(spark, sf_dir):
     """Words kept: those that can be a name's; all others are redacted."""
     w = _words(spark, sf_dir)

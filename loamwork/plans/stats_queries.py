@@ -275,7 +275,10 @@ def sampling_class_pixels(spark, sf_dir):
     return sampling.stratified(table(spark, sf_dir, "embeddings").select("vec_id", "label"), "label", "vec_id", 30, 7)
 
 
-@query("sampling_group_split")
+@query(
+    "sampling_group_split",
+    "SELECT c_nationkey, CASE WHEN ('0x' || substr(md5('3:' || c_nationkey), 1, 8))::BIGINT / 4294967296.0::DOUBLE < 0.85 THEN 0 ELSE 1 END::INTEGER AS part, count(*) AS n FROM customer GROUP BY ALL",
+)
 def sampling_group_split(spark, sf_dir):
     """Parts 85 / 15 by groups (cells), so that no group is in both."""
     part = sampling.split(F.col("c_nationkey"), [0.85, 0.15], 3)
