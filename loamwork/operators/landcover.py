@@ -7,13 +7,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loamwork.operators.stats import group_quantiles, mode
+
 #: Classes 0 to 6, and the native labels of three public land-cover products.
 CLASSES = ["water", "trees", "grass", "crops", "shrub", "built", "bare"]
+#: Rows up to which a vocabulary of labels is broadcast, after counting it.
+VOCABULARY = 10_000
 
 
 def map_labels(df: DataFrame, mapping: DataFrame, strict: bool = True) -> DataFrame:
     """Adds class_id from mapping(source, native, class_id); an unmapped label is null, an unknown source an error if strict."""
-    joined = df.join(F.broadcast(mapping), ["source", "native"], "left")  # a vocabulary, some dozens of rows
+    few = mapping.limit(VOCABULARY + 1).count() <= VOCABULARY
+    joined = df.join(F.broadcast(mapping) if few else mapping, ["source", "native"], "left")
     if not strict:
         return joined
     known = F.array(*(F.lit(r.source) for r in mapping.select("source").distinct().collect()))
@@ -79,22 +84,23 @@ def mahalanobis_filter(df: DataFrame, label: str, vector: str, factor: float = 3
 
         for batch in batches:
             at = batch.schema.get_field_index(vector)
-            names = [str(x) if x is not None else None for x in batch.column(batch.schema.get_field_index(label)).to_pylist()]
-            d = []
-            for name, x in zip(names, batch.column(at).to_pylist()):
+            names = np.array([str(x) if x is not None else None for x in batch.column(batch.schema.get_field_index(label)).to_pylist()], object)
+            vectors, d = batch.column(at).to_pylist(), np.zeros(batch.num_rows)
+            for name in set(names):
                 n, mean, inv = models[name]
-                off = np.array(x, float) - mean
-                d.append(0.0 if n < least else float(np.sqrt(max(0.0, off @ inv @ off))))
+                mine = np.flatnonzero([x == name for x in names])
+                if n >= least:
+                    off = np.array([vectors[k] for k in mine], float) - mean
+                    d[mine] = np.sqrt(np.maximum(np.einsum("ij,jk,ik->i", off, inv, off), 0.0))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(d)], [*batch.schema.names, "_d"])
 
     found = df.mapInArrow(distances, out_schema)
-    middle = found.groupBy(label).agg(F.percentile("_d", F.lit(0.5)).alias("_m"), F.count(F.lit(1)).alias("_n"))
+    sizes = found.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
+    middle = group_quantiles(found, [label], "_d", [0.5]).join(sizes, label).select(label, F.col("_q")[0].alias("_m"), "_n")  # a row for each class of models
     return found.join(F.broadcast(middle), label).where((F.col("_n") < least) | (F.col("_d") < factor * F.col("_m"))).drop("_d", "_m", "_n")
 
 
 def composite(df: DataFrame, keys: list[str], label: str) -> DataFrame:
-    from loamwork.operators.stats import mode
-
     return mode(df, keys, label)
 
 

@@ -79,13 +79,19 @@ def stage_hint(days: Column, value: Column, level: float) -> Column:
     return F.when(days < 15, "establishment").when((days < 55) & (value.isNull() | (value < level)), "vegetative").when((days < 85) & (value >= level), "reproductive").when(days < 120, "ripening").otherwise("maturity")
 
 
+#: Weights of margin, agreement and data, degrees of a full margin, the worth of a disagreement, and the bounds.
+CONFIDENCE_WEIGHTS, FULL_MARGIN, DISAGREEMENT, CONFIDENCE_BOUNDS = (0.55, 0.25, 0.20), 80, 0.45, (0.2, 0.98)
+
+
 def stage_confidence(stage: Column, hint: Column, margin: Column, data: Column) -> tuple[Column, Column]:
     """Whether stage and hint agree, and a confidence from margin, agreement and data quality, within 0.2 and 0.98."""
     agrees = stage == hint
     for a, b in ADJACENT:
         agrees = agrees | ((stage == a) & (hint == b))
-    score = 0.55 * F.least(F.lit(1.0), margin / 80) + 0.25 * F.when(agrees, 1.0).otherwise(0.45) + 0.20 * data
-    return agrees, F.least(F.greatest(score, F.lit(0.2)), F.lit(0.98))
+    by_margin, by_agreement, by_data = CONFIDENCE_WEIGHTS
+    score = by_margin * F.least(F.lit(1.0), margin / FULL_MARGIN) + by_agreement * F.when(agrees, 1.0).otherwise(DISAGREEMENT) + by_data * data
+    low, high = CONFIDENCE_BOUNDS
+    return agrees, F.least(F.greatest(score, F.lit(low)), F.lit(high))
 
 
 def stage_branches(no_gdd: Column, before: Column, trusted: Column) -> tuple[Column, Column, Column]:

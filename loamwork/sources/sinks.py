@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: First bytes of TIFF files, both byte orders.
-TIFF = [bytes([0x49, 0x49, 0x2A, 0x00]), bytes([0x4D, 0x4D, 0x00, 0x2A])]
+TIFF = [b"II*\x00", b"MM\x00*"]
 
 
 def _flat(df: DataFrame) -> DataFrame:
