@@ -25,7 +25,7 @@ from loamwork.llm.shared import doc_columns
 
 #: The smallest and largest number of bits of a slot bitmap (32 MB), and documents a bucket of the order.
 MIN_SLOTS, MAX_SLOTS, SLOTS_PER_DOC = 1 << 15, 1 << 28, 64
-DOCS_PER_RANGE, MAX_RANGES = 5_000, 4_096
+DOCS_PER_RANGE, MAX_RANGES = 5_000, 16_384
 _FIRST = -(1 << 63)
 
 

@@ -8,7 +8,9 @@ are rounded as far as the histogram allows. What is left is packed greedily, lar
 where nothing fits. So every sequence is full, but for the shard's last tokens: these are cut at powers of two,
 lengths at which a sequence needs no padding.
 
-sequence_id is the partition's number times 2^33 plus a count in the partition: unique and repeatable.
+sequence_id is the partition's number times 2^33 plus a count in the partition: unique, and repeatable for one dealing of
+the rows. Which documents share a sequence depends on how the input is dealt over partitions; every id lies in exactly one
+piece whatever that is.
 
 Defined cases: null text is empty, which is the end id alone; null or repeated doc_ids are packed row by row;
 an empty table gives no rows; other columns are ignored.
