@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import tempfile
+import threading
 import uuid
 from functools import cache
 
@@ -20,8 +21,14 @@ def _own_folder(application: str) -> str:
     return "file://" + tempfile.mkdtemp(prefix=f"loamwork-{application}-")
 
 
-#: Paths that this process has written, in order; ``drop_since`` deletes them.
-_paths: list[str] = []
+class _Paths(threading.local):
+    """Paths that this thread has written, in order; ``drop_since`` deletes them."""
+
+    def __init__(self):
+        self.all: list[str] = []
+
+
+_paths = _Paths()
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -31,8 +38,8 @@ def scratch(spark: SparkSession, name: str) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = _own_folder(spark.sparkContext.applicationId)
-    _paths.append(f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}")
-    return _paths[-1]
+    _paths.all.append(f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}")
+    return _paths.all[-1]
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -44,23 +51,23 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 def mark() -> int:
     """A place in the list of written tables, for ``drop_since``."""
-    return len(_paths)
+    return len(_paths.all)
 
 
 def drop_since(spark: SparkSession, place: int = 0, *kept: DataFrame) -> None:
-    """Deletes the tables written since mark() gave ``place``, but for those that ``kept`` read.
+    """Deletes the tables that this thread has written since mark() gave ``place``, but for those that ``kept`` read.
 
     Operators return frames that read such tables, so call it when their rows have been saved elsewhere.
     """
     needed = {f.split("/")[-2] for df in kept for f in df.inputFiles()}  # the tables' names are unique
     stay = []
-    for path in _paths[place:]:
+    for path in _paths.all[place:]:
         if path.rsplit("/", 1)[-1] in needed:
             stay.append(path)
             continue
         at = spark._jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-    _paths[place:] = stay
+    _paths.all[place:] = stay
 
 
 #: Narrow rows that are broadcast at most; parts of a frame's rows that one task of a lookup gets; rows of which no key is split.
