@@ -21,15 +21,17 @@ def test_tables_of_this_thread_go_but_for_kept_ones(spark):
     assert shared.mark() == place
 
 
-def test_local_folders_are_refused_on_clusters(spark, monkeypatch):
+def test_local_folders_are_refused_on_clusters():
     class Context:
         master, applicationId = "spark://somewhere:7077", "app"
 
     class Session:
         sparkContext = Context()
-        conf = spark.conf
+        conf = {}
 
-    if spark.conf.get("spark.checkpoint.dir", None):
-        pytest.skip("the folder is set")
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         shared.scratch(Session(), "x")
+    Session.conf = {"spark.checkpoint.dir": "hdfs://name/folder/"}
+    place = shared.mark()
+    assert shared.scratch(Session(), "x").startswith("hdfs://name/folder/x-")
+    shared._paths.all[place:] = []
