@@ -12,7 +12,7 @@ import re
 from array import array
 from functools import cache
 
-from loamwork.llm.shared import give_back
+from loamwork.llm.shared import give_back, keep_for
 
 #: Unicode's White_Space, which the tokenizers' \s stands for; letters of Latin-1 and ASCII.
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -25,7 +25,7 @@ WORD_LEVEL = re.compile(f"[{LATIN}]++(?=[\\x00-\\x7f]|\\Z)|[^ \\t\\n\\r]+")
 
 #: Longest piece kept; pieces that a table holds before it becomes the older of two; pieces encoded at a time.
 #: They bound a worker's memory.
-LONGEST, KEPT, PART = 48, 500_000, 8_000
+LONGEST, KEPT, PART = 48, 350_000, 8_000
 
 
 class Encoder:
@@ -78,10 +78,11 @@ class Encoder:
 @cache
 def encoder(tokenizer_path: str) -> Encoder:
     """One encoder for each worker process."""
+    keep_for("encoder", encoder.cache_clear)
     return Encoder(tokenizer_path)
 
 
-def text_blocks(batch, most: int = 2_000_000):
+def text_blocks(batch, most: int = 1_000_000):
     """(first row, texts) of slices of a record batch with about ``most`` bytes of text each, one row at least."""
     import numpy as np
     import pyarrow.compute as pc

@@ -165,4 +165,4 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int, window: int, shard_t
             yield from flush()
         encoder(tokenizer_path).rest()
 
-    return doc_columns(docs).mapInArrow(tidy(run), SCHEMA)
+    return doc_columns(docs).mapInArrow(tidy(run, "encoder"), SCHEMA)

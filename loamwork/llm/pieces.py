@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 
 from loamwork.llm.bitfile import crc
 from loamwork.llm.encoder import text_blocks
-from loamwork.llm.shared import doc_columns, tidy
+from loamwork.llm.shared import doc_columns, keep_for, tidy
 
 BLANK = "▁"
 #: Longest stretch kept, stretches kept, pairs of pieces kept.
@@ -177,6 +177,7 @@ class Pieces:
 @cache
 def pieces(model_path: str) -> Pieces:
     """One automaton for each worker process."""
+    keep_for("pieces", pieces.cache_clear)
     return Pieces(model_path)
 
 
@@ -196,7 +197,7 @@ def encode_documents(docs: DataFrame, model_path: str) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(ids), "<i4")))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, len(texts)), lists, pa.array(same)], ["doc_id", "ids", "round_trip"])
 
-    return doc_columns(docs).mapInArrow(tidy(run), "doc_id long, ids array<int>, round_trip boolean")
+    return doc_columns(docs).mapInArrow(tidy(run, "pieces"), "doc_id long, ids array<int>, round_trip boolean")
 
 
 def digests(docs: DataFrame, model_path: str) -> DataFrame:
@@ -211,4 +212,4 @@ def digests(docs: DataFrame, model_path: str) -> DataFrame:
             found = [crc(flat[a:b]) for a, b in zip(ends, ends[1:])]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ends[1:] - ends[:-1], pa.int64()), pa.array(found, pa.int64()), batch.column(2)], ["doc_id", "n_tokens", "ids_crc32", "round_trip"])
 
-    return encode_documents(docs, model_path).mapInArrow(tidy(run), "doc_id long, n_tokens long, ids_crc32 long, round_trip boolean")
+    return encode_documents(docs, model_path).mapInArrow(tidy(run, "pieces"), "doc_id long, n_tokens long, ids_crc32 long, round_trip boolean")

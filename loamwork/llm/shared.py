@@ -6,6 +6,7 @@ import ctypes
 import tempfile
 import threading
 import uuid
+from collections.abc import Callable
 from functools import cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -136,10 +137,26 @@ def give_back() -> None:
         trim(0)
 
 
-def tidy(function):
-    """A function over Arrow batches that gives freed memory back when its task ends."""
+#: What a worker process keeps from task to task, by the name of its user: functions that drop it.
+_kept: dict[str, Callable[[], None]] = {}
+
+
+def keep_for(user: str, drop: Callable[[], None]) -> None:
+    """Registers in this worker what tasks of ``user`` keep; it is dropped when a task of anything else begins."""
+    _kept[user] = drop
+
+
+def begin(user: str | None) -> None:
+    for name in [n for n in _kept if n != user]:
+        _kept.pop(name)()
+        give_back()
+
+
+def tidy(function, user: str | None = None):
+    """A function over Arrow batches that drops what tasks of other users keep, and gives freed memory back when its task ends."""
 
     def run(batches):
+        begin(user)
         try:
             yield from function(batches)
         finally:

@@ -53,7 +53,7 @@ def write_corpus(docs: DataFrame, tokenizer_path: str, end_id: int, vocabulary:
             yield pa.RecordBatch.from_pydict({"part": [task.partitionId()], "path": [f"{folder}/{name}"], "docs": [len(out.docs)], "ids": [out.n_ids]})
 
     ordered = doc_columns(docs).repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    manifest = written(ordered.mapInArrow(tidy(write), "part long, path string, docs long, ids long"), "manifest")
+    manifest = written(ordered.mapInArrow(tidy(write, "encoder"), "part long, path string, docs long, ids long"), "manifest")
     return [(r.path, r.docs, r.ids) for r in sorted(manifest.collect(), key=lambda r: r.part)]
 
 

@@ -21,6 +21,17 @@ def test_tables_of_this_thread_go_but_for_kept_ones(spark):
     assert shared.mark() == place
 
 
+def test_what_a_worker_keeps_goes_when_something_else_begins():
+    from loamwork.llm import encoder
+
+    encoder.encoder.cache_clear()
+    dropped = []
+    shared.keep_for("encoder", lambda: dropped.append(1))
+    assert list(shared.tidy(lambda batches: iter(batches), "encoder")([1, 2])) == [1, 2] and not dropped
+    assert list(shared.tidy(lambda batches: iter(batches))([3])) == [3] and dropped == [1]
+    assert list(shared.tidy(lambda batches: iter(batches), "pieces")([])) == [] and dropped == [1]
+
+
 def test_local_folders_are_refused_on_clusters():
     class Context:
         master, applicationId = "spark://somewhere:7077", "app"
