@@ -115,7 +115,7 @@ def key_sizes(rows: DataFrame, *keys: str) -> DataFrame:
 
 
 #: Bytes of an Arrow batch sent to a worker: whole texts are wide, and both sides hold some batches at a time.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 4 << 20
 
 
 def small_batches(df: DataFrame) -> DataFrame:
