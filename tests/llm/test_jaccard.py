@@ -1,3 +1,4 @@
+import os
 import random
 
 import numpy as np
@@ -106,3 +107,13 @@ def test_linked_sets_share_a_tile_and_pass_the_bound():
             assert set(tiles.keys(s).tolist()) & set(tiles.keys(t).tolist())
             bits = [np.frombuffer(jaccard.bitmap(x), np.uint64)[None] for x in (s, t)]
             assert jaccard.may_link(*bits, np.array([len(s)]), np.array([len(t)]), 90, 100)[0]
+
+
+def test_sql(spark):
+    from oracle import compare
+
+    from loamwork.llm import q2_jaccard as q
+
+    if not os.path.isdir("/root/testdata/sf0.001"):
+        pytest.skip("no tables")
+    assert compare(spark, q.query, q.SQL, "/root/testdata/sf0.001") == []
