@@ -317,3 +317,12 @@ def lowess(df: DataFrame, x: str, y: str, at: list[float], share: float = 0.3) -
     line = (F.col("uu") * F.col("v") - F.col("u") * F.col("uv")) / spread
     flat = F.col("v") / F.col("w")
     return sums.select("at", F.when(F.col("w") > 0, F.when(spread > 1e-12 * F.col("w") * F.col("uu"), line).otherwise(flat)).alias("trend"))
+
+
+def robust_scaled(df: DataFrame, columns: list[str]) -> DataFrame:
+    """df with scaled_<c>: each column less its median, by its interquartile range; unknown values take the median, a range of 0 is 1."""
+    for c in columns:
+        low, middle, high = exact_quantiles(df, c, [0.25, 0.5, 0.75])
+        spread = (high - low if low is not None else 0.0) or 1.0
+        df = df.withColumn(f"scaled_{c}", (F.coalesce(F.col(c).cast("double"), F.lit(middle)) - F.lit(middle)) / F.lit(spread))
+    return df

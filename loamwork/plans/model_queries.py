@@ -57,6 +57,23 @@ def model_bayesian_ridge(spark, sf_dir):
     return lines.select("l_orderkey", "l_linenumber", F.round(prediction, 4).alias("prediction"))
 
 
+@query("sink_model", "SELECT l_returnflag, count(*) AS n, count(*) AS n_same, 'quantity, discount and tax' AS card FROM lineitem GROUP BY 1")
+def sink_model(spark, sf_dir):
+    """A model written and read back: rows whose prediction is the same as before, and its card."""
+    from pyspark.ml import Pipeline
+
+    from loamwork.sources import sinks
+    from loamwork.sources.scratch import path
+
+    lines = table(spark, sf_dir, "lineitem").withColumn("label", F.col("l_extendedprice"))
+    model, at = Pipeline(stages=[models.scaling(_FEATURES), models.regressor("ridge")]).fit(lines), path(spark, "model")
+    sinks.save_model(model, at, {"columns": "quantity, discount and tax"})
+    again, card = sinks.load_model(at)
+    drop = ["_raw", "features", *(f"_i_{c}" for c in _FEATURES)]
+    both = again.transform(model.transform(lines).drop(*drop).withColumnRenamed("prediction", "before"))
+    return both.groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("before") == F.col("prediction")).alias("n_same"), F.lit(card["columns"]).alias("card"))
+
+
 @query("model_land_cover_boosted")
 def model_land_cover_boosted(spark, sf_dir):
     """Classes by boosted trees, one against the rest; checked for accuracy in tests."""

@@ -415,3 +415,13 @@ def agg_normality(spark, sf_dir):
 def agg_lowess(spark, sf_dir):
     """The local trend of price over quantity at five places."""
     return stats.lowess(table(spark, sf_dir, "lineitem"), "l_quantity", "l_extendedprice", [1.0, 10.5, 25.0, 40.25, 50.0], 0.3).select("at", F.round("trend", 4).alias("trend"))
+
+
+@query(
+    "agg_robust_scaling",
+    """WITH x AS (SELECT l_orderkey, l_linenumber, l_extendedprice AS a, CASE WHEN l_quantity > 3 THEN l_quantity END AS b FROM lineitem), q AS (SELECT quantile_cont(a, [0.25, 0.5, 0.75]) AS qa, quantile_cont(b, [0.25, 0.5, 0.75]) AS qb FROM x)
+    SELECT l_orderkey, l_linenumber, round((a - qa[2]) / (qa[3] - qa[1]), 6) AS a, round((coalesce(b, qb[2]) - qb[2]) / (qb[3] - qb[1]), 6) AS b FROM x, q""",
+)
+def agg_robust_scaling(spark, sf_dir):
+    l = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_extendedprice").alias("a"), F.when(F.col("l_quantity") > 3, F.col("l_quantity")).alias("b"))
+    return stats.robust_scaled(l, ["a", "b"]).select("l_orderkey", "l_linenumber", F.round("scaled_a", 6).alias("a"), F.round("scaled_b", 6).alias("b"))

@@ -71,3 +71,11 @@ def save_model(model, path: str, card: dict) -> None:
     """A fitted pipeline and, beside it, its card as JSON."""
     model.write().overwrite().save(f"{path}/model")
     SparkSession.getActiveSession().createDataFrame([(json.dumps(card, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/card")
+
+
+def load_model(path: str) -> tuple:
+    """(fitted pipeline, card) as ``save_model`` left them."""
+    from pyspark.ml import PipelineModel
+
+    card = SparkSession.getActiveSession().read.text(f"{path}/card").first()
+    return PipelineModel.load(f"{path}/model"), json.loads(card[0])
