@@ -12,7 +12,7 @@ import re
 from array import array
 from functools import cache
 
-from loamwork.llm.shared import give_back, keep_for
+from loamwork.llm.shared import keep_for
 
 #: Unicode's White_Space, which the tokenizers' \s stands for; letters of Latin-1 and ASCII.
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -69,15 +69,9 @@ class Encoder:
         return out
 
 
-    def rest(self) -> None:
-        """To be called at a task's end: the worker may go on with another stage, so only one table is held."""
-        self.older = {}
-        give_back()
-
-
 @cache
 def encoder(tokenizer_path: str) -> Encoder:
-    """One encoder for each worker process."""
+    """One encoder for each worker process; its tables stay from task to task until another operator's task begins."""
     keep_for("encoder", encoder.cache_clear)
     return Encoder(tokenizer_path)
 

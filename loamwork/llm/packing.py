@@ -163,6 +163,5 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int, window: int, shard_t
                     ids, tokens, size = [], [], 0
         if ids:
             yield from flush()
-        encoder(tokenizer_path).rest()
 
     return doc_columns(docs).mapInArrow(tidy(run, "encoder"), SCHEMA)

@@ -153,14 +153,18 @@ def begin(user: str | None) -> None:
 
 
 def tidy(function, user: str | None = None):
-    """A function over Arrow batches that drops what tasks of other users keep, and gives freed memory back when its task ends."""
+    """A function over Arrow batches that drops what tasks of other users keep, and gives freed memory back when its task ends.
+
+    Tasks of a ``user`` that keeps tables leave this to the next operator's.
+    """
 
     def run(batches):
         begin(user)
         try:
             yield from function(batches)
         finally:
-            give_back()
+            if user is None:  # else its tables stay, and there is little to give
+                give_back()
 
     return run
 

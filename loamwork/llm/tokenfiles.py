@@ -49,7 +49,6 @@ def write_corpus(docs: DataFrame, tokenizer_path: str, end_id: int, vocabulary:
         if out is not None:
             out.close()
             stream.close()
-            encoder(tokenizer_path).rest()
             yield pa.RecordBatch.from_pydict({"part": [task.partitionId()], "path": [f"{folder}/{name}"], "docs": [len(out.docs)], "ids": [out.n_ids]})
 
     ordered = doc_columns(docs).repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
