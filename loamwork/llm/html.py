@@ -8,8 +8,9 @@ text is the main text, all of it, and so are further stretches in the same secti
 list of links, say.
 
 Marks. A class, id or role may name a notice, an advert, a form or comments. It takes an element's lines away only
-if the rest of the page weighs against it: at least as much text outside as inside, for comments a tenth. So a name on
-a wrapper of the page drops nothing. A header inside an article stays if it has a heading.
+if the rest of the page weighs against it: a quarter at least as much text outside as inside (a twentieth for comments), any
+where the element is small, or an article or main element beside it. So a name on a wrapper of the page drops nothing. A
+header inside an article stays if it has a heading.
 
 Ends. Lines at an end of the stretch that lie outside the section with nearly all its text go if they are mostly links,
 a copyright line, or a short line in a box of their own. An article or main element around nearly all the stretch's text
@@ -174,18 +175,22 @@ def blocks(html: str) -> list[Block]:
 
 
 def believed(lines: list[Block], marks: dict[int, str]) -> set[int]:
-    """The marked elements whose lines go, as the text outside them weighs enough against the text inside."""
-    inside, headed = dict.fromkeys(marks, 0), set()
-    total = 0
+    """The marked elements whose lines go: those beside an article, and others if the text outside weighs enough against the text inside."""
+    inside, headed, within = dict.fromkeys(marks, 0), set(), set()
+    total, article = 0, False
     for b in lines:
         weight = b.weight
         total += weight
+        if any(name in ARTICLES for _, name in b.sections):
+            article = True
+            within.update(b.marked)
         for n in b.marked:
             inside[n] += weight
             if b.heading:
                 headed.add(n)
     weighed = {n for n, mark in marks.items() if total - inside[n] >= min(OUTSIDE[mark] * inside[n], 1 if inside[n] <= LITTLE else total)}
-    return weighed - {n for n in headed if marks[n] == "header"}
+    beside = set(marks) - within if article else set()
+    return (weighed | beside) - {n for n in headed if marks[n] == "header"}
 
 
 def stretches(lengths: list[int], window: int = WINDOW, surge: int = SURGE) -> list[tuple[int, int]]:

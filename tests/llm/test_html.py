@@ -98,6 +98,14 @@ def test_small_marked_elements_go_from_small_pages():
     assert main_text(f"<body><div class='widget'>{PLAIN}</div><p>Some line</p></body>") == PLAIN_TEXT + "\nSome line"
 
 
+def test_marked_elements_beside_an_article_go_whatever_their_size():
+    for junk in (f"<div class='sidebar'><p>{LONG}</p><p>{LONG}</p></div>", f"<div id='comments'><p>{LONG}</p></div>", f"<form><input><p>{LONG}</p></form>", f"<div role='alert'><p>{LONG}</p></div>"):
+        assert main_text(f"<body>{junk}<article><h1>Be.</h1><p>It is.</p></article>{junk}</body>") == "Be.\nIt is."
+        assert main_text(f"<body><main><p>Short.</p></main>{junk}</body>") == "Short."
+    assert main_text(f"<body><div class='widget'><article>{PLAIN}</article></div></body>") == PLAIN_TEXT
+    assert main_text(f"<body><article><div class='widget'>{PLAIN}</div></article><div class='widget'><p>{LONG}</p></div></body>") == PLAIN_TEXT
+
+
 def test_text_after_a_list_of_links_stays():
     page = f"<body><div id=text><p>{LONG}</p>{'<p><a href=x>A link to somewhere</a></p>' * 5}<p>{LONG[:199]}</p></div><div>{'<p>Another box.</p>' * 9}</div></body>"
     assert main_text(page) == LONG.strip() + "\n" + LONG[:199].strip()
