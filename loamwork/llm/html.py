@@ -175,21 +175,19 @@ def blocks(html: str) -> list[Block]:
 
 
 def believed(lines: list[Block], marks: dict[int, str]) -> set[int]:
-    """The marked elements whose lines go: those beside an article, and others if the text outside weighs enough against the text inside."""
-    inside, headed, within = dict.fromkeys(marks, 0), set(), set()
-    total, article = 0, False
+    """The marked elements whose lines go: those beside an article, and of the others those that the rest of the text outweighs."""
+    in_article = [b for b in lines if any(name in ARTICLES for _, name in b.sections)]
+    beside = set(marks).difference(*(b.marked for b in in_article)) if in_article else set()
+    inside, headed, total = dict.fromkeys(marks, 0), set(), 0
     for b in lines:
-        weight = b.weight
-        total += weight
-        if any(name in ARTICLES for _, name in b.sections):
-            article = True
-            within.update(b.marked)
-        for n in b.marked:
-            inside[n] += weight
-            if b.heading:
-                headed.add(n)
+        if beside.isdisjoint(b.marked):
+            weight = b.weight
+            total += weight
+            for n in b.marked:
+                inside[n] += weight
+                if b.heading:
+                    headed.add(n)
     weighed = {n for n, mark in marks.items() if total - inside[n] >= min(OUTSIDE[mark] * inside[n], 1 if inside[n] <= LITTLE else total)}
-    beside = set(marks) - within if article else set()
     return (weighed | beside) - {n for n in headed if marks[n] == "header"}
 
 
