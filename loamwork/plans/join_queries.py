@@ -134,8 +134,8 @@ def join_distance_pairs(spark, sf_dir):
 
 @query(
     "join_keep_first",
-    f"""WITH RECURSIVE {_PTS}, near AS (SELECT b.id, list(a.id) AS smaller FROM p a JOIN p b ON a.id < b.id AND abs(a.x - b.x) <= 60 AND abs(a.y - b.y) <= 60 WHERE sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) <= 60 GROUP BY 1),
-    o AS (SELECT p.id, row_number() OVER (ORDER BY p.id) AS r, coalesce(smaller, []) AS smaller FROM p LEFT JOIN near ON near.id = p.id),
+    f"""WITH RECURSIVE {_PTS}, near AS MATERIALIZED (SELECT b.id, list(a.id) AS smaller FROM p a JOIN p b ON a.id < b.id AND abs(a.x - b.x) <= 60 AND abs(a.y - b.y) <= 60 WHERE sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) <= 60 GROUP BY 1),
+    o AS MATERIALIZED (SELECT p.id, row_number() OVER (ORDER BY p.id) AS r, coalesce(smaller, []) AS smaller FROM p LEFT JOIN near ON near.id = p.id),
     t AS (SELECT 0::BIGINT AS r, []::BIGINT[] AS kept UNION ALL SELECT o.r, CASE WHEN list_has_any(o.smaller, t.kept) THEN t.kept ELSE list_append(t.kept, o.id) END FROM t JOIN o ON o.r = t.r + 1)
     SELECT id, NOT list_contains((SELECT kept FROM t ORDER BY r DESC LIMIT 1), id) AS dropped FROM p""",
 )
