@@ -86,7 +86,7 @@ def group_quantiles(df: DataFrame, keys: list[str], value: str, shares: list[flo
 
     Groups up to ONE_TASK rows go through Spark's aggregate, which holds a group's distinct values in one task. Of larger ones
     a sketch tells, for each share, bounds around its rank with about 1 / ROUND of the rows between; these alone are
-    ordered, and the rows below are counted. So no task holds a large group, whatever its distribution.
+    ordered, and the rows below are counted in the same pass. So no task holds a large group, whatever its distribution.
     """
     v = df.select(*keys, F.col(value).cast("double").alias("_v"))
     plain = lambda rows: rows.groupBy(*keys).agg(F.percentile("_v", F.array(*map(F.lit, shares))).alias("_q"))
@@ -104,14 +104,13 @@ def group_quantiles(df: DataFrame, keys: list[str], value: str, shares: list[flo
     # a share's sketch may give the smallest or largest value only nearly: all rows are below no bound or above none then
     low = lambda i: F.lit(float("-inf")) if shares[i] <= 1 / ROUND else F.col("_lo")[i]
     high = lambda i: F.lit(float("inf")) if shares[i] >= 1 - 1 / ROUND else F.col("_hi")[i]
-    below = seen.groupBy(*keys).agg(F.first("_n").alias("_n"), F.array(*(F.count_if(F.col("_v") < low(i)) for i in range(len(shares)))).alias("_below")).select(*(F.col(k).alias(f"_{k}") for k in keys), "_n", "_below")
-    where = F.array_compact(F.array(*(F.when((F.col("_v") >= low(i)) & (F.col("_v") <= high(i)), F.lit(i)) for i in range(len(shares)))))
-    counted = seen.select(*keys, "_v", F.explode(where).alias("_i")).groupBy(*keys, "_i", "_v").agg(F.count(F.lit(1)).alias("_c"))
-    upto = F.sum("_c").over(Window.partitionBy(*keys, "_i").orderBy("_v"))
-    ranked = counted.withColumn("_upto", upto)
-    ranked = ranked.join(F.broadcast(below) if few <= HOT_GROUPS else below, _same(ranked, below, keys))
+    # one pass tells the rows below (_v null) and those between, as a second look might get other bounds: a sketch depends on the order of its parts
+    place = lambda i: F.when(F.col("_v") < low(i), F.struct(F.lit(i).alias("_i"), F.lit(None).cast("double").alias("_v"))).when(F.col("_v") <= high(i), F.struct(F.lit(i).alias("_i"), F.col("_v")))
+    placed = seen.select(*keys, "_n", F.inline(F.array_compact(F.array(*map(place, range(len(shares)))))))
+    counted = placed.groupBy(*keys, "_n", "_i", "_v").agg(F.count(F.lit(1)).alias("_c"))
+    stop = F.col("_upto")
+    ranked = counted.withColumn("_upto", F.sum("_c").over(Window.partitionBy(*keys, "_i").orderBy(F.col("_v").asc_nulls_first())))
     rank = (F.col("_n") - 1) * F.get(F.array(*map(F.lit, shares)), F.col("_i"))
-    stop = F.col("_below")[F.col("_i")] + F.col("_upto")
     at = lambda r: F.max(F.when((stop - F.col("_c") <= r) & (r < stop), F.col("_v")))
     found = ranked.groupBy(*keys, "_i").agg(at(F.floor(rank)).alias("_a"), at(F.ceil(rank)).alias("_b"), F.first(rank - F.floor(rank)).alias("_f"))
     found = found.select(*keys, "_i", (F.col("_a") + (F.col("_b") - F.col("_a")) * F.col("_f")).alias("_x"))
