@@ -80,3 +80,12 @@ def test_edge_rows_and_clashing_columns(spark, folder, rows):
         assert all(tuple(r)[5:] == tuple(names) for r in docs.collect())
     packed = corpus_pipeline.packing(spark, docs, folder)
     assert packed.select("doc_id").distinct().count() == docs.select("doc_id").distinct().count()
+
+
+@pytest.mark.parametrize("stage", [corpus_pipeline.secret_scan, corpus_pipeline.packing])
+def test_stages_begin_with_the_heap_given_back(spark, folder, stage):
+    beans = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans
+    full = lambda: sum(b.getCollectionCount() for b in beans() if "Young" not in b.getName())
+    docs, before = spark.read.parquet(f"{folder}/documents.parquet"), full()
+    stage(spark, docs, folder)
+    assert full() > before
